@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmix.llm import language_id, line_dedup, packing, toxicity
+from sparkmix.llm import language_id, line_dedup, near_dup, packing, toxicity
 from sparkmix.llm.common import Scratch, crc_mod
 
 
@@ -31,6 +31,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id."""
+    return near_dup.keep_one(docs, shingle=5, percent=80)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
@@ -40,6 +45,7 @@ STAGES = [
     ("toxicity", reject_toxic),
     ("language_id", reject_unknown_language),
     ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_copies),
     ("packing", pack),
 ]
 
