@@ -202,10 +202,15 @@ def top_k_values(df: DataFrame, col: str, k: int = 20) -> DataFrame:
 
 
 def gini(counts: DataFrame, col: str = "count", compat_sign: bool = False) -> DataFrame:
-    """Gini coefficient of a table of group sizes; ``compat_sign`` gives the negative of it. 0 if the sum is 0."""
-    ranked = counts.select(F.col(col).alias("v"), F.row_number().over(W.orderBy(col)).alias("i"))
-    n, total = F.count("*"), F.sum("v")
-    value = 2 * F.sum(F.col("i") * F.col("v")) / (n * total) - (n + 1) / n
+    """Gini coefficient of a table of group sizes; ``compat_sign`` gives the negative of it. 0 if the sum is 0.
+
+    Equal sizes are counted first, so the ranks come from a window over distinct sizes, not over groups.
+    """
+    sizes = counts.groupBy(F.col(col).alias("v")).agg(F.count("*").alias("k"))
+    ranked = sizes.withColumn("before", F.sum("k").over(W.orderBy("v")) - F.col("k"))
+    ranks = F.col("k") * F.col("before") + F.col("k") * (F.col("k") + 1) / 2  # sum of the ranks of equal sizes
+    n, total = F.sum("k"), F.sum(F.col("v") * F.col("k"))
+    value = 2 * F.sum(F.col("v") * ranks) / (n * total) - (n + 1) / n
     return ranked.agg(F.round(F.when(total > 0, -value if compat_sign else value).otherwise(0.0), 6).alias("gini"))
 
 
