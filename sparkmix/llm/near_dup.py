@@ -212,33 +212,52 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def group_links(full: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """All linked pairs of a group, from the exact sizes of all its intersections at once."""
+    if len(full) == 2:
+        return [(0, 1)] if linked(full[0], full[1], percent) else []
+    k, sizes = len(full), np.array([len(x) for x in full])
+    _, place, count = np.unique(np.concatenate(full), return_inverse=True, return_counts=True)
+    shared = count[place] > 1
+    row, col = np.repeat(np.arange(k), sizes)[shared], (np.cumsum(count > 1) - 1)[place[shared]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    both = np.zeros((k, k))
+    width = 4096
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, width):
+        i, j = np.searchsorted(col, (lo, lo + width))
+        part = np.zeros((k, width), np.float32)
+        part[row[i:j], col[i:j] - lo] = 1
+        both += part @ part.T
+    a, b = np.nonzero(np.triu((both > 0) & (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)), 1))
+    return list(zip(a.tolist(), b.tolist(), strict=True))
+
+
 def _verified_forest(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that connect each group's components. Every pair not yet connected is compared on full sets."""
+    """(a, b): links that connect each group's components. Every pair of a group is compared on full sets."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         grp, gid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         a, b = [], []
         for lo, hi in groups_of(grp):
             full = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(2).slice(lo, hi - lo)]
-            sizes = np.array([len(x) for x in full])
             parent: dict[int, int] = {}
-            for d in range(1, hi - lo):
-                for i in np.flatnonzero(similar_size(sizes[:-d], sizes[d:], percent)).tolist():
-                    x, y = _fold(parent, i), _fold(parent, i + d)
-                    if x != y and linked(full[i], full[i + d], percent):
-                        parent[x] = y
-                        a.append(gid[lo + i])
-                        b.append(gid[lo + i + d])
+            for i, j in group_links(full, percent):
+                x, y = _fold(parent, i), _fold(parent, j)
+                if x != y:
+                    parent[x] = y
+                    a.append(gid[lo + i])
+                    b.append(gid[lo + j])
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return _by_runs(groups.join(sets, "gid").select("grp", "gid", "full"), "grp", step, "a long, b long")
+    return _by_runs(sets.join(_checked(groups), "gid").select("grp", "gid", "full"), "grp", step, "a long, b long")
 
 
-def _stars(big: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _stars(big: DataFrame, pool: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(pivot, gid) that are linked on full sets, for the pivot of each large node."""
     least = percent / 100 - SLACK
-    one = reps.select(F.col("gid").alias("pivot"), F.col("n").alias("pn"), F.col("sig").alias("psig"))
-    pairs = big.filter("gid != pivot").select("pivot", "gid").distinct().join(reps.select("gid", "n", "sig"), "gid").join(one, "pivot")
+    one = pool.select(F.col("gid").alias("pivot"), F.col("n").alias("pn"), F.col("sig").alias("psig"))
+    pairs = big.filter("gid != pivot").select("pivot", "gid").distinct().join(pool, "gid").join(one, "pivot")
 
     def near_make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -249,8 +268,9 @@ def _stars(big: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> Da
 
         return step
 
-    near = arrow_map(pairs.select("pivot", "gid", "n", "sig", "pn", "psig"), near_make, "pivot long, gid long")
-    full = near.join(sets, "gid").join(sets.select(F.col("gid").alias("pivot"), F.col("full").alias("pfull")), "pivot").select("pivot", "gid", "full", "pfull")
+    near = scratch.save(arrow_map(pairs.select("pivot", "gid", "n", "sig", "pn", "psig"), near_make, "pivot long, gid long"), "near")
+    centres = sets.join(_checked(scratch.save(near.select(F.col("pivot").alias("gid")).distinct(), "pivots")), "gid").select(F.col("gid").alias("pivot"), F.col("full").alias("pfull"))
+    full = sets.join(_checked(near), "gid").join(centres, "pivot").select("pivot", "gid", "full", "pfull")
 
     def link_make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -269,7 +289,7 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
     trees: int = 10,
-    small: int = 48,
+    small: int = 256,
     levels: int = 10,
     seed: int = 11,
 ) -> DataFrame:
@@ -279,8 +299,8 @@ def near_duplicates(
     component_id is the smallest id reachable by links; kept marks the rows with that id.
     A text with fewer words than a shingle is one shingle; without words (null, empty,
     blank) its set is empty and it is its own component. Repeated rows are equal sets
-    and so linked. Rows with a null id are linked like others but are never kept unless
-    alone of their kind is no id at all, in which case component_id is null. An empty
+    and so linked. A row with a null id takes part in links but is never kept; a
+    component of such rows alone has a null component_id. An empty
     table gives an empty result; other columns are not read.
     """
     spark = df.sparkSession
@@ -320,30 +340,40 @@ def near_duplicates(
     reps = scratch.save(reps, "representatives")
 
     members = reps.select(F.explode("roots").alias("node"), "gid", F.lit(None).cast("long").alias("core"))
-    sets = None
+    sets, pool = None, reps.select("gid", "n", "sig")
     edges: list[DataFrame] = []
+    passing: list[DataFrame] = []  # tables that only the search reads
     for level in range(levels + 1):
         size = (
             members.groupBy("node")
             .agg(F.count("*").alias("size"), F.min(F.struct(F.col("core").isNotNull(), "gid")).getField("gid").alias("pivot"), F.min("core").alias("c0"), F.max("core").alias("c1"), F.count("core").alias("cored"))
             .filter("size > 1 and not (cored = size and c0 = c1)")
-            .select("node", "size", "pivot")
+            .select("node", "size", "pivot", ((F.col("size") - F.col("cored") <= small // 2) & (F.col("cored") > 0) & F.coalesce(F.col("c0") == F.col("c1"), F.lit(False))).alias("few"), "cored")
         )
+        size = scratch.save(size, f"sizes{level}")  # apart from the join, so that its large keys can be split
         here = scratch.save(members.join(size, "node"), f"nodes{level}")
         leaves = here.filter(F.col("size") <= small)
-        big = here.filter(F.col("size") > small)
+        # One component and few others: each block of the component meets all others, and the node is finished.
+        parts = F.ceil(F.col("cored") * 2 / small).cast("int")
+        home = F.when(F.col("core").isNull(), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("gid"), parts).cast("int")))
+        few = here.filter((F.col("size") > small) & F.col("few")).select("node", "gid", F.explode(home).alias("part"))
+        leaves = leaves.select("node", "gid").union(few.select(F.xxhash64("node", "part", F.lit("few")), "gid"))
+        big = here.filter((F.col("size") > small) & ~F.col("few"))
         if level == levels:  # the exact way for what did not divide: every block of a node against every other
             blocks = F.ceil(F.col("size") * 2 / small).cast("int")
             own = F.pmod(F.xxhash64("gid"), blocks).cast("int")
             cut = big.select("node", "gid", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
             leaves = leaves.select("node", "gid").union(cut.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")), "gid"))
-        found = scratch.save(_candidates(leaves.select("node", "gid").join(reps.select("gid", "n", "sig"), "gid"), percent), f"groups{level}")
-        if sets is None:
+        found = scratch.save(_candidates(leaves.select("node", "gid").join(pool, "gid"), percent), f"groups{level}")
+        if sets is None:  # whatever is compared later on is in a large node now
             sets = _full_sets(source, found.select("gid").union(big.select("gid")).distinct(), reps, shingle, scratch)
+            pool = scratch.save(pool.join(big.select("gid").distinct(), "gid", "left_semi"), "pool")
         edges.append(_verified_forest(found, sets, percent))
+        passing += [size, here, found]
         if level == levels or big.isEmpty():
             break
-        star = scratch.save(_stars(big, reps, sets, percent), f"stars{level}")
+        star = scratch.save(_stars(big, pool, sets, percent, scratch), f"stars{level}")
+        passing.append(star)
         edges.append(star.select(F.col("pivot").alias("a"), F.col("gid").alias("b")))
         # A set linked to the pivot is of its component; the pivot has met all others here and leaves the node.
         labelled = big.filter("gid != pivot").join(star.withColumn("hit", F.lit(True)), ["pivot", "gid"], "left").withColumn("core", F.coalesce("core", F.when(F.col("hit"), F.col("pivot"))))
@@ -358,12 +388,15 @@ def near_duplicates(
 
             return step
 
-        members = scratch.save(arrow_map(labelled.join(reps.select("gid", "sig"), "gid").select("node", "gid", "core", "sig"), branch_make, "node long, gid long, core long", rows=4096), f"branch{level}")
+        members = scratch.save(arrow_map(labelled.join(pool.select("gid", "sig"), "gid").select("node", "gid", "core", "sig"), branch_make, "node long, gid long, core long", rows=4096), f"branch{level}")
+        passing.append(members)
 
     links = edges[0]
     for more in edges[1:]:
         links = links.union(more)
-    parts = connected_components(scratch.save(links, "links"), scratch)
+    links = scratch.save(links, "links")
+    scratch.drop(sets, pool, *passing)
+    parts = connected_components(links, scratch)
     named = equal.join(parts.withColumnRenamed("node", "gid"), "gid", "left").withColumn("component", F.coalesce("component", "gid"))
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
     where = named.join(lows, "component").select("mark", "component_id")
@@ -379,6 +412,15 @@ def near_duplicates(
     )
 
 
+#: Pairs and group rows are broadcast against the full sets up to so many; beyond, both sides shuffle.
+BROADCAST_PAIRS = 200_000
+
+
+def _checked(df: DataFrame) -> DataFrame:
+    """A written table with a broadcast hint, if it is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_PAIRS else df
+
+
 #: Text hashes of candidates are broadcast up to so many; beyond, they are joined.
 BROADCAST_ROWS = 1_000_000
 
