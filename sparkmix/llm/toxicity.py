@@ -16,10 +16,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import Scratch, arrow_map
 
 #: Labelled rows that a model is fitted on, at most; those with the smallest id hashes.
-MOST_LABELLED = 12_000
+MOST_LABELLED = 20_000
 #: Terms of one line stand for each other in swapped sentences.
 IDENTITY_TERMS = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
@@ -39,6 +39,8 @@ _SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 _TERM = re.compile(r"\b(" + "|".join(_SWAP) + r")\b")
 #: Lengths of the word beginnings that count as features.
 BEGINNINGS = (3, 4, 5)
+#: A feature is used if it is in so many labelled texts and its log odds ratio is so many standard errors from 0.
+LEAST_ROWS, LEAST_Z = 4, 3.0
 
 
 def word_features(word: str) -> list[int]:
@@ -102,8 +104,8 @@ def fit(
     features: list[np.ndarray],
     labels: np.ndarray,
     swaps: list[tuple[np.ndarray, np.ndarray]],
-    least_rows: int = 4,
-    least_z: float = 3.0,
+    least_rows: int = LEAST_ROWS,
+    least_z: float = LEAST_Z,
     l2: float = 0.5,
     fairness: float = 5.0,
     rounds: int = 200,
@@ -177,23 +179,46 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, most
     marked = marked.filter(usable) if usable is not None else marked
     chosen = marked.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).orderBy(F.xxhash64("id"), "id", "y").limit(most)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # bounded by ``most``
+    rows = Scratch(docs.sparkSession).save(rows.select("text", "y"), "labelled")
+    known = set(informative_features(rows))
 
     def make():
-        pack = lambda fs: np.array(sorted(fs), np.uint64).tobytes()
+        pack = lambda text: np.array(sorted(known & text_features(text)), np.uint64).tobytes()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in batch.column(0).to_pylist()]
-            swaps = [[x for pair in swapped_sentences(t) for x in map(pack, map(text_features, pair))] for t in texts]
-            return pa.RecordBatch.from_arrays([pa.array([pack(text_features(t)) for t in texts], pa.binary()), batch.column(1), pa.array(swaps, pa.list_(pa.binary()))], ["features", "y", "swaps"])
+            swaps = [[x for pair in swapped_sentences(t) for x in map(pack, pair)] for t in texts]
+            return pa.RecordBatch.from_arrays([pa.array(list(map(pack, texts)), pa.binary()), batch.column(1), pa.array(swaps, pa.list_(pa.binary()))], ["features", "y", "swaps"])
 
         return step
 
-    got = arrow_map(rows.select("text", "y"), make, "features binary, y double, swaps array<binary>").collect()
+    got = arrow_map(rows, make, "features binary, y double, swaps array<binary>").collect()
     got.sort(key=lambda r: (bytes(r[0]), r[1]))
     unpack = lambda raw: np.frombuffer(bytes(raw), np.uint64)
     return fit([unpack(r[0]) for r in got], np.array([r[1] for r in got]), [(unpack(r[2][i]), unpack(r[2][i + 1])) for r in got for i in range(0, len(r[2]), 2)])
 
 
+def informative_features(rows: DataFrame, least_rows: int = LEAST_ROWS, least_z: float = LEAST_Z) -> list[int]:
+    """Hashes of the features of (text, y) rows that tell the labels apart. All features are counted on Spark; only these reach the driver."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            y = batch.column(1).to_numpy()
+            found = [np.fromiter(fs, np.uint64, len(fs)) for fs in (text_features(t or "") for t in batch.column(0).to_pylist())]
+            names, place, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_inverse=True, return_counts=True)
+            ones = np.bincount(place, np.repeat(y, [len(f) for f in found]), len(names))
+            return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(ones), pa.array(n.astype(np.int64))], ["feature", "a", "n"])
+
+        return step
+
+    n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
+    counts = arrow_map(rows, make, "feature long, a double, n long", rows=1024).groupBy("feature").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
+    a, b = F.col("a") + 0.5, F.col("n") - F.col("a") + 0.5
+    c, d = F.lit(ones + 1) - a, F.lit(n - ones + 1) - b
+    z = (F.log(a / c) - F.log(b / d)) / F.sqrt(1 / a + 1 / c + 1 / b + 1 / d)
+    return [r[0] % (1 << 64) for r in counts.filter((F.col("n") >= least_rows) & (F.abs(z) >= least_z)).select("feature").collect()]
+
+
 def score_texts(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) for every row; a null text scores as an empty one. Repeated rows repeat."""
 
