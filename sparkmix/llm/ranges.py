@@ -22,9 +22,10 @@ def order_and_sum(rows: DataFrame, weight: str, scratch: Scratch, ranges: int =
     """Adds weight_before, rows_before, weight_total and rows_total in the order of (key, tie).
 
     ``rows`` is a written table with a bigint ``key`` and ``tie``. Keys are sampled with
-    probability in proportion to weight, at most ``ranges * 16`` of them are expected;
-    their quantiles bound the ranges. A range that still holds over twice the mean (one
-    key with very many rows) is divided by a hash of the tie. Totals of the ranges,
+    probability in proportion to their share, half of it of the weight and half of the
+    rows, so that neither heavy rows nor very many light ones fill a range; at most
+    ``ranges * 16`` are expected, and their quantiles bound the ranges. A range that
+    still holds over twice the mean is divided by a hash of the tie. Totals of the ranges,
     a table bounded by ``ranges``, give each range its offset; inside a range a window
     sums the rows. Equal (key, tie) rows follow each other in any order.
     """
@@ -34,8 +35,9 @@ def order_and_sum(rows: DataFrame, weight: str, scratch: Scratch, ranges: int =
         return rows.select("*", *[F.lit(None).cast("bigint").alias(c) for c in out_names])
     total = int(total or 0)
     want = ranges * OVERSAMPLE
+    share = lambda w, k: w * F.lit(0.5 / max(total, 1)) + k * F.lit(0.5 / n)
     chance = (F.pmod(F.xxhash64(key, tie, F.lit("sample")), F.lit(1 << 53)) / F.lit(float(1 << 53))).cast("double")
-    picked = rows.filter(chance < F.col(weight) * F.lit(want / max(total, 1))).select(key)
+    picked = rows.filter(chance < share(F.col(weight), F.lit(1)) * want).select(key)
     bounds = [r[0] for r in picked.orderBy(key).collect()][OVERSAMPLE // 2 :: OVERSAMPLE]
     coarse = bounds[FAN - 1 :: FAN]
     fine = [bounds[i : i + FAN - 1] for i in range(0, len(bounds), FAN)] or [[]]
@@ -44,9 +46,8 @@ def order_and_sum(rows: DataFrame, weight: str, scratch: Scratch, ranges: int =
     top = _below(as_list(coarse), F.col(key)) if coarse else F.lit(0)
     placed = rows.withColumn("top", top)
     placed = placed.withColumn("range", F.col("top") * FAN + _below(F.element_at(F.array(*[as_list(x) for x in fine]), F.col("top") + 1), F.col(key))).drop("top")
-    sizes = placed.groupBy("range").agg(F.sum(weight).alias("w"))
-    mean = max(total / (len(bounds) + 1), 1.0)
-    parts = sizes.select("range", F.greatest(F.lit(1), F.ceil(F.col("w") / F.lit(mean) / 2)).alias("parts"))
+    sizes = placed.groupBy("range").agg(F.sum(weight).alias("w"), F.count("*").alias("k"))  # whole numbers: the same whenever it is computed
+    parts = sizes.select("range", F.greatest(F.lit(1), F.ceil(share(F.col("w"), F.col("k")) * (len(bounds) + 1) / 2)).alias("parts"))
     placed = placed.join(F.broadcast(parts), "range").withColumn("part", F.pmod(F.xxhash64(tie, F.lit("part")), "parts")).drop("parts")
     offsets = (
         placed.groupBy("range", "part")
