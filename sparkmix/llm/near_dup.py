@@ -5,8 +5,13 @@ Each set has a signature of minwise tokens. A tree starts from chosen signature
 sets that share the token there meet in a node. A node that is still large chooses
 further places, on average ``1 / threshold`` of them, and its sets branch by their tokens
 there; sets in a small node are compared exhaustively, by signatures first and then on
-their full sets. A pair at the threshold survives a level with a chance of 0.84, so ten
-independent trees miss it with a chance of 1e-8 after one level and under 1e-3 after five.
+their full sets.
+
+Each tree branches by signature places of its own, so trees are independent. A tree keeps
+a pair together less often the deeper its nodes are split (``kept_together``); sets of
+nodes that were split deeper than the first trees allow for go through more trees, until
+their number suits the depth reached. A pair at the threshold is then missed with a chance
+of ``MISS`` at most, besides 5e-6 (at 0.80) for an estimate more than ``SLACK`` too low.
 
 In a large node every set is also compared with one pivot; sets linked to it are one
 component already, and a branch that holds nothing else ends. What is still large after
@@ -16,6 +21,8 @@ the last level is compared block by block, so no pair is skipped for the size of
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +35,8 @@ from .common import Scratch, arrow_map, connected_components, ship_package
 POSITIONS = 64
 #: How far an estimate of the similarity by the signature may lie under the threshold: five standard errors.
 SLACK = 0.25
+#: Chance at most that no tree brings a pair at the threshold together.
+MISS = 1e-4
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -62,11 +71,15 @@ def shingle_set(text: str | None, size: int, hashes: dict | None = None) -> np.n
     return np.unique(h)
 
 
-def signature(shingles: np.ndarray, seed: int) -> np.ndarray:
-    """The minwise token at each of the places, as 32 bits."""
+@lru_cache(maxsize=256)
+def _factors(seed: int | tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    a = rng.integers(1, 1 << 63, (POSITIONS, 1), np.uint64) | np.uint64(1)
-    b = rng.integers(1, 1 << 63, (POSITIONS, 1), np.uint64)
+    return rng.integers(1, 1 << 63, (POSITIONS, 1), np.uint64) | np.uint64(1), rng.integers(1, 1 << 63, (POSITIONS, 1), np.uint64)
+
+
+def signature(shingles: np.ndarray, seed: int | tuple[int, ...]) -> np.ndarray:
+    """The minwise token at each of the places, as 32 bits."""
+    a, b = _factors(seed)
     out = np.full(POSITIONS, 0xFFFFFFFF, np.uint64)
     for at in range(0, len(shingles), 4096):
         np.minimum(out, ((shingles[None, at : at + 4096] * a + b) >> np.uint64(32)).min(1), out=out)
@@ -83,20 +96,41 @@ def _hash64(*parts: np.ndarray) -> np.ndarray:
 
 
 def root_places(trees: int, percent: int, seed: int) -> np.ndarray:
-    """Distinct signature places at which the trees start, 100 / percent for each tree on average."""
-    n = min(POSITIONS, int(np.ceil(trees * 100 / percent)))
+    """Distinct signature places at which the first trees start: 100 / percent times ``trees``, and enough for nodes that are never split."""
+    least = trees_needed(0, percent)
+    if least > POSITIONS:
+        raise ValueError(f"a threshold of {percent} % needs more than {POSITIONS} places")
+    n = min(POSITIONS, max(least, int(np.ceil(trees * 100 / percent))))
     return np.sort(np.random.default_rng(seed + 1).permutation(POSITIONS)[:n])
 
 
+def kept_together(depth: int, percent: int) -> float:
+    """The chance that a pair at the threshold shares a root and, in one of its branches, each of ``depth`` levels below."""
+    j, (whole, part) = percent / 100, divmod(100 / percent, 1)
+    agree = np.arange(POSITIONS + 1) / POSITIONS  # of the tree's own places
+    weight = np.array([comb(POSITIONS, k) * j**k * (1 - j) ** (POSITIONS - k) for k in range(POSITIONS + 1)])
+    alive = np.ones(POSITIONS + 1)
+    for _ in range(depth):
+        alive = 1 - (1 - agree * alive) ** whole * (1 - part * agree * alive)
+    return j * float(weight @ alive)
+
+
+def trees_needed(depth: int, percent: int, miss: float = MISS) -> int:
+    """So many trees miss a pair whose nodes are split ``depth`` times with a chance of ``miss`` at most."""
+    one = kept_together(depth, percent)
+    return int(np.ceil(np.log(miss) / np.log1p(-one))) if one < 1 else 1
+
+
 def child_nodes(node: np.ndarray, sigs: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers and node ids one level down. Which places are chosen depends on the node alone."""
-    draw = _hash64(node, np.uint64(1))
+    whole, part = divmod(100 / percent, 1)
+    more = np.flatnonzero((_hash64(node, np.uint64(1)) >> np.uint64(40)).astype(np.float64) / (1 << 24) < part)
     first = (_hash64(node, np.uint64(2)) % np.uint64(POSITIONS)).astype(np.int64)
-    second = (first + 1 + (_hash64(node, np.uint64(3)) % np.uint64(POSITIONS - 1)).astype(np.int64)) % POSITIONS
-    rows = np.arange(len(node))
-    more = np.flatnonzero((draw >> np.uint64(40)).astype(np.float64) / (1 << 24) < 100 / percent - 1)
-    rows = np.concatenate((rows, more))
-    place = np.concatenate((first, second[more]))
+    step = 1 + (_hash64(node, np.uint64(3)) % np.uint64(POSITIONS // 2)).astype(np.int64) * 2  # odd, so that places of a node differ
+    every = np.arange(len(node))
+    picks = [(every, first + i * step) for i in range(int(whole))] + [(more, (first + int(whole) * step)[more])]
+    rows = np.concatenate([r for r, _ in picks])
+    place = np.concatenate([x for _, x in picks]) % POSITIONS
     ids = _hash64(node[rows], place, sigs[rows, place])
     return rows, ids.view(np.int64)
 
@@ -282,6 +316,37 @@ def _stars(big: DataFrame, pool: DataFrame, sets: DataFrame, percent: int, scrat
     return arrow_map(full, link_make, "pivot long, gid long")
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for df in tables[1:]:
+        out = out.union(df)
+    return out
+
+
+def _tree_signatures(wanted: DataFrame, sets: DataFrame, seed: int) -> DataFrame:
+    """(gid, tree, own, root) from (gid, trees): the places of each tree in ``trees``, and the node where it starts."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            gid, trees, own, root = [], [], [], []
+            for g, ts, full in zip(*(batch.column(i) for i in range(3)), strict=True):
+                s = np.frombuffer(full.as_py(), np.uint64)
+                for t in ts.as_py():
+                    sig = signature(s, (seed, 2, t))
+                    gid.append(g.as_py())
+                    trees.append(t)
+                    own.append(sig.tobytes())
+                    # by a value of its own, that no level below branches by
+                    root.append(_hash64(np.uint64(t), np.uint64(POSITIONS), signature(s, (seed, 3, t // POSITIONS))[t % POSITIONS]))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(gid, pa.int64()), pa.array(trees, pa.int32()), pa.array(own, pa.binary()), pa.array(np.array(root, np.uint64).view(np.int64))], ["gid", "tree", "own", "root"]
+            )
+
+        return step
+
+    return arrow_map(sets.join(_checked(wanted), "gid").select("gid", "trees", "full"), make, "gid long, tree int, own binary, root long", rows=64)
+
+
 def near_duplicates(
     df: DataFrame,
     shingle: int = 5,
@@ -339,62 +404,92 @@ def near_duplicates(
     reps = rows.join(equal.select(F.col("gid").alias("row")), "row", "left_semi").select(F.col("row").alias("gid"), "n", "sig", "roots", "text_hash", "mark")
     reps = scratch.save(reps, "representatives")
 
-    members = reps.select(F.explode("roots").alias("node"), "gid", F.lit(None).cast("long").alias("core"))
-    sets, pool = None, reps.select("gid", "n", "sig")
+    members = reps.select(F.posexplode("roots").alias("tree", "node"), "gid", F.lit(None).cast("long").alias("core"))
+    own, sets, pool = None, None, reps.select("gid", "n", "sig")
     edges: list[DataFrame] = []
     passing: list[DataFrame] = []  # tables that only the search reads
-    for level in range(levels + 1):
-        size = (
-            members.groupBy("node")
-            .agg(F.count("*").alias("size"), F.min(F.struct(F.col("core").isNotNull(), "gid")).getField("gid").alias("pivot"), F.min("core").alias("c0"), F.max("core").alias("c1"), F.count("core").alias("cored"))
-            .filter("size > 1 and not (cored = size and c0 = c1)")
-            .select("node", "size", "pivot", ((F.col("size") - F.col("cored") <= small // 2) & (F.col("cored") > 0) & F.coalesce(F.col("c0") == F.col("c1"), F.lit(False))).alias("few"), "cored")
-        )
-        size = scratch.save(size, f"sizes{level}")  # apart from the join, so that its large keys can be split
-        here = scratch.save(members.join(size, "node"), f"nodes{level}")
-        leaves = here.filter(F.col("size") <= small)
-        # One component and few others: each block of the component meets all others, and the node is finished.
-        parts = F.ceil(F.col("cored") * 2 / small).cast("int")
-        home = F.when(F.col("core").isNull(), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("gid"), parts).cast("int")))
-        few = here.filter((F.col("size") > small) & F.col("few")).select("node", "gid", F.explode(home).alias("part"))
-        leaves = leaves.select("node", "gid").union(few.select(F.xxhash64("node", "part", F.lit("few")), "gid"))
-        big = here.filter((F.col("size") > small) & ~F.col("few"))
-        if level == levels:  # the exact way for what did not divide: every block of a node against every other
-            blocks = F.ceil(F.col("size") * 2 / small).cast("int")
-            own = F.pmod(F.xxhash64("gid"), blocks).cast("int")
-            cut = big.select("node", "gid", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-            leaves = leaves.select("node", "gid").union(cut.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")), "gid"))
-        found = scratch.save(_candidates(leaves.select("node", "gid").join(pool, "gid"), percent), f"groups{level}")
-        if sets is None:  # whatever is compared later on is in a large node now
-            sets = _full_sets(source, found.select("gid").union(big.select("gid")).distinct(), reps, shingle, scratch)
-            pool = scratch.save(pool.join(big.select("gid").distinct(), "gid", "left_semi"), "pool")
-        edges.append(_verified_forest(found, sets, percent))
-        passing += [size, here, found]
-        if level == levels or big.isEmpty():
+    deep: list[DataFrame] = []  # (gid, depth): sets of nodes that were split, and how often
+    need = [trees_needed(d, percent) for d in range(levels + 1)]
+    grown, more = len(places), None
+    while True:
+        depth = 0
+        for level in range(levels + 1):
+            size = (
+                members.groupBy("node")
+                .agg(F.count("*").alias("size"), F.min(F.struct(F.col("core").isNotNull(), "gid")).getField("gid").alias("pivot"), F.min("core").alias("c0"), F.max("core").alias("c1"), F.count("core").alias("cored"))
+                .filter("size > 1 and not (cored = size and c0 = c1)")
+                .select("node", "size", "pivot", ((F.col("size") - F.col("cored") <= small // 2) & (F.col("cored") > 0) & F.coalesce(F.col("c0") == F.col("c1"), F.lit(False))).alias("few"), "cored")
+            )
+            size = scratch.save(size, f"sizes{level}")  # apart from the join, so that its large keys can be split
+            here = scratch.save(members.join(size, "node"), f"nodes{level}")
+            leaves = here.filter(F.col("size") <= small)
+            # One component and few others: each block of the component meets all others, and the node is finished.
+            parts = F.ceil(F.col("cored") * 2 / small).cast("int")
+            home = F.when(F.col("core").isNull(), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("gid"), parts).cast("int")))
+            few = here.filter((F.col("size") > small) & F.col("few")).select("node", "gid", F.explode(home).alias("part"))
+            leaves = leaves.select("node", "gid").union(few.select(F.xxhash64("node", "part", F.lit("few")), "gid"))
+            big = here.filter((F.col("size") > small) & ~F.col("few"))
+            if level == levels:  # the exact way for what did not divide: every block of a node against every other
+                blocks = F.ceil(F.col("size") * 2 / small).cast("int")
+                block = F.pmod(F.xxhash64("gid"), blocks).cast("int")
+                cut = big.select("node", "gid", block.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+                leaves = leaves.select("node", "gid").union(cut.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")), "gid"))
+            found = scratch.save(_candidates(leaves.select("node", "gid").join(pool, "gid"), percent), f"groups{level}")
+            if sets is None:  # whatever is compared later on is in a large node of the first trees
+                sets = _full_sets(source, found.select("gid").union(big.select("gid")).distinct(), reps, shingle, scratch)
+                pool = scratch.save(pool.join(big.select("gid").distinct(), "gid", "left_semi"), "pool")
+            edges.append(_verified_forest(found, sets, percent))
+            passing += [size, here, found]
+            if level == levels or big.isEmpty():
+                break
+            depth = level + 1
+            deep.append(big.select("gid", F.lit(depth).alias("depth")))
+            if own is None:
+                own = scratch.save(_tree_signatures(scratch.save(big.groupBy("gid").agg(F.collect_set("tree").alias("trees")), "trees"), sets, seed), "places")
+            star = scratch.save(_stars(big, pool, sets, percent, scratch), f"stars{level}")
+            passing.append(star)
+            edges.append(star.select(F.col("pivot").alias("a"), F.col("gid").alias("b")))
+            # A set linked to the pivot is of its component; the pivot has met all others here and leaves the node.
+            labelled = big.filter("gid != pivot").join(star.withColumn("hit", F.lit(True)), ["pivot", "gid"], "left").withColumn("core", F.coalesce("core", F.when(F.col("hit"), F.col("pivot"))))
+
+            def branch_make():
+                def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+                    if not batch.num_rows:
+                        return batch.select([0, 1, 2, 3])
+                    at, ids = child_nodes(batch.column(0).to_numpy(), _sigs(batch.column(4)), percent)
+                    at = pa.array(at)
+                    return pa.RecordBatch.from_arrays([pa.array(ids), batch.column(1).take(at), batch.column(2).take(at), batch.column(3).take(at)], ["node", "gid", "core", "tree"])
+
+                return step
+
+            members = scratch.save(arrow_map(labelled.join(own.select("gid", "tree", "own"), ["gid", "tree"]).select("node", "gid", "core", "tree", "own"), branch_make, "node long, gid long, core long, tree int", rows=4096), f"branch{level}")
+            passing.append(members)
+        if more is None:
+            if not deep:
+                break
+            passing.append(own)
+            # A pair is split no deeper than the shallower of its sets; those that the first trees suit are done.
+            short = [d for d in range(levels + 1) if need[d] > grown]
+            more = scratch.save(_union(deep).groupBy("gid").agg(F.max("depth").alias("depth")).filter(F.col("depth") >= min(short, default=levels + 1)), "deep")
+            passing.append(more)
+            if more.isEmpty():
+                break
+            reached = more.agg(F.max("depth")).first()[0]
+        else:
+            reached = max(reached, depth)
+        if need[reached] <= grown:
             break
-        star = scratch.save(_stars(big, pool, sets, percent, scratch), f"stars{level}")
-        passing.append(star)
-        edges.append(star.select(F.col("pivot").alias("a"), F.col("gid").alias("b")))
-        # A set linked to the pivot is of its component; the pivot has met all others here and leaves the node.
-        labelled = big.filter("gid != pivot").join(star.withColumn("hit", F.lit(True)), ["pivot", "gid"], "left").withColumn("core", F.coalesce("core", F.when(F.col("hit"), F.col("pivot"))))
-
-        def branch_make():
-            def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-                if not batch.num_rows:
-                    return batch.select([0, 1, 2])
-                at, ids = child_nodes(batch.column(0).to_numpy(), _sigs(batch.column(3)), percent)
-                at = pa.array(at)
-                return pa.RecordBatch.from_arrays([pa.array(ids), batch.column(1).take(at), batch.column(2).take(at)], ["node", "gid", "core"])
-
-            return step
-
-        members = scratch.save(arrow_map(labelled.join(pool.select("gid", "sig"), "gid").select("node", "gid", "core", "sig"), branch_make, "node long, gid long, core long", rows=4096), f"branch{level}")
-        passing.append(members)
-
-    links = edges[0]
-    for more in edges[1:]:
-        links = links.union(more)
-    links = scratch.save(links, "links")
+        # More trees, started from the components found so far: what is one component already costs no comparison.
+        known = scratch.save(_union(edges), "known")
+        parts = connected_components(known, scratch)
+        edges = [known]
+        own = _tree_signatures(scratch.save(more.select("gid", F.lit(list(range(grown, need[reached]))).alias("trees")), "trees"), sets, seed)
+        own = scratch.save(own, "places")
+        passing.append(own)
+        members = own.select("tree", F.col("root").alias("node"), "gid").join(parts.withColumnRenamed("node", "gid").withColumnRenamed("component", "core"), "gid", "left")
+        grown = need[reached]
+
+    links = scratch.save(_union(edges), "links")
     scratch.drop(sets, pool, *passing)
     parts = connected_components(links, scratch)
     named = equal.join(parts.withColumnRenamed("node", "gid"), "gid", "left").withColumn("component", F.coalesce("component", "gid"))

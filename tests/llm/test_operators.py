@@ -288,6 +288,47 @@ def test_blocks_when_nodes_do_not_divide(spark, near_rows):
     assert got == brute_near(near_rows, 4, 80)
 
 
+def test_pairs_in_a_crowd_of_templated_texts(spark):
+    rnd = random.Random(5)
+    base = [f"t{i}" for i in range(300)]
+
+    def edited(n, of, taken=()):
+        w = list(of)
+        at = rnd.sample([i for i in range(5, 295, 5) if i not in taken], n)
+        for i in at:
+            w[i] = f"e{rnd.random()}"
+        return w, {*taken, *at}
+
+    texts = [edited(5, base)[0] for _ in range(180)]  # 0.71 or more to one another
+    for _ in range(60):  # pairs of 0.80 to 0.83, as far from the others
+        half, taken = edited(2, base)
+        one, taken_one = edited(3, half, taken)
+        texts += [one, edited(3, half, taken_one)[0]]
+    pairs = list(zip(texts[180::2], texts[181::2], strict=True))
+    near = [len(set(a_) & set(b_)) / len(set(a_) | set(b_)) for a_, b_ in (([tuple(w[i : i + 5]) for i in range(296)] for w in p) for p in pairs)]
+    assert 0.80 <= min(near) and max(near) <= 0.83
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(df, 5, 80, trees=1, small=32, levels=2).collect()}
+    assert sum(got[i] != got[i + 1] for i in range(180, 300, 2)) == 0
+
+
+def test_trees_suit_the_depth():
+    assert [N.trees_needed(d, 80) for d in (0, 1, 3, 5, 10)] == [6, 9, 13, 17, 26]
+    for d in range(11):
+        assert (1 - N.kept_together(d, 80)) ** N.trees_needed(d, 80) <= N.MISS
+    rng = np.random.default_rng(8)  # pairs of tree signatures that agree at 80 of 100 places, three levels down
+    kept, n = 0, 4000
+    for t in range(n):
+        a_ = rng.integers(0, 1 << 32, N.POSITIONS, np.uint32)
+        b_ = np.where(rng.random(N.POSITIONS) < 0.8, a_, a_ + 1).astype(np.uint32)
+        one = two = np.array([rng.integers(1 << 62)])
+        for _ in range(3):
+            one, two = (N.child_nodes(x, np.tile(s, (len(x), 1)), 80)[1] for x, s in ((one, a_), (two, b_)))
+            one = two = np.intersect1d(one, two)
+        kept += len(one) > 0
+    assert abs(0.8 * kept / n - N.kept_together(3, 80)) < 0.02
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert N.near_duplicates(df).count() == 0
