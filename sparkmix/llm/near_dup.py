@@ -540,8 +540,17 @@ def _full_sets(source: DataFrame, wanted: DataFrame, reps: DataFrame, shingle: i
     return scratch.save(made.join(wanted.select("gid", "mark"), "mark").groupBy("gid").agg(F.first("full").alias("full")), "full_sets")
 
 
-def keep_one(df: DataFrame, **options) -> DataFrame:
-    """The rows of ``df`` without near copies: of each component the row with the smallest id stays. Ids must be unique and not null."""
-    id_col = options.get("id_col", "doc_id")
-    kept = near_duplicates(df, **options).filter("kept").select(id_col)
-    return df.join(kept, id_col, "left_semi").select(*df.columns)
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` without near copies: of each component one row stays, that with the smallest id.
+
+    Rows are chosen, not ids: among equal ids the first row of a written copy stays, and
+    a null id comes after all others. A row without words is its own component and stays.
+    """
+    row = "_row"
+    while row in df.columns:
+        row += "_"
+    numbered = Scratch(df.sparkSession).save(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    found = near_duplicates(numbered.select(key.alias("key"), F.col(text_col).alias("text")), id_col="key", text_col="text", **options)
+    kept = found.filter("key.row = component_id.row").select(F.col("key.row").alias(row))
+    return numbered.join(kept, row, "left_semi").select(*df.columns)

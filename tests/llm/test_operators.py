@@ -329,6 +329,20 @@ def test_trees_suit_the_depth():
     assert abs(0.8 * kept / n - N.kept_together(3, 80)) < 0.02
 
 
+def test_keep_one_of_null_and_repeated_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base[:-1], "x"])
+    rows = [(None, "a null id alone stays", 1)]
+    rows += [(4, "a repeated row is one", 2)] * 5
+    rows += [(5, " ".join(base), 3), (5, near, 4), (6, near, 5)]  # one id, two texts, one component
+    rows += [(None, "only null ids here", 6)] * 3
+    rows += [(None, "an id goes before null", 7), (9, "an id goes before null", 8), (9, "another text of nine", 9)]
+    rows += [(None, None, 10), (None, "  ", 11), (7, None, 12), (7, None, 12)]
+    got = sorted(r._row for r in N.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _row int").repartition(3)).collect())
+    assert got in ([1, 2, k, 6, 8, 9, 10, 11, 12, 12] for k in (3, 4))
+    assert N.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert N.near_duplicates(df).count() == 0
