@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows handled at once inside a task; bounds Python memory for long texts.
 SLICE_ROWS = 256
@@ -60,7 +61,7 @@ class Scratch:
 def arrow_map(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
-    schema: str,
+    schema: StructType | str,
     rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """``mapInArrow`` over slices of a batch; ``make`` runs once in each task."""

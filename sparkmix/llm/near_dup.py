@@ -1,42 +1,46 @@
 """Operator 8: near-duplicate documents by chosen-path set similarity join.
 
 A document is its set of word shingles. Sets that are equal are folded into one first.
-Each set has a signature of minwise tokens. A tree starts from chosen signature places;
-sets that share the token there meet in a node. A node that is still large chooses
-further places, on average ``1 / threshold`` of them, and its sets branch by their tokens
-there; sets in a small node are compared exhaustively, by signatures first and then on
-their full sets.
-
-Each tree branches by signature places of its own, so trees are independent. A tree keeps
-a pair together less often the deeper its nodes are split (``kept_together``); sets of
-nodes that were split deeper than the first trees allow for go through more trees, until
-their number suits the depth reached. A pair at the threshold is then missed with a chance
-of ``MISS`` at most, besides 5e-6 (at 0.80) for an estimate more than ``SLACK`` too low.
-
-In a large node every set is also compared with one pivot; sets linked to it are one
-component already, and a branch that holds nothing else ends. What is still large after
-the last level is compared block by block, so no pair is skipped for the size of its node.
+Independent trees deal the sets out: a tree starts from a minwise token of each set, and
+sets with the same token meet in a node. A node that is small is compared exhaustively, by
+signatures first and then on full sets. A node that is large chooses further minwise
+functions, on average ``1 / threshold`` of them, and its sets branch by their tokens there.
+A node's functions depend on the node alone, so every level and every tree is independent,
+and a set's way through several levels follows from its shingles without a shuffle.
+
+A tree keeps a pair together less often the deeper its nodes are split (``kept_together``).
+Sets whose nodes are split go through as many more trees as the depth asks for, so that a
+pair at the threshold is missed with a chance of ``MISS`` at most, besides 5e-6 (at 0.80)
+for an estimate by signatures that is more than ``SLACK`` too low.
+
+A large node is also dealt out to blocks at random, each compared exhaustively, and the
+components found so far are marked on its sets. Crowds of near copies are one component
+then: a node of one component ends, and in a node of one component and few others these
+few meet every block of it. What has not divided after the last level is compared block by
+block, so no pair is skipped for the size of its node.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
-from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, arrow_map, connected_components, ship_package
 
+#: Places of a signature; one byte is kept of each.
 POSITIONS = 64
 #: How far an estimate of the similarity by the signature may lie under the threshold: five standard errors.
 SLACK = 0.25
 #: Chance at most that no tree brings a pair at the threshold together.
 MISS = 1e-4
+#: Levels that a node is split at once.
+STEP = 2
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -71,21 +75,6 @@ def shingle_set(text: str | None, size: int, hashes: dict | None = None) -> np.n
     return np.unique(h)
 
 
-@lru_cache(maxsize=256)
-def _factors(seed: int | tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    return rng.integers(1, 1 << 63, (POSITIONS, 1), np.uint64) | np.uint64(1), rng.integers(1, 1 << 63, (POSITIONS, 1), np.uint64)
-
-
-def signature(shingles: np.ndarray, seed: int | tuple[int, ...]) -> np.ndarray:
-    """The minwise token at each of the places, as 32 bits."""
-    a, b = _factors(seed)
-    out = np.full(POSITIONS, 0xFFFFFFFF, np.uint64)
-    for at in range(0, len(shingles), 4096):
-        np.minimum(out, ((shingles[None, at : at + 4096] * a + b) >> np.uint64(32)).min(1), out=out)
-    return out.astype(np.uint32)
-
-
 def _hash64(*parts: np.ndarray) -> np.ndarray:
     h = np.zeros(np.broadcast(*parts).shape, np.uint64)
     for i, p in enumerate(parts):
@@ -95,24 +84,57 @@ def _hash64(*parts: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def root_places(trees: int, percent: int, seed: int) -> np.ndarray:
-    """Distinct signature places at which the first trees start: 100 / percent times ``trees``, and enough for nodes that are never split."""
-    least = trees_needed(0, percent)
-    if least > POSITIONS:
-        raise ValueError(f"a threshold of {percent} % needs more than {POSITIONS} places")
-    n = min(POSITIONS, max(least, int(np.ceil(trees * 100 / percent))))
-    return np.sort(np.random.default_rng(seed + 1).permutation(POSITIONS)[:n])
+def minwise(shingles: np.ndarray, functions: np.ndarray) -> np.ndarray:
+    """The smallest value of a set under each of some hash functions, given by 64-bit names."""
+    a, b = _hash64(functions, np.uint64(11))[:, None] | np.uint64(1), _hash64(functions, np.uint64(12))[:, None]
+    out = np.full(len(functions), 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for at in range(0, len(shingles), 4096):
+        np.minimum(out, (shingles[None, at : at + 4096] * a + b).min(1), out=out)
+    return out
+
+
+def _names(seed: int, kind: int, count: range) -> np.ndarray:
+    return _hash64(np.uint64(seed), np.uint64(kind), np.arange(count.start, count.stop, dtype=np.uint64))
+
+
+def signature(shingles: np.ndarray, seed: int) -> np.ndarray:
+    """One byte of the minwise token at each of the places."""
+    return (minwise(shingles, _names(seed, 1, range(POSITIONS))) * _MIX[2] >> np.uint64(56)).astype(np.uint8)
+
+
+def root_nodes(shingles: np.ndarray, seed: int, trees: range) -> np.ndarray:
+    """The node where each of the trees starts for a set."""
+    names = _names(seed, 2, trees)
+    return _hash64(names, minwise(shingles, names))
+
+
+def child_nodes(nodes: np.ndarray, shingles: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of ``nodes`` and the nodes one level down where a set goes from there."""
+    whole, part = divmod(100 / percent, 1)
+    more = np.flatnonzero((_hash64(nodes, np.uint64(1)) >> np.uint64(40)).astype(np.float64) / (1 << 24) < part)
+    rows = np.concatenate([*[np.arange(len(nodes))] * int(whole), more])
+    which = np.concatenate([*[np.full(len(nodes), i, np.uint64) for i in range(int(whole))], np.full(len(more), int(whole), np.uint64)])
+    names = _hash64(nodes[rows], which, np.uint64(2))
+    return rows, _hash64(names, minwise(shingles, names))
+
+
+def descend(nodes: np.ndarray, shingles: np.ndarray, levels: int, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(nodes, their parents) of each level under ``nodes`` that a set goes through."""
+    out = []
+    for _ in range(levels):
+        rows, below = child_nodes(nodes, shingles, percent)
+        out.append((below, nodes[rows]))
+        nodes = below
+    return out
 
 
 def kept_together(depth: int, percent: int) -> float:
     """The chance that a pair at the threshold shares a root and, in one of its branches, each of ``depth`` levels below."""
     j, (whole, part) = percent / 100, divmod(100 / percent, 1)
-    agree = np.arange(POSITIONS + 1) / POSITIONS  # of the tree's own places
-    weight = np.array([comb(POSITIONS, k) * j**k * (1 - j) ** (POSITIONS - k) for k in range(POSITIONS + 1)])
-    alive = np.ones(POSITIONS + 1)
+    alive = 1.0
     for _ in range(depth):
-        alive = 1 - (1 - agree * alive) ** whole * (1 - part * agree * alive)
-    return j * float(weight @ alive)
+        alive = 1 - (1 - j * alive) ** whole * (1 - part * j * alive)
+    return j * alive
 
 
 def trees_needed(depth: int, percent: int, miss: float = MISS) -> int:
@@ -121,20 +143,6 @@ def trees_needed(depth: int, percent: int, miss: float = MISS) -> int:
     return int(np.ceil(np.log(miss) / np.log1p(-one))) if one < 1 else 1
 
 
-def child_nodes(node: np.ndarray, sigs: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and node ids one level down. Which places are chosen depends on the node alone."""
-    whole, part = divmod(100 / percent, 1)
-    more = np.flatnonzero((_hash64(node, np.uint64(1)) >> np.uint64(40)).astype(np.float64) / (1 << 24) < part)
-    first = (_hash64(node, np.uint64(2)) % np.uint64(POSITIONS)).astype(np.int64)
-    step = 1 + (_hash64(node, np.uint64(3)) % np.uint64(POSITIONS // 2)).astype(np.int64) * 2  # odd, so that places of a node differ
-    every = np.arange(len(node))
-    picks = [(every, first + i * step) for i in range(int(whole))] + [(more, (first + int(whole) * step)[more])]
-    rows = np.concatenate([r for r, _ in picks])
-    place = np.concatenate([x for _, x in picks]) % POSITIONS
-    ids = _hash64(node[rows], place, sigs[rows, place])
-    return rows, ids.view(np.int64)
-
-
 def groups_of(key: np.ndarray) -> Iterator[tuple[int, int]]:
     """Bounds of each run of equal keys."""
     if len(key):
@@ -174,61 +182,54 @@ def _joined(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
 
 
-def _sigs(column: pa.Array) -> np.ndarray:
-    raw = b"".join(column.to_pylist())
-    return np.frombuffer(raw, np.uint32).reshape(-1, POSITIONS)
-
-
 def similar_size(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
 
 
-def _by_runs(df: DataFrame, key: str, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply ``step`` to batches that hold whole groups of ``key``; ``key`` is the first column."""
+def _by_runs(df: DataFrame, keys: list[str], step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """Apply ``step`` to batches that hold whole groups of the first key, sorted by all keys; the first key is the first column."""
     ship_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_runs(batches, 0):
             yield step(batch)
 
-    return df.repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(run, schema)
+    return df.repartition(F.col(keys[0])).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def _candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """(grp, gid) from (node, gid, n, sig): sets of a small node that estimates connect. Equal groups of several trees have equal ids."""
-    least = percent / 100 - SLACK
+    """(grp, gid) from (block, gid, core, n, sig): sets of a block that estimates connect, unless they have the same core.
+
+    Equal groups of several trees have equal ids.
+    """
+    least = POSITIONS * (percent / 100 - SLACK)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        node, gid, n = (batch.column(i).to_numpy() for i in range(3))
-        sigs = _sigs(batch.column(3))
-        total = len(node)
-        left, right = [], []
-        for d in range(1, total):
-            same = np.flatnonzero(node[:-d] == node[d:])
+        block, gid, core, n = (batch.column(i).to_numpy() for i in range(4))
+        sigs = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, POSITIONS)
+        parent: dict[int, int] = {}
+        for d in range(1, batch.num_rows):
+            same = np.flatnonzero(block[:-d] == block[d:])
             if not len(same):
                 break
-            same = same[similar_size(n[same], n[same + d], percent)]
+            same = same[similar_size(n[same], n[same + d], percent) & (core[same] != core[same + d])]
             for at in range(0, len(same), 65536):
                 i = same[at : at + 65536]
-                near = (sigs[i] == sigs[i + d]).mean(1) >= least
-                left.append(i[near])
-                right.append(i[near] + d)
-        parent: dict[int, int] = {}
-        for i, j in zip(np.concatenate(left or [np.zeros(0, int)]).tolist(), np.concatenate(right or [np.zeros(0, int)]).tolist(), strict=True):
-            parent[_fold(parent, i)] = _fold(parent, j)
+                i = i[(sigs[i] == sigs[i + d]).sum(1) >= least]
+                for x in i.tolist():
+                    parent[_fold(parent, x)] = _fold(parent, x + d)
         members: dict[int, list[int]] = {}
         for i in parent:
             members.setdefault(_fold(parent, i), []).append(i)
-        grp, out = [], []
+        grp, out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for rows_ in members.values():
             ids = np.unique(gid[rows_])
             if len(ids) > 1:
                 grp.append(np.full(len(ids), xxhash.xxh3_64_intdigest(ids.tobytes()), np.uint64).view(np.int64))
                 out.append(ids)
-        none = [np.zeros(0, np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(grp or none)), pa.array(np.concatenate(out or none))], ["grp", "gid"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(grp)), pa.array(np.concatenate(out))], ["grp", "gid"])
 
-    return _by_runs(rows.select("node", "gid", "n", "sig"), "node", step, "grp long, gid long").distinct()
+    return _by_runs(rows.select("block", "gid", "core", "n", "sig"), ["block"], step, "grp long, gid long")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -248,8 +249,8 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def group_links(full: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """All linked pairs of a group, from the exact sizes of all its intersections at once."""
-    if len(full) == 2:
-        return [(0, 1)] if linked(full[0], full[1], percent) else []
+    if len(full) < 3:
+        return [(0, 1)] if len(full) == 2 and linked(full[0], full[1], percent) else []
     k, sizes = len(full), np.array([len(x) for x in full])
     _, place, count = np.unique(np.concatenate(full), return_inverse=True, return_counts=True)
     shared = count[place] > 1
@@ -267,84 +268,196 @@ def group_links(full: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return list(zip(a.tolist(), b.tolist(), strict=True))
 
 
-def _verified_forest(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that connect each group's components. Every pair of a group is compared on full sets."""
+def _verified_forest(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) from (grp, gid, full): links of each group's components to their smallest member. Every pair of a group is compared on full sets."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         grp, gid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        fresh = np.flatnonzero(np.concatenate(([True], (grp[1:] != grp[:-1]) | (gid[1:] != gid[:-1]))))  # a text that is found twice counts once
         a, b = [], []
-        for lo, hi in groups_of(grp):
-            full = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(2).slice(lo, hi - lo)]
+        for lo, hi in groups_of(grp[fresh]):
+            at = fresh[lo:hi]
+            full = [np.frombuffer(batch.column(2)[i].as_py(), np.uint64) for i in at.tolist()]
             parent: dict[int, int] = {}
             for i, j in group_links(full, percent):
                 x, y = _fold(parent, i), _fold(parent, j)
-                if x != y:
-                    parent[x] = y
-                    a.append(gid[lo + i])
-                    b.append(gid[lo + j])
+                parent[max(x, y)] = min(x, y)
+            for i in parent:
+                if (r := _fold(parent, i)) != i:
+                    a.append(gid[at[r]])
+                    b.append(gid[at[i]])
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return _by_runs(sets.join(_checked(groups), "gid").select("grp", "gid", "full"), "grp", step, "a long, b long")
-
+    return _by_runs(rows, ["grp", "gid"], step, "a long, b long")
 
-def _stars(big: DataFrame, pool: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(pivot, gid) that are linked on full sets, for the pivot of each large node."""
-    least = percent / 100 - SLACK
-    one = pool.select(F.col("gid").alias("pivot"), F.col("n").alias("pn"), F.col("sig").alias("psig"))
-    pairs = big.filter("gid != pivot").select("pivot", "gid").distinct().join(pool, "gid").join(one, "pivot")
 
-    def near_make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ok = similar_size(batch.column(2).to_numpy(), batch.column(4).to_numpy(), percent)
-            if batch.num_rows:
-                ok &= (_sigs(batch.column(3)) == _sigs(batch.column(5))).mean(1) >= least
-            return batch.select([0, 1]).filter(pa.array(ok))
-
-        return step
-
-    near = scratch.save(arrow_map(pairs.select("pivot", "gid", "n", "sig", "pn", "psig"), near_make, "pivot long, gid long"), "near")
-    centres = sets.join(_checked(scratch.save(near.select(F.col("pivot").alias("gid")).distinct(), "pivots")), "gid").select(F.col("gid").alias("pivot"), F.col("full").alias("pfull"))
-    full = sets.join(_checked(near), "gid").join(centres, "pivot").select("pivot", "gid", "full", "pfull")
-
-    def link_make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ok = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            return batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+#: Written tables are broadcast up to so many rows; beyond, both sides of a join shuffle.
+BROADCAST_PAIRS = 200_000
+#: Text hashes alone are broadcast up to so many.
+BROADCAST_ROWS = 2_000_000
 
-        return step
 
-    return arrow_map(full, link_make, "pivot long, gid long")
+def _checked(df: DataFrame) -> DataFrame:
+    """A written table with a broadcast hint, if it is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_PAIRS else df
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for df in tables[1:]:
-        out = out.union(df)
+        out = out.unionByName(df)
     return out
 
 
-def _tree_signatures(wanted: DataFrame, sets: DataFrame, seed: int) -> DataFrame:
-    """(gid, tree, own, root) from (gid, trees): the places of each tree in ``trees``, and the node where it starts."""
-
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            gid, trees, own, root = [], [], [], []
-            for g, ts, full in zip(*(batch.column(i) for i in range(3)), strict=True):
-                s = np.frombuffer(full.as_py(), np.uint64)
-                for t in ts.as_py():
-                    sig = signature(s, (seed, 2, t))
-                    gid.append(g.as_py())
-                    trees.append(t)
-                    own.append(sig.tobytes())
-                    # by a value of its own, that no level below branches by
-                    root.append(_hash64(np.uint64(t), np.uint64(POSITIONS), signature(s, (seed, 3, t // POSITIONS))[t % POSITIONS]))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(gid, pa.int64()), pa.array(trees, pa.int32()), pa.array(own, pa.binary()), pa.array(np.array(root, np.uint64).view(np.int64))], ["gid", "tree", "own", "root"]
-            )
-
-        return step
-
-    return arrow_map(sets.join(_checked(wanted), "gid").select("gid", "trees", "full"), make, "gid long, tree int, own binary, root long", rows=64)
+class _Trees:
+    """The search for links between distinct sets (``reps``: gid, n, sig, roots, text_hash, mark)."""
+
+    def __init__(self, source: DataFrame, reps: DataFrame, scratch: Scratch, shingle: int, percent: int, small: int, seed: int):
+        self.source, self.reps, self.scratch = source, reps, scratch
+        self.shingle, self.percent, self.small, self.seed = shingle, percent, small, seed
+        self.edges: list[DataFrame] = []
+        self.passing: list[DataFrame] = []  # tables that only the search reads
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        out = self.scratch.save(df, name)
+        self.passing.append(out)
+        return out
+
+    def search(self, trees: int, levels: int, miss: float) -> DataFrame:
+        """(a, b): links that connect the components of all sets."""
+        grown = max(trees, trees_needed(0, self.percent, miss))
+        paths = self.reps.select(F.explode("roots").alias("node"), F.lit(None).cast("long").alias("parent"), "gid", F.col("gid").alias("core"), F.lit(True).alias("deep"))
+        few, depth = None, 0
+        while True:
+            here = self._nodes(paths, depth)
+            blocks = here.filter("block is not null").select("block", "gid", "core")
+            self._compare(blocks if few is None else blocks.union(few), depth)
+            left = here.filter("deep and size > 0")
+            if left.isEmpty():
+                break
+            branch, few = self._open_nodes(left)
+            if depth + STEP > levels:
+                self._compare(self._block_pairs(branch).union(few), depth)
+                break
+            depth += STEP
+            wanted = trees_needed(depth, self.percent, miss)
+            paths = self.save(self._paths(branch, range(min(grown, wanted), wanted), depth).dropDuplicates(["node", "gid"]), f"paths{depth}")
+            grown = max(grown, wanted)
+        links = self.scratch.save(_union(self.edges), "links")
+        self.scratch.drop(*self.passing)
+        return links
+
+    def _nodes(self, paths: DataFrame, depth: int) -> DataFrame:
+        """(node, gid, core, deep, size, block) of nodes with anything left to compare; ``size`` is 0 where no further split is needed.
+
+        A node is small or its parent is large: below a small one everything is compared already.
+        """
+        found = [F.count("*").alias("size")] + ([F.min("core").alias("c0"), F.max("core").alias("c1")] if depth else [])
+        sizes = self.save(paths.groupBy("node").agg(*found).filter("size > 1 and c0 != c1" if depth else "size > 1").select("node", "size"), f"sizes{depth}")
+        here = paths.join(_checked(sizes), "node")
+        if depth:
+            large = sizes.filter(F.col("size") > self.small).select(F.col("node").alias("parent"), F.lit(True).alias("above"))
+            here = here.join(_checked(self.save(large, f"large{depth}")), "parent", "left").filter("parent is null or above")
+        dealt = F.xxhash64("node", F.pmod(F.xxhash64("gid", "node"), F.ceil(F.col("size") * 5 / (4 * self.small))))
+        block = F.when(F.col("size") <= self.small, F.col("node")).when(F.col("deep"), dealt)
+        return self.save(here.select("node", "gid", "core", "deep", F.when(F.col("size") > self.small, F.col("size")).otherwise(0).alias("size"), block.alias("block")), f"nodes{depth}")
+
+    def _compare(self, blocks: DataFrame, depth: int) -> None:
+        """Add the links within blocks of (block, gid, core)."""
+        blocks = self.save(blocks, f"blocks{depth}") if depth else blocks
+        near = self.reps.select("gid", "n", "sig").join(_checked(blocks), "gid")
+        groups = _candidates(near, self.percent).groupBy("gid").agg(F.collect_set("grp").alias("grps"))
+        shingle = self.shingle
+
+        def make():
+            words, done = _WordHashes(), set()
+
+            def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+                grp, gid, full = [], [], []
+                for text, g, mark, grps in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if g in done:
+                        continue
+                    raw = shingle_set(text, shingle, words).tobytes()
+                    if xxhash.xxh3_128_digest(raw) == mark:
+                        done.add(g)
+                        grp += grps
+                        gid += [g] * len(grps)
+                        full += [raw] * len(grps)
+                return pa.RecordBatch.from_arrays([pa.array(grp, pa.int64()), pa.array(gid, pa.int64()), pa.array(full, pa.binary())], ["grp", "gid", "full"])
+
+            return step
+
+        rows = arrow_map(self._texts(groups, f"groups{depth}", ["grps"]), make, "grp long, gid long, full binary", rows=64)
+        self.edges.append(self.scratch.save(_verified_forest(rows, self.percent), f"edges{depth}"))
+
+    def _texts(self, sets: DataFrame, name: str, more: list[str]) -> DataFrame:
+        """(text, gid, mark, ...) of sets, read from the source again; a text may come several times."""
+        sets = self.save(self.reps.select("gid", "text_hash", "mark").join(sets, "gid"), name)
+        texts, count = self.source.select("text", F.xxhash64("text").alias("text_hash")), sets.count()
+        if count <= BROADCAST_PAIRS:
+            sets = F.broadcast(sets)
+        elif count <= BROADCAST_ROWS:
+            texts = texts.join(F.broadcast(sets.select("text_hash").distinct()), "text_hash", "left_semi")
+        return texts.join(sets, "text_hash").select("text", "gid", "mark", *more)
+
+    def _open_nodes(self, left: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of large nodes: (node, gid, core) of those that branch, and (block, gid, core) of those that hold one component and few others."""
+        known = self.save(_union(self.edges), "known")
+        parts = connected_components(known, self.scratch).select(F.col("node").alias("gid"), "component")
+        left = left.select("node", "gid").join(parts, "gid", "left").select("node", "gid", F.coalesce("component", "gid").alias("core"))
+        left = self.save(left, "cores")
+        each = left.groupBy("node", "core").agg(F.count("*").alias("n"))
+        nodes = each.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "core")).alias("most")).select("node", (F.col("size") - F.col("most.n")).alias("others"), F.col("most.n").alias("mates"), F.col("most.core").alias("main"))
+        nodes = self.save(nodes.filter("others > 0"), "open")
+        rows = left.join(_checked(nodes), "node")
+        parts_of = F.ceil(F.col("mates") * 2 / self.small).cast("int")
+        home = F.when(F.col("core") == F.col("main"), F.array(F.pmod(F.xxhash64("gid"), parts_of).cast("int"))).otherwise(F.sequence(F.lit(0), parts_of - 1))
+        is_few = F.col("others") <= self.small // 2
+        few = rows.filter(is_few).select("node", "gid", "core", F.explode(home).alias("part")).select(F.xxhash64("node", "part").alias("block"), "gid", "core")
+        return rows.filter(~is_few).select("node", "gid", "core"), few
+
+    def _paths(self, branch: DataFrame, trees: range, depth: int) -> DataFrame:
+        """(node, parent, gid, core, deep): the next levels of branching nodes, and new trees down to the same depth for their sets."""
+        starts = branch.groupBy("gid", "core").agg(F.collect_set("node").alias("nodes"))
+        shingle, seed, percent = self.shingle, self.seed, self.percent
+
+        def make():
+            words, done = _WordHashes(), set()
+
+            def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+                out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # nodes, parents (0: none), whether at the last level
+                size, who = [], []
+                for text, g, mark, core, nodes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if g in done:
+                        continue
+                    s = shingle_set(text, shingle, words)
+                    if xxhash.xxh3_128_digest(s.tobytes()) != mark:
+                        continue
+                    done.add(g)
+                    down = descend(np.array(nodes, np.int64).view(np.uint64), s, STEP, percent)
+                    down[0] = (down[0][0], np.zeros_like(down[0][1]))
+                    roots = root_nodes(s, seed, trees)
+                    fresh = [(roots, np.zeros_like(roots)), *descend(roots, s, depth, percent)]
+                    for way in (down, fresh):
+                        out += [(x, p, np.full(len(x), i == len(way) - 1)) for i, (x, p) in enumerate(way)]
+                    n = sum(len(x) for way in (down, fresh) for x, _ in way)
+                    size.append(n)
+                    who.append((g, core))
+                cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)]
+                node, parent = cols[0].view(np.int64), cols[1].view(np.int64)
+                gid, core = (np.repeat(np.array([w[i] for w in who], np.int64), size) for i in (0, 1))
+                return pa.RecordBatch.from_arrays([pa.array(node), pa.array(parent, mask=parent == 0), pa.array(gid), pa.array(core), pa.array(cols[2])], ["node", "parent", "gid", "core", "deep"])
+
+            return step
+
+        return arrow_map(self._texts(starts, f"starts{depth}", ["core", "nodes"]), make, "node long, parent long, gid long, core long, deep boolean", rows=64)
+
+    def _block_pairs(self, branch: DataFrame) -> DataFrame:
+        """The exact way for what did not divide: every block of a node meets every other."""
+        sizes = self.save(branch.groupBy("node").agg(F.ceil(F.count("*") / (2 * self.small)).cast("int").alias("blocks")), "undivided")
+        own, other = F.pmod(F.xxhash64("gid"), "blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        cut = branch.join(_checked(sizes), "node").select("node", "gid", "core", own.alias("own"), other.alias("other"))
+        return cut.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "gid", "core")
 
 
 def near_duplicates(
@@ -353,10 +466,11 @@ def near_duplicates(
     percent: int = 80,
     id_col: str = "doc_id",
     text_col: str = "text",
-    trees: int = 10,
+    trees: int = 1,
     small: int = 256,
-    levels: int = 10,
+    levels: int = 20,
     seed: int = 11,
+    miss: float = MISS,
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept), one row for each row of ``df``.
 
@@ -366,12 +480,11 @@ def near_duplicates(
     blank) its set is empty and it is its own component. Repeated rows are equal sets
     and so linked. A row with a null id takes part in links but is never kept; a
     component of such rows alone has a null component_id. An empty
-    table gives an empty result; other columns are not read.
+    table gives an empty result; other columns are not read. Very long texts are whole
+    sets like others. ``trees`` is the least number of trees; ``miss`` asks for more.
     """
-    spark = df.sparkSession
-    scratch = Scratch(spark)
-    places = root_places(trees, percent, seed)
-    kind = df.schema[id_col].dataType.simpleString()
+    scratch = Scratch(df.sparkSession)
+    first = range(max(trees, trees_needed(0, percent, miss)))
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def sign_make():
@@ -382,15 +495,10 @@ def near_duplicates(
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, shingle, hashes)
                 n.append(len(s))
-                if not len(s):
-                    mark.append(None)
-                    sig.append(None)
-                    roots.append(None)
-                    continue
-                mark.append(xxhash.xxh3_128_digest(s.tobytes()))
-                own = signature(s, seed)
-                sig.append(own.tobytes())
-                roots.append(_hash64(places, own[places]).view(np.int64))
+                some = len(s) > 0
+                mark.append(xxhash.xxh3_128_digest(s.tobytes()) if some else None)
+                sig.append(signature(s, seed).tobytes() if some else None)
+                roots.append(root_nodes(s, seed, first).view(np.int64) if some else None)
             return pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(mark, pa.binary()), pa.array(sig, pa.binary()), pa.array(roots, pa.list_(pa.int64())), batch.column(2)],
                 ["id", "n", "mark", "sig", "roots", "text_hash"],
@@ -398,99 +506,13 @@ def near_duplicates(
 
         return step
 
-    rows = arrow_map(source.withColumn("text_hash", F.xxhash64("text")), sign_make, f"id {kind}, n long, mark binary, sig binary, roots array<long>, text_hash long")
+    columns = T.StructType([T.StructField("id", df.schema[id_col].dataType), *T.StructType.fromDDL("n long, mark binary, sig binary, roots array<long>, text_hash long")])
+    rows = arrow_map(source.withColumn("text_hash", F.xxhash64("text")), sign_make, columns)
     rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "signatures")
     equal = scratch.save(rows.filter("n > 0").groupBy("mark").agg(F.min("row").alias("gid"), F.min("id").alias("low")), "equal_sets")
     reps = rows.join(equal.select(F.col("gid").alias("row")), "row", "left_semi").select(F.col("row").alias("gid"), "n", "sig", "roots", "text_hash", "mark")
     reps = scratch.save(reps, "representatives")
-
-    members = reps.select(F.posexplode("roots").alias("tree", "node"), "gid", F.lit(None).cast("long").alias("core"))
-    own, sets, pool = None, None, reps.select("gid", "n", "sig")
-    edges: list[DataFrame] = []
-    passing: list[DataFrame] = []  # tables that only the search reads
-    deep: list[DataFrame] = []  # (gid, depth): sets of nodes that were split, and how often
-    need = [trees_needed(d, percent) for d in range(levels + 1)]
-    grown, more = len(places), None
-    while True:
-        depth = 0
-        for level in range(levels + 1):
-            size = (
-                members.groupBy("node")
-                .agg(F.count("*").alias("size"), F.min(F.struct(F.col("core").isNotNull(), "gid")).getField("gid").alias("pivot"), F.min("core").alias("c0"), F.max("core").alias("c1"), F.count("core").alias("cored"))
-                .filter("size > 1 and not (cored = size and c0 = c1)")
-                .select("node", "size", "pivot", ((F.col("size") - F.col("cored") <= small // 2) & (F.col("cored") > 0) & F.coalesce(F.col("c0") == F.col("c1"), F.lit(False))).alias("few"), "cored")
-            )
-            size = scratch.save(size, f"sizes{level}")  # apart from the join, so that its large keys can be split
-            here = scratch.save(members.join(size, "node"), f"nodes{level}")
-            leaves = here.filter(F.col("size") <= small)
-            # One component and few others: each block of the component meets all others, and the node is finished.
-            parts = F.ceil(F.col("cored") * 2 / small).cast("int")
-            home = F.when(F.col("core").isNull(), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("gid"), parts).cast("int")))
-            few = here.filter((F.col("size") > small) & F.col("few")).select("node", "gid", F.explode(home).alias("part"))
-            leaves = leaves.select("node", "gid").union(few.select(F.xxhash64("node", "part", F.lit("few")), "gid"))
-            big = here.filter((F.col("size") > small) & ~F.col("few"))
-            if level == levels:  # the exact way for what did not divide: every block of a node against every other
-                blocks = F.ceil(F.col("size") * 2 / small).cast("int")
-                block = F.pmod(F.xxhash64("gid"), blocks).cast("int")
-                cut = big.select("node", "gid", block.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-                leaves = leaves.select("node", "gid").union(cut.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")), "gid"))
-            found = scratch.save(_candidates(leaves.select("node", "gid").join(pool, "gid"), percent), f"groups{level}")
-            if sets is None:  # whatever is compared later on is in a large node of the first trees
-                sets = _full_sets(source, found.select("gid").union(big.select("gid")).distinct(), reps, shingle, scratch)
-                pool = scratch.save(pool.join(big.select("gid").distinct(), "gid", "left_semi"), "pool")
-            edges.append(_verified_forest(found, sets, percent))
-            passing += [size, here, found]
-            if level == levels or big.isEmpty():
-                break
-            depth = level + 1
-            deep.append(big.select("gid", F.lit(depth).alias("depth")))
-            if own is None:
-                own = scratch.save(_tree_signatures(scratch.save(big.groupBy("gid").agg(F.collect_set("tree").alias("trees")), "trees"), sets, seed), "places")
-            star = scratch.save(_stars(big, pool, sets, percent, scratch), f"stars{level}")
-            passing.append(star)
-            edges.append(star.select(F.col("pivot").alias("a"), F.col("gid").alias("b")))
-            # A set linked to the pivot is of its component; the pivot has met all others here and leaves the node.
-            labelled = big.filter("gid != pivot").join(star.withColumn("hit", F.lit(True)), ["pivot", "gid"], "left").withColumn("core", F.coalesce("core", F.when(F.col("hit"), F.col("pivot"))))
-
-            def branch_make():
-                def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-                    if not batch.num_rows:
-                        return batch.select([0, 1, 2, 3])
-                    at, ids = child_nodes(batch.column(0).to_numpy(), _sigs(batch.column(4)), percent)
-                    at = pa.array(at)
-                    return pa.RecordBatch.from_arrays([pa.array(ids), batch.column(1).take(at), batch.column(2).take(at), batch.column(3).take(at)], ["node", "gid", "core", "tree"])
-
-                return step
-
-            members = scratch.save(arrow_map(labelled.join(own.select("gid", "tree", "own"), ["gid", "tree"]).select("node", "gid", "core", "tree", "own"), branch_make, "node long, gid long, core long, tree int", rows=4096), f"branch{level}")
-            passing.append(members)
-        if more is None:
-            if not deep:
-                break
-            passing.append(own)
-            # A pair is split no deeper than the shallower of its sets; those that the first trees suit are done.
-            short = [d for d in range(levels + 1) if need[d] > grown]
-            more = scratch.save(_union(deep).groupBy("gid").agg(F.max("depth").alias("depth")).filter(F.col("depth") >= min(short, default=levels + 1)), "deep")
-            passing.append(more)
-            if more.isEmpty():
-                break
-            reached = more.agg(F.max("depth")).first()[0]
-        else:
-            reached = max(reached, depth)
-        if need[reached] <= grown:
-            break
-        # More trees, started from the components found so far: what is one component already costs no comparison.
-        known = scratch.save(_union(edges), "known")
-        parts = connected_components(known, scratch)
-        edges = [known]
-        own = _tree_signatures(scratch.save(more.select("gid", F.lit(list(range(grown, need[reached]))).alias("trees")), "trees"), sets, seed)
-        own = scratch.save(own, "places")
-        passing.append(own)
-        members = own.select("tree", F.col("root").alias("node"), "gid").join(parts.withColumnRenamed("node", "gid").withColumnRenamed("component", "core"), "gid", "left")
-        grown = need[reached]
-
-    links = scratch.save(_union(edges), "links")
-    scratch.drop(sets, pool, *passing)
+    links = _Trees(source, reps, scratch, shingle, percent, small, seed).search(len(first), levels, miss)
     parts = connected_components(links, scratch)
     named = equal.join(parts.withColumnRenamed("node", "gid"), "gid", "left").withColumn("component", F.coalesce("component", "gid"))
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
@@ -507,39 +529,6 @@ def near_duplicates(
     )
 
 
-#: Pairs and group rows are broadcast against the full sets up to so many; beyond, both sides shuffle.
-BROADCAST_PAIRS = 200_000
-
-
-def _checked(df: DataFrame) -> DataFrame:
-    """A written table with a broadcast hint, if it is small enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_PAIRS else df
-
-
-#: Text hashes of candidates are broadcast up to so many; beyond, they are joined.
-BROADCAST_ROWS = 1_000_000
-
-
-def _full_sets(source: DataFrame, wanted: DataFrame, reps: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
-    """(gid, full): the whole shingle sets of the wanted representatives, made again from their texts."""
-    wanted = scratch.save(wanted.join(reps.select("gid", "text_hash", "mark"), "gid"), "wanted")
-    hashes = wanted.select("text_hash").distinct()
-    hashes = F.broadcast(hashes) if wanted.count() <= BROADCAST_ROWS else hashes
-    texts = source.select("text", F.xxhash64("text").alias("text_hash")).join(hashes, "text_hash", "left_semi").select("text").distinct()
-
-    def make():
-        words = _WordHashes()
-
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            full = [shingle_set(t, shingle, words).tobytes() for t in batch.column(0).to_pylist()]
-            return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in full], pa.binary()), pa.array(full, pa.binary())], ["mark", "full"])
-
-        return step
-
-    made = arrow_map(texts, make, "mark binary, full binary", rows=64)
-    return scratch.save(made.join(wanted.select("gid", "mark"), "mark").groupBy("gid").agg(F.first("full").alias("full")), "full_sets")
-
-
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``df`` without near copies: of each component one row stays, that with the smallest id.
 

@@ -313,20 +313,16 @@ def test_pairs_in_a_crowd_of_templated_texts(spark):
 
 
 def test_trees_suit_the_depth():
-    assert [N.trees_needed(d, 80) for d in (0, 1, 3, 5, 10)] == [6, 9, 13, 17, 26]
+    assert [N.trees_needed(d, 80) for d in (0, 1, 3, 5, 10)] == [6, 9, 13, 17, 28]
     for d in range(11):
         assert (1 - N.kept_together(d, 80)) ** N.trees_needed(d, 80) <= N.MISS
-    rng = np.random.default_rng(8)  # pairs of tree signatures that agree at 80 of 100 places, three levels down
+    rng = np.random.default_rng(8)  # pairs of sets that share 80 of 100 elements, roots and three levels down
     kept, n = 0, 4000
     for t in range(n):
-        a_ = rng.integers(0, 1 << 32, N.POSITIONS, np.uint32)
-        b_ = np.where(rng.random(N.POSITIONS) < 0.8, a_, a_ + 1).astype(np.uint32)
-        one = two = np.array([rng.integers(1 << 62)])
-        for _ in range(3):
-            one, two = (N.child_nodes(x, np.tile(s, (len(x), 1)), 80)[1] for x, s in ((one, a_), (two, b_)))
-            one = two = np.intersect1d(one, two)
-        kept += len(one) > 0
-    assert abs(0.8 * kept / n - N.kept_together(3, 80)) < 0.02
+        x = rng.integers(0, 1 << 63, 100, np.uint64)
+        one, two = (N.descend(N.root_nodes(s, t, range(1)), s, 3, 80) for s in (x[:90], x[10:]))
+        kept += len(np.intersect1d(one[-1][0], two[-1][0])) > 0
+    assert abs(kept / n - N.kept_together(3, 80)) < 0.02
 
 
 def test_keep_one_of_null_and_repeated_ids(spark):
