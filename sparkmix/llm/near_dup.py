@@ -207,23 +207,21 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         block, gid, core, n = (batch.column(i).to_numpy() for i in range(4))
         sigs = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, POSITIONS)
-        parent: dict[int, int] = {}
+        label = np.arange(batch.num_rows)
         for d in range(1, batch.num_rows):
             same = np.flatnonzero(block[:-d] == block[d:])
             if not len(same):
                 break
-            same = same[similar_size(n[same], n[same + d], percent) & (core[same] != core[same + d])]
+            same = same[similar_size(n[same], n[same + d], percent) & (core[same] != core[same + d]) & (label[same] != label[same + d])]
             for at in range(0, len(same), 65536):
                 i = same[at : at + 65536]
-                i = i[(sigs[i] == sigs[i + d]).sum(1) >= least]
-                for x in i.tolist():
-                    parent[_fold(parent, x)] = _fold(parent, x + d)
-        members: dict[int, list[int]] = {}
-        for i in parent:
-            members.setdefault(_fold(parent, i), []).append(i)
+                for x in i[(sigs[i] == sigs[i + d]).sum(1) >= least].tolist():
+                    if label[x] != label[x + d]:
+                        label[label == label[x + d]] = label[x]
+        order = np.argsort(label, kind="stable")
         grp, out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for rows_ in members.values():
-            ids = np.unique(gid[rows_])
+        for lo, hi in groups_of(label[order]):
+            ids = np.unique(gid[order[lo:hi]])
             if len(ids) > 1:
                 grp.append(np.full(len(ids), xxhash.xxh3_64_intdigest(ids.tobytes()), np.uint64).view(np.int64))
                 out.append(ids)
@@ -392,27 +390,32 @@ class _Trees:
 
     def _texts(self, sets: DataFrame, name: str, more: list[str]) -> DataFrame:
         """(text, gid, mark, ...) of sets, read from the source again; a text may come several times."""
-        sets = self.save(self.reps.select("gid", "text_hash", "mark").join(sets, "gid"), name)
+        sets = self.save(sets, name)
         texts, count = self.source.select("text", F.xxhash64("text").alias("text_hash")), sets.count()
+        reps = self.reps.select("gid", "text_hash", "mark")
         if count <= BROADCAST_PAIRS:
-            sets = F.broadcast(sets)
-        elif count <= BROADCAST_ROWS:
-            texts = texts.join(F.broadcast(sets.select("text_hash").distinct()), "text_hash", "left_semi")
+            sets = F.broadcast(reps.join(F.broadcast(sets), "gid"))
+        else:
+            sets = self.save(reps.join(sets, "gid"), f"wanted_{name}")
+            if count <= BROADCAST_ROWS:
+                texts = texts.join(F.broadcast(sets.select("text_hash").distinct()), "text_hash", "left_semi")
         return texts.join(sets, "text_hash").select("text", "gid", "mark", *more)
 
     def _open_nodes(self, left: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Of large nodes: (node, gid, core) of those that branch, and (block, gid, core) of those that hold one component and few others."""
-        known = self.save(_union(self.edges), "known")
-        parts = connected_components(known, self.scratch).select(F.col("node").alias("gid"), "component")
+        parts = connected_components(_union(self.edges), self.scratch)
+        self.edges = [parts.filter("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))]
+        parts = parts.select(F.col("node").alias("gid"), "component")
         left = left.select("node", "gid").join(parts, "gid", "left").select("node", "gid", F.coalesce("component", "gid").alias("core"))
         left = self.save(left, "cores")
         each = left.groupBy("node", "core").agg(F.count("*").alias("n"))
         nodes = each.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "core")).alias("most")).select("node", (F.col("size") - F.col("most.n")).alias("others"), F.col("most.n").alias("mates"), F.col("most.core").alias("main"))
         nodes = self.save(nodes.filter("others > 0"), "open")
         rows = left.join(_checked(nodes), "node")
-        parts_of = F.ceil(F.col("mates") * 2 / self.small).cast("int")
+        # Blocks of the component are as large as the few others, so the rows made are twice the node's at most.
+        parts_of = F.ceil(F.col("mates") / F.greatest("others", F.lit(self.small // 2))).cast("int")
         home = F.when(F.col("core") == F.col("main"), F.array(F.pmod(F.xxhash64("gid"), parts_of).cast("int"))).otherwise(F.sequence(F.lit(0), parts_of - 1))
-        is_few = F.col("others") <= self.small // 2
+        is_few = F.col("others") <= 4 * self.small
         few = rows.filter(is_few).select("node", "gid", "core", F.explode(home).alias("part")).select(F.xxhash64("node", "part").alias("block"), "gid", "core")
         return rows.filter(~is_few).select("node", "gid", "core"), few
 
