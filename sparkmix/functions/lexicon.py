@@ -167,6 +167,8 @@ CLOCK = r"(?i)\b\d{1,2}:\d{2}(?:\s*(?:am|pm))?\b|\b\d{1,2}\s*(?:am|pm)\b"
 
 # Intents -----------------------------------------------------------------
 
+#: The label of a text without any intent.
+NO_INTENT = "UNKNOWN_INTENT"
 INTENTS = {
     "CREATE_REMINDER": ([r"\bremind\b", r"\balarm\b", r"\btimer\b"], ["task", "date", "time"]),
     "MAKE_CALL": ([r"\bcall\b", r"\bphone\b", r"\bdial\b"], ["person"]),
@@ -225,6 +227,53 @@ SENSITIVE = {
 # The second rule pack ----------------------------------------------------
 
 STUDIO = {
+    "phrases": [
+        (r"\bremind\s+pannunga\b", "remind me"),
+        (r"\bremind\s+pannu\b", "remind me"),
+        (r"\bnyabagam\s+padutthu\b", "remind me"),
+        (r"\bcall\s+pottu\s+kudu\b", "call"),
+        (r"\bphone\s+pottu\s+kudu\b", "call"),
+        (r"\bcall\s+pannu\b", "call"),
+        (r"\bmessage\s+anuppu\b", "send message to"),
+        (r"\bmessage\s+podu\b", "send message to"),
+        (r"\balarm\s+vai(?:kka|kku)?\b", "set alarm"),
+        (r"\balarm\s+set\s+pannu\b", "set alarm"),
+        (r"\bvazhi\s+kaatu\b", "directions to"),
+        (r"\broute\s+sollu\b", "route to"),
+        (r"\bsearch\s+pannu\b", "search"),
+        (r"\bopen\s+pannu\b", "open"),
+        (r"\boff\s+pannu\b", "turn off"),
+        (r"\bon\s+pannu\b", "turn on"),
+        (r"\bkammi\s+pannu\b", "reduce"),
+        (r"\bkuraikka?\b", "reduce"),
+        (r"\bkoothu\b", "increase"),
+        (r"\bethu?tthu\b", "increase"),
+        (r"\beppadi\s+iruku\b", "how is"),
+        (r"\beppadi\s+iruka\b", "how are you"),
+        (r"\bkaalaila\b", "in the morning"),
+        (r"\bmaniku\b", "o'clock"),
+        (r"\bgym\s+poga\b", "go to the gym"),
+        (r"\bsubmit\s+panna\b", "submit"),
+        (r"\bsaapida\b", "take"),
+        (r"\bmazhai\s+varuma\b", "will it rain"),
+        (r"\benna\s+panra\b", "what are you doing"),
+        (r"\blate\s+ah\s+varen\b", "I will come late"),
+    ],
+    # What each intent says. A part: slots to try in turn, the words around what is found, what stands there otherwise.
+    "sentences": {
+        "set_reminder": {"say": "Remind me to {task}{when}.", "parts": {"task": (["rest:set_reminder"], "{x}", "do this"), "when": (["times"], " {x}", "")}, "drop": ["remind", "me", "to", "in", "the", "o'clock", "a", "some"]},
+        "set_alarm": {"say": "Set an alarm for {when}.", "parts": {"when": (["clock_day"], "{x}", "the morning")}},
+        "make_call": {"say": "Call {whom}.", "parts": {"whom": (["person", "rest:make_call"], "{x}", "the contact")}, "drop": ["call", "to", "a"]},
+        "send_message": {"say": "Send a message{whom}{body}.", "parts": {"whom": (["person"], " to {x}", ""), "body": (["saying"], " saying {x}", "")}, "drop": ["send", "message", "to", "a"]},
+        "play_music": {"say": "Play {what}.", "parts": {"what": (["rest:play_music"], "{x}", "music")}, "drop": ["play", "podu"]},
+        "check_weather": {"say": "{Title}?", "parts": {"Title": (["timeless"], "{x}", "")}},
+        "open_app": {"say": "Open {what}.", "parts": {"what": (["app", "rest:open_app"], "{x}", "the app")}, "drop": ["open", "the", "a"]},
+        "navigate": {"say": "Show me directions to {where}.", "parts": {"where": (["location", "rest:navigate"], "{x}", "the destination")}, "drop": ["directions", "route", "to"]},
+        "device_control": {"say": "{do} the {what}{amount}.", "parts": {"do": (["action"], "{x}", ""), "what": (["device_setting"], "{x}", "setting"), "amount": (["amount"], " {x}", "")}},
+        "search_info": {"say": "{Title}.", "parts": {"Title": (["timeless"], "{x}", "")}},
+        "smalltalk": {"say": "{Title}?", "parts": {"Title": (["timeless"], "{x}", "")}},
+        "unknown": {"say": "{Title}.", "parts": {"Title": (["all"], "{x}", "")}},
+    },
     "words": {
         **dict.fromkeys("dei da la pa ppa machi bruh ayya thala nu anna ku kku vendum".split(), ""),
         "oru": "a", "konjam": "some", "sikkiram": "quickly", "semma": "good", "nalla": "good",
@@ -256,8 +305,8 @@ STUDIO = {
     ],
     "intents": [
         ("set_reminder", r"\bremind\b", 0.95),
-        ("set_alarm", r"\balarm\b", 0.93),
-        ("send_message", r"\bmessage\b", 0.88),
+        ("set_alarm", r"\b(?:set )?alarm\b", 0.93),
+        ("send_message", r"\bsend message\b|\bmessage\b", 0.88),
         ("make_call", r"\bcall\b", 0.92),
         ("play_music", r"\bplay\b|\bsong\b|\bmusic\b", 0.9),
         ("check_weather", r"\bweather\b|\brain\b", 0.9),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -23,6 +24,11 @@ def replace_in_order(text: Column, rules: list[tuple[str, str]]) -> Column:
     return reduce(lambda c, r: F.regexp_replace(c, r[0], r[1]), rules, text)
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once for each row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def word_pattern(words) -> str:
     """Whole-word alternation."""
     return r"\b(?:" + "|".join(words) + r")\b"
@@ -58,7 +64,9 @@ def ascii_letters(text: Column) -> Column:
 
 
 def has_affix(word: Column) -> Column:
-    return word.rlike("^[a-z]{2,}(?:" + "|".join(L.TANGLISH_AFFIXES) + ")$")
+    """Two letters or more before a known ending, all of a to z."""
+    ends = [(F.length(word) >= k + 2) & _in(F.right(word, F.lit(k)), [x for x in L.TANGLISH_AFFIXES if len(x) == k]) for k in sorted({len(x) for x in L.TANGLISH_AFFIXES})]
+    return reduce(lambda a, b: a | b, ends) & word.rlike("^[a-z]+$")
 
 
 def tanglish_score(word: Column, cfg: dict = L.LANGUAGE_THRESHOLDS) -> Column:
@@ -69,9 +77,9 @@ def tanglish_score(word: Column, cfg: dict = L.LANGUAGE_THRESHOLDS) -> Column:
 def tag_token(token: Column) -> Column:
     """ta, tanglish, en, mixed or other."""
     tamil, latin = token.rlike(L.TAMIL), token.rlike("[A-Za-z]")
-    word = F.lower(token)
-    local = _in(word, L.TANGLISH_WORDS) | has_affix(word)
-    return F.when(tamil & latin, "mixed").when(tamil, "ta").when(latin & local, "tanglish").when(latin, "en").otherwise("other")
+    local = bind(F.lower(token), lambda word: _in(word, L.TANGLISH_WORDS) | has_affix(word))
+    roman = F.when(local, "tanglish").otherwise("en")
+    return F.when(token.rlike("^[A-Za-z]+$"), roman).when(tamil & latin, "mixed").when(tamil, "ta").when(latin, roman).otherwise("other")
 
 
 def count_of(tags: Column, tag: str) -> Column:
@@ -222,7 +230,11 @@ def extract_anchors(text: Column, strict_negation: bool = False) -> Column:
 
     The negation test finds a marker anywhere in the text, also inside words; ``strict_negation`` wants a whole word.
     """
-    lower, words = F.lower(text), anchor_words(text)
+    return bind(text, lambda t: bind(anchor_words(t), lambda words: _anchors_of(t, words, strict_negation)))
+
+
+def _anchors_of(text: Column, words: Column, strict_negation: bool) -> Column:
+    lower = F.lower(text)
     found = F.filter(F.array(*[F.lit(w) for w in sorted(L.NEGATIONS)]), lambda w: F.array_contains(words, w) if strict_negation else lower.contains(w))
     negation = F.transform(F.slice(found, 1, 1), lambda w: _anchor("negation", F.lit("NEGATION"), w))
     clock = F.transform(F.regexp_extract_all(text, F.lit(L.CLOCK), F.lit(0)), lambda m: _anchor("time", F.trim(m), F.trim(m)))
@@ -257,15 +269,21 @@ def missing_anchors(verified: Column) -> Column:
 
 
 def classify_intent(text: Column, intents: dict = L.INTENTS) -> Column:
-    """struct(intent, confidence, ambiguous, possible_intents); the first in order wins."""
-    hits = F.filter(F.array(*[F.when(text.rlike("(?i)" + "|".join(patterns)), name) for name, (patterns, _) in intents.items()]), lambda x: x.isNotNull())
-    n = F.size(hits)
-    return F.struct(
-        F.coalesce(F.get(hits, 0), F.lit("UNKNOWN")).alias("intent"),
-        F.when(n == 0, 0.0).when(n == 1, 0.95).otherwise(0.60).alias("confidence"),
-        (n > 1).alias("ambiguous"),
-        hits.alias("possible_intents"),
-    )
+    """struct(intent, confidence, ambiguous, possible_intents); the first in order wins, none is UNKNOWN_INTENT."""
+
+    def matching(t: Column) -> Column:
+        return F.filter(F.array(*[F.when(t.rlike("(?i)" + "|".join(patterns)), name) for name, (patterns, _) in intents.items()]), lambda x: x.isNotNull())
+
+    def result(hits: Column) -> Column:
+        n = F.size(hits)
+        return F.struct(
+            F.coalesce(F.get(hits, 0), F.lit(L.NO_INTENT)).alias("intent"),
+            F.when(n == 0, 0.0).when(n == 1, 0.95).otherwise(0.60).alias("confidence"),
+            (n > 1).alias("ambiguous"),
+            hits.alias("possible_intents"),
+        )
+
+    return bind(bind(text, matching), result)
 
 
 def _first_value(anchors: Column, *kinds: str) -> Column:
@@ -275,23 +293,26 @@ def _first_value(anchors: Column, *kinds: str) -> Column:
 def extract_entities(anchors: Column, device_type: str = "device") -> Column:
     """Map of entities. The first two time references are date and time. Anchors never have the type ``device``, so
     devices come in only with ``device_type='device_setting'``."""
-    times = F.filter(anchors, lambda a: a["entity_type"].isin("time", "date"))
-    pairs = [
-        ("date", F.get(times, 0)["value"]),
-        ("time", F.get(times, 1)["value"]),
-        ("person", _first_value(anchors, "person")),
-        ("app", _first_value(anchors, "app")),
-        ("device_setting", _first_value(anchors, device_type)),
-        ("task", _first_value(anchors, "task")),
-    ]
-    return F.map_filter(F.create_map(*[x for k, v in pairs for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+
+    def found(a: Column) -> Column:
+        times = F.filter(a, lambda x: x["entity_type"].isin("time", "date"))
+        pairs = [
+            ("date", F.get(times, 0)["value"]),
+            ("time", F.get(times, 1)["value"]),
+            ("person", _first_value(a, "person")),
+            ("app", _first_value(a, "app")),
+            ("device_setting", _first_value(a, device_type)),
+            ("task", _first_value(a, "task")),
+        ]
+        return F.create_map(*[x for k, v in pairs for x in (F.lit(k), v)])
+
+    return F.map_filter(bind(anchors, found), lambda k, v: v.isNotNull())
 
 
 def restrict_entities(entities: Column, intent: Column, intents: dict = L.INTENTS) -> Column:
     """Entities that the intent allows; an unknown intent keeps all."""
     allowed = F.create_map(*[x for k, (_, names) in intents.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in names]).cast("array<string>"))])
-    own = F.try_element_at(allowed, intent)
-    return F.map_filter(entities, lambda k, v: own.isNull() | F.array_contains(own, k))
+    return bind(F.try_element_at(allowed, intent), lambda own: F.map_filter(entities, lambda k, v: own.isNull() | F.array_contains(own, k)))
 
 
 def canonical_intent(intent: Column) -> Column:
@@ -320,14 +341,18 @@ def normalize_transcript(text: Column) -> Column:
 
 
 def wer_words(ref: Column, hyp: Column) -> Column:
-    """Word edit distance over reference words; words are mapped to characters for ``levenshtein``."""
-    table = F.array_distinct(F.concat(ref, hyp))
-    code = lambda ws: F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(table, w) + 0x4DFF), 4, "0")), "UTF-16BE")), "")
-    return F.when(F.size(ref) == 0, F.when(F.size(hyp) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(code(ref), code(hyp)) / F.size(ref))
+    """Word edit distance over reference words; each distinct word of the pair becomes one character for ``levenshtein``."""
+    def code(ws: Column, table: Column) -> Column:
+        place = lambda w: F.array_position(table, w) + 0x4DFF
+        letter = lambda n: F.decode(F.unhex(F.lpad(F.hex(n + F.when(n >= 0xD800, 0x800).otherwise(0)), 8, "0")), "UTF-32")  # noqa: E731  past the surrogates
+        return F.array_join(F.transform(ws, lambda w: bind(place(w), letter)), "")
+
+    distance = bind(F.array_distinct(F.concat(ref, hyp)), lambda table: F.levenshtein(code(ref, table), code(hyp, table)))
+    return F.when(F.size(ref) == 0, F.when(F.size(hyp) == 0, 0.0).otherwise(1.0)).otherwise(distance / F.size(ref))
 
 
 def wer(ref: Column, hyp: Column) -> Column:
-    """Word error rate; up to 35,000 distinct words in a pair."""
+    """Word error rate."""
     return F.round(wer_words(*(split_words(normalize_transcript(x), " ") for x in (ref, hyp))), 4)
 
 
@@ -344,8 +369,16 @@ def char_similarity(a: Column, b: Column) -> Column:
 
 
 def bag_overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two word arrays."""
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, w: n + F.least(F.size(F.filter(a, lambda x: x == w)), F.size(F.filter(b, lambda x: x == w))))
+    """Size of the multiset intersection of two word arrays: one pass over the sorted words of both."""
+    side = lambda words, left: F.transform(words, lambda w: F.struct(w.alias("w"), F.lit(left).alias("l"), F.lit(1 - left).alias("r")))
+    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("l"), F.lit(0).alias("r"), F.lit(0).alias("both"))
+
+    def step(s: Column, x: Column) -> Column:
+        more = F.struct(s["w"].alias("w"), (s["l"] + x["l"]).alias("l"), (s["r"] + x["r"]).alias("r"), s["both"].alias("both"))
+        fresh = F.struct(x["w"].alias("w"), x["l"].alias("l"), x["r"].alias("r"), (s["both"] + F.least(s["l"], s["r"])).alias("both"))
+        return F.when(s["w"] == x["w"], more).otherwise(fresh)
+
+    return F.aggregate(F.sort_array(F.concat(side(a, 1), side(b, 0))), start, step, lambda s: s["both"] + F.least(s["l"], s["r"]))
 
 
 def token_f1(ref: Column, pred: Column) -> Column:

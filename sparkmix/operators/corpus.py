@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from ..functions import lexicon as L
 from ..functions import text as X
+from .joins import small
 
 
 def decode_labels(df: DataFrame, maps: dict[str, dict[int, str]] = L.LABEL_MAPS) -> DataFrame:
@@ -114,7 +115,7 @@ def round_robin_pick(df: DataFrame, quotas: DataFrame, cell: str, speaker: str,
     A speaker's rows beyond the quota can never be picked and are cut before the second window.
     """
     inner = W.partitionBy(cell, speaker).orderBy(hash_order(seed, id_col))
-    own = df.join(F.broadcast(quotas.select(cell, "quota")), cell).withColumn("round", F.row_number().over(inner)).filter(F.col("round") <= F.col("quota"))
+    own = df.join(small(quotas.select(cell, "quota")), cell).withColumn("round", F.row_number().over(inner)).filter(F.col("round") <= F.col("quota"))
     place = F.row_number().over(W.partitionBy(cell).orderBy("round", speaker))
     return own.withColumn("place", place).filter(F.col("place") <= F.col("quota")).drop("quota", "round", "place")
 

@@ -12,12 +12,11 @@ from ..functions import text as X
 
 def tokens_table(df: DataFrame, id_col: str = "utt_id", text_col: str = "text") -> DataFrame:
     """(id, pos, token, tag, tamil_chars, ascii_alpha, tng_score), one row for each token."""
-    return df.select(F.col(id_col), F.posexplode(X.tokenize(F.col(text_col))).alias("pos", "token")).withColumns(
+    return df.select(F.col(id_col), F.posexplode(X.tokenize(F.col(text_col))).alias("pos", "token")).withColumn("tag", X.tag_token(F.col("token"))).withColumns(
         {
-            "tag": X.tag_token(F.col("token")),
             "tamil_chars": X.tamil_chars(F.col("token")),
             "ascii_alpha": X.ascii_letters(F.col("token")),
-            "tng_score": F.when(X.tag_token(F.col("token")) == "tanglish", X.tanglish_score(F.lower("token"))).otherwise(0.0),
+            "tng_score": F.when(F.col("tag") == "tanglish", X.tanglish_score(F.lower("token"))).otherwise(0.0),
         }
     )
 
@@ -88,17 +87,16 @@ def lexicon_coverage(tokens: DataFrame, known: Column, id_col: str = "utt_id") -
 def detect_language(df: DataFrame, text_col: str = "text", cfg: dict = L.LANGUAGE_THRESHOLDS) -> DataFrame:
     """Adds tokens, tags, evidence counts, ratios, language, code_mixed and confidence. No shuffle."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = df.withColumn("tokens", X.tokenize(text)).withColumn("tags", F.transform("tokens", X.tag_token))
+    tagged = lambda t: X.bind(X.tag_token(t), lambda tag: F.struct(tag.alias("tag"), F.when(tag == "tanglish", X.tanglish_score(F.lower(t), cfg)).otherwise(0.0).alias("score")))
+    out = df.withColumn("tokens", X.tokenize(text)).withColumn("_tagged", F.transform("tokens", tagged)).withColumn("tags", F.transform("_tagged", lambda x: x["tag"]))
     out = out.withColumns({f"n_{t}": X.count_of(F.col("tags"), t) for t in ("ta", "en", "tanglish", "mixed")}).withColumns(
         {
             "n_tokens": F.size("tokens"),
             "tamil_chars": X.tamil_chars(text),
             "ascii_chars": X.ascii_letters(text),
-            "score_sum": F.aggregate(
-                F.filter("tokens", lambda t: X.tag_token(t) == "tanglish"), F.lit(0.0), lambda a, t: a + X.tanglish_score(F.lower(t), cfg)
-            ),
+            "score_sum": F.aggregate("_tagged", F.lit(0.0), lambda a, x: a + x["score"]),
         }
-    )
+    ).drop("_tagged")
     out = out.withColumn("n_classified", F.col("n_ta") + F.col("n_en") + F.col("n_tanglish") + F.col("n_mixed"))
     n = F.greatest("n_classified", F.lit(1))
     out = out.withColumns(

@@ -101,7 +101,7 @@ def user_content(text: Column, intent: Column, entities: Column) -> Column:
     """``[Understood Context: ...]`` with intent and entities, and the text below."""
     filled = F.filter(F.map_entries(entities), lambda e: F.coalesce(e["value"] != "", F.lit(False)))
     listed = F.array_join(F.transform(filled, lambda e: F.concat(e["key"], F.lit("='"), e["value"], F.lit("'"))), ", ")
-    parts = F.array_compact(F.array(F.when((intent != "") & (intent != "UNKNOWN_INTENT"), F.concat(F.lit("Intent: "), intent)), F.when(listed != "", F.concat(F.lit("Entities: ["), listed, F.lit("]")))))
+    parts = F.array_compact(F.array(F.when((intent != "") & (intent != L.NO_INTENT), F.concat(F.lit("Intent: "), intent)), F.when(listed != "", F.concat(F.lit("Entities: ["), listed, F.lit("]")))))
     head = F.when(F.size(parts) > 0, F.concat(F.lit("[Understood Context: "), F.array_join(parts, "; "), F.lit("]\n"))).otherwise("")
     return F.trim(F.concat(head, F.trim(text)))
 

@@ -50,9 +50,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where a scan has fewer parts than there are cores; larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(utt_id, user_id, text): every turn of every conversation behind an example, other than ASCII letters made x."""
-    c = table(spark, sf_dir, "conversations")
+    c = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
     utt = (F.col("conv_id") * 1000 + F.col("turn")).alias("utt_id")
     first = F.element_at(F.array(*[F.lit(u) for u in UTTERANCES]), (F.pmod(F.col("conv_id") * 1000 + F.col("turn"), F.lit(len(UTTERANCES))) + 1).cast("int"))
     rest = F.regexp_replace("text", r"[^\x00-\x7F]", "x")

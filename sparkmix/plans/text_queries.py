@@ -10,7 +10,7 @@ from ..functions import studio
 from ..functions import text as X
 from ..operators import tokens as K
 from . import analyze as A
-from .fixtures import P_SQL, U_SQL, _list, pairs, quoted, sql_map, table, tokens_sql, utterances
+from .fixtures import P_SQL, U_SQL, _list, pairs, quoted, spread, sql_map, table, tokens_sql, utterances
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -48,7 +48,7 @@ def _counts(key: str) -> str:
     "count(*) FILTER (WHERE language = 'en') AS n_english, count(*) FILTER (WHERE language = 'tanglish') AS n_tanglish, count(*) FILTER (WHERE code_mixed) AS n_code_mixed, round(avg(cmi), 4) AS mean_cmi FROM g JOIN documents USING (doc_id) GROUP BY source"
 )
 def profile_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("source", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("source", "text"))
     return (
         K.detect_code_mix(docs)
         .groupBy("source")
@@ -293,7 +293,7 @@ _INTENTS = f"WITH {U_SQL}, p AS (SELECT utt_id, user_id, {_PHRASED} AS x FROM u)
 
 
 @query(
-    f"{_INTENTS} SELECT utt_id, coalesce(hits[1], 'UNKNOWN') AS intent, (CASE WHEN len(hits) = 0 THEN 0.0 WHEN len(hits) = 1 THEN 0.95 ELSE 0.6 END)::DOUBLE AS confidence, "
+    f"{_INTENTS} SELECT utt_id, coalesce(hits[1], 'UNKNOWN_INTENT') AS intent, (CASE WHEN len(hits) = 0 THEN 0.0 WHEN len(hits) = 1 THEN 0.95 ELSE 0.6 END)::DOUBLE AS confidence, "
     "len(hits) > 1 AS ambiguous, array_to_string(hits, ',') AS possible FROM h"
 )
 def scl23_classify_intent(spark, sf_dir):
@@ -466,11 +466,16 @@ def scl45_coverage_confidence(spark, sf_dir):
 _SYSTEM = "You help."
 
 
+# The entities are empty and the other fields constant here, so that SQL can follow the whole payload.
+_HANDOFF = {"language": "tanglish", "dialect": "Standard"}
+
+
 @query(
-    f"{_INTENTS} SELECT utt_id, '<|system|>\n{_SYSTEM}\n<|user|>\n' || '[Understood Context: Intent: ' || coalesce(hits[1], 'UNKNOWN') || ']\n' || trim(x) || '\n<|assistant|>\n' AS prompt, "
-    "'{\"normalized_text\":' || to_json(x)::VARCHAR || ',\"intent\":\"' || coalesce(hits[1], 'UNKNOWN') || '\"}' AS payload FROM h"
+    f"{_INTENTS} SELECT utt_id, '<|system|>\n{_SYSTEM}\n<|user|>\n' || trim(CASE WHEN len(hits) > 0 THEN '[Understood Context: Intent: ' || hits[1] || ']\n' ELSE '' END || trim(x)) || '\n<|assistant|>\n' AS prompt, "
+    "'{\"normalized_text\":' || to_json(x)::VARCHAR || ',\"intent\":\"' || coalesce(hits[1], 'UNKNOWN_INTENT') || '\",\"entities\":{},\"language\":\"tanglish\",\"dialect\":\"Standard\",\"confidence\":{\"intent\":' "
+    "|| (CASE WHEN len(hits) = 0 THEN '0.0' WHEN len(hits) = 1 THEN '0.95' ELSE '0.6' END) || '},\"raw_transcript\":' || to_json(x)::VARCHAR || '}' AS payload FROM h"
 )
 def scl46_47_handoff_prompts(spark, sf_dir):
-    u = utterances(spark, sf_dir).withColumn("final_text", X.apply_phrases(F.col("text")))
-    u = u.withColumn("intent", X.classify_intent(F.col("final_text"))["intent"]).withColumn("entities", F.create_map().cast("map<string,string>"))
-    return A.build_prompts(u, _SYSTEM).select("utt_id", "prompt", F.to_json(F.struct(F.col("final_text").alias("normalized_text"), "intent")).alias("payload"))
+    u = utterances(spark, sf_dir).withColumn("final_text", X.apply_phrases(F.col("text"))).withColumn("r", X.classify_intent(F.col("final_text")))
+    u = u.withColumns({"intent": F.col("r.intent"), "entities": F.create_map().cast("map<string,string>"), "confidences": F.create_map(F.lit("intent"), F.col("r.confidence")), **{k: F.lit(v) for k, v in _HANDOFF.items()}})
+    return A.build_prompts(A.to_handoff(u, "final_text"), _SYSTEM).select("utt_id", "prompt", "payload")

@@ -79,7 +79,7 @@ def test_intents_and_entities(spark):
     df = texts(spark, "remind me to call mother at 5:30 pm tomorrow", "schedule meeting", "check schedule", "search file report", "nothing here", "do not open whatsapp 12")
     out = df.withColumn("a", X.extract_anchors(F.col("text"))).withColumn("i", X.classify_intent(F.col("text"))).orderBy("utt_id")
     rows = out.select("i.*", X.extract_entities(F.col("a")).alias("e"), X.restrict_entities(X.extract_entities(F.col("a")), F.col("i.intent")).alias("r"), "a").collect()
-    assert [r.intent for r in rows] == ["CREATE_REMINDER", "CREATE_CALENDAR_EVENT", "CHECK_CALENDAR", "SEARCH_FILE", "UNKNOWN", "OPEN_APP"]
+    assert [r.intent for r in rows] == ["CREATE_REMINDER", "CREATE_CALENDAR_EVENT", "CHECK_CALENDAR", "SEARCH_FILE", "UNKNOWN_INTENT", "OPEN_APP"]
     assert rows[0].ambiguous and rows[0].confidence == 0.60 and rows[0].possible_intents == ["CREATE_REMINDER", "MAKE_CALL"]
     assert rows[0].e == {"date": "5:30 pm", "time": "tomorrow", "person": "mother"} and rows[0].r == {"date": "5:30 pm", "time": "tomorrow"}
     assert [(a.entity_type, a.value) for a in rows[5].a] == [("negation", "NEGATION"), ("quantity", "12"), ("app", "whatsapp")]
