@@ -36,6 +36,8 @@ class Scratch:
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
             root = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
             spark.sparkContext.setCheckpointDir(root)
         self.root = f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
@@ -58,6 +60,13 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, with as many underscores as it takes to differ from all others."""
+    while name.lower() in {x.lower() for x in taken}:
+        name += "_"
+    return name
+
+
 def arrow_map(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],

@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow_map, connected_components, ship_package
 
 #: Vectors in a shard and in a block of queries, at most on average; bounds of a task's memory.
-SHARD_ROWS, BLOCK_ROWS = 20_000, 2_000
+SHARD_ROWS, BLOCK_ROWS = 20_000, 20_000
 #: Neighbours of a vector above the ground layer; the ground layer has twice as many.
 DEGREE = 12
 #: Beam while building, first beam of a search, vectors and recall of an audit.
 BUILD_BEAM, FIRST_BEAM, AUDIT_ROWS, AUDIT_RECALL = 64, 64, 512, 0.9999
 #: A query with more links than fit such a beam is compared with its whole shard.
 WIDEST_BEAM = 256
+#: The beam of a graph that fails its audit at every width; its queries are compared with the whole shard.
+WHOLE_SHARD = 1 << 30
 #: A single-precision cosine this far under the threshold is still verified in double precision.
 MARGIN = 1e-4
 
@@ -159,19 +161,19 @@ class SmallWorld:
             start = np.maximum(got[:, :1], 0)
         return start
 
-    def within(self, queries: np.ndarray, least: float, beam: int | None = None) -> list[np.ndarray]:
+    def within(self, queries: np.ndarray, least: float) -> list[np.ndarray]:
         """Rows with a similarity of ``least`` or more, for each query. A full beam of such rows is widened."""
         rows, near = self.layers[-1]
         own = self.vectors[rows]
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
-        left, beam = np.arange(len(queries)), beam or self.beam
+        left, beam = np.arange(len(queries)), self.beam
         upper = SmallWorld(self.vectors, self.layers[:-1])._enter(queries) if len(self.layers) > 1 else np.zeros((len(queries), 1), np.int64)
         while len(left):
             again = []
             step = max(1, 8_000_000 // max(len(own), 1))
             for lo in range(0, len(left), step):
                 mine = left[lo : lo + step]
-                if 4 * beam >= len(own) or beam > max(WIDEST_BEAM, self.beam):  # the links outnumber a beam: compare with the whole shard
+                if beam > max(WIDEST_BEAM, self.beam) or beam >= WHOLE_SHARD:  # the links outnumber a beam: compare with the whole shard
                     sims = queries[mine] @ own.T
                     for i, hit in zip(mine.tolist(), sims >= least, strict=True):
                         out[i] = rows[np.flatnonzero(hit)]
@@ -185,17 +187,20 @@ class SmallWorld:
         return out
 
     def audit(self, least: float, rows: int = AUDIT_ROWS, recall: float = AUDIT_RECALL, seed: int = 5) -> float:
-        """Double the beam until a sample of queries finds its links; return the recall measured."""
+        """Double the beam until a sample of queries finds its links, its own row aside; return the recall measured.
+
+        A graph that fails even with a beam as wide as the shard gives way to comparing whole shards.
+        """
         n = len(self.vectors)
         some = np.random.default_rng(seed).permutation(n)[:rows]
-        truth = [np.flatnonzero(self.vectors @ self.vectors[i] >= least) for i in some]
+        truth = [np.setdiff1d(np.flatnonzero(self.vectors @ self.vectors[i] >= least), [i]) for i in some]
+        whole = sum(map(len, truth))
         while True:
             found = self.within(self.vectors[some], least)
-            whole = sum(map(len, truth))
-            got = sum(len(np.intersect1d(a, b)) for a, b in zip(found, truth, strict=True)) / max(whole, 1)
-            if got >= recall or 4 * self.beam >= n:
+            got = sum(len(np.intersect1d(a, b)) for a, b in zip(found, truth, strict=True)) / whole if whole else 1.0
+            if got >= recall:
                 return got
-            self.beam *= 2
+            self.beam = 2 * self.beam if self.beam < n else WHOLE_SHARD
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()

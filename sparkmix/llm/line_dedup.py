@@ -16,8 +16,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Scratch, arrow_map, ship_package
+from .common import Scratch, arrow_map, free_name, ship_package
 
 #: Bits for each line, and the bounds of a filter's size in bits. Beyond the upper bound
 #: (2**28 bits, 32 MB) more lines are suspected and shuffled; nothing else changes.
@@ -187,7 +188,7 @@ def drop_common_lines(
         cols[at_text] = pa.array(out, pa.string())
         return pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*names, *counts])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"`{c}` long" for c in counts)])
+    schema = StructType([*df.schema, *(StructField(c, LongType()) for c in counts)])
     if n <= BROADCAST_KEYS and (size or 0) <= broadcast_bytes:
         found = df.sparkSession.sparkContext.broadcast({bytes(r[0]): r[2] if first else None for r in common.collect()})
 
@@ -211,7 +212,8 @@ def drop_common_lines(
 
     lines = arrow_map(texts.select(mark.alias("mark"), "text"), explode_make, "mark string, key binary")
     own = lines.join(common, "key").groupBy("mark").agg(F.collect_list(F.struct("key", *(["first"] if first else []))).alias("found"))
-    wide = df.withColumn("_mark", F.sha2(F.col(text_col), 256)).join(own.withColumnRenamed("mark", "_mark"), "_mark", "left").select(*names, "found")
+    boxed = df.select(F.struct(*names).alias("row"), F.sha2(F.col(text_col), 256).alias("mark"))  # boxed, so that no name clashes
+    wide = boxed.join(own, "mark", "left").select(*[F.col("row")[c].alias(c) for c in names], F.col("found").alias(free_name(names, "found")))
 
     def join_make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -34,7 +34,8 @@ def _numbers(data: bytes, at: int, n: int) -> tuple[list[int], int]:
 
 
 def decode_netpbm(data: bytes) -> np.ndarray:
-    """(height, width) or (height, width, 3) of uint8 or, above 255, uint16. Bitmaps become 0 and 255."""
+    """(height, width) or (height, width, 3) of uint8 or, above 255, uint16. Bitmaps become 0 and 255; other samples keep
+    their values, whatever the stated maximum, and a plain sample beyond it is an error."""
     kind = data[:2]
     if kind not in (b"P1", b"P2", b"P3", b"P4", b"P5", b"P6"):
         raise ValueError("not Netpbm")
@@ -53,7 +54,10 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     if kind == b"P1":
         values = np.frombuffer(re.sub(rb"\s", b"", body), np.uint8)[:n] - 48
         return ((1 - values) * 255).astype(np.uint8).reshape(shape)
-    return np.array(body.split()[:n], dtype=np.int64).reshape(shape).astype(np.uint16 if wide else np.uint8)
+    values = np.array(body.split()[:n], dtype=np.int64).reshape(shape)
+    if values.size and not 0 <= values.min() <= values.max() <= min(most[0], 65535):
+        raise ValueError("a sample is beyond the stated maximum")
+    return values.astype(np.uint16 if wide else np.uint8)
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
@@ -144,7 +148,7 @@ def media_tiles(df: DataFrame, id_col: str = "media_id", media_col: str = "media
                     if not parts:
                         raise ValueError("no samples")
                     out += [(key, *p, None) for p in parts]
-                except (ValueError, IndexError, struct.error) as e:
+                except (ValueError, IndexError, OverflowError, MemoryError, struct.error) as e:
                     out.append((key, None, None, None, None, str(e)))
             cols = list(zip(*out, strict=True)) or [()] * 6
             kinds = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string()]

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, arrow_map, connected_components, ship_package
+from .common import Scratch, arrow_map, connected_components, free_name, ship_package
 
 #: Places of a signature; one byte is kept of each.
 POSITIONS = 64
@@ -538,9 +538,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     Rows are chosen, not ids: among equal ids the first row of a written copy stays, and
     a null id comes after all others. A row without words is its own component and stays.
     """
-    row = "_row"
-    while row in df.columns:
-        row += "_"
+    row = free_name(df.columns, "_row")
     numbered = Scratch(df.sparkSession).save(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
     found = near_duplicates(numbered.select(key.alias("key"), F.col(text_col).alias("text")), id_col="key", text_col="text", **options)

@@ -64,7 +64,7 @@ def count_tokens(
     id_col: str = "doc_id",
     text_col: str = "text",
     limit: int = 512,
-    chunk_chars: int = 65536,
+    chunk_chars: int = 4096,
     overlap_chars: int = 256,
 ) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for every row.

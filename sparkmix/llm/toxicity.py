@@ -20,23 +20,33 @@ from .common import Scratch, arrow_map
 
 #: Labelled rows that a model is fitted on, at most; those with the smallest id hashes.
 MOST_LABELLED = 20_000
-#: Terms of one line stand for each other in swapped sentences.
+#: Terms of one line stand for each other in swapped sentences. Another table is a parameter of ``train``.
 IDENTITY_TERMS = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
     ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
     ("women", "men"),
     ("woman", "man"),
+    ("girls", "boys"),
     ("black", "white", "asian", "latino"),
+    ("african", "american", "european", "arab", "chinese", "indian", "mexican"),
     ("gay", "lesbian", "bisexual", "transgender", "straight"),
+    ("gay people", "straight people", "transgender people"),
     ("immigrant", "refugee", "citizen"),
     ("immigrants", "refugees", "citizens"),
     ("blind", "deaf", "disabled"),
     ("old", "young"),
+    ("musulmans", "chrétiens", "juifs", "athées"),
+    ("femmes", "hommes"),
+    ("immigrés", "réfugiés", "citoyens"),
+    ("muslime", "christen", "juden", "atheisten"),
+    ("frauen", "männer"),
+    ("einwanderer", "flüchtlinge", "bürger"),
+    ("musulmanes", "cristianos", "judíos", "ateos"),
+    ("mujeres", "hombres"),
+    ("inmigrantes", "refugiados", "ciudadanos"),
 )
-_SWAP = {term: row[(i + 1) % len(row)] for row in IDENTITY_TERMS for i, term in enumerate(row)}
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
-_TERM = re.compile(r"\b(" + "|".join(_SWAP) + r")\b")
 #: Lengths of the word beginnings that count as features.
 BEGINNINGS = (3, 4, 5)
 #: A feature is used if it is in so many labelled texts and its log odds ratio is so many standard errors from 0.
@@ -55,12 +65,29 @@ def text_features(text: str) -> set[int]:
     return out
 
 
-def swapped_sentences(text: str) -> list[tuple[str, str]]:
-    """Each sentence that holds an identity term, and the same with its terms swapped."""
-    lower = text.lower()
-    if not _TERM.search(lower):
-        return []
-    return [(s, _TERM.sub(lambda m: _SWAP[m[1]], s)) for s in _SENTENCE.findall(lower) if _TERM.search(s)]
+class Swaps:
+    """Replaces the identity terms of a sentence by each of their alternatives."""
+
+    def __init__(self, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS):
+        self.rows = {term: (row, i) for row in terms for i, term in enumerate(row)}
+        longest_first = sorted(self.rows, key=lambda t: (-len(t), t))
+        self.term = re.compile(r"\b(" + "|".join(map(re.escape, longest_first)) + r")\b") if self.rows else None
+
+    def sentences(self, text: str) -> list[tuple[str, str]]:
+        """Each sentence that holds a term, once with every alternative in the term's place."""
+        lower = text.lower()
+        if self.term is None or not self.term.search(lower):
+            return []
+        out = []
+        for s in _SENTENCE.findall(lower):
+            if found := self.term.findall(s):
+                for step in range(1, max(len(self.rows[t][0]) for t in found)):
+                    out.append((s, self.term.sub(lambda m: self._turned(m[1], step), s)))
+        return [pair for pair in out if pair[0] != pair[1]]
+
+    def _turned(self, term: str, step: int) -> str:
+        row, i = self.rows[term]
+        return row[(i + step) % len(row)]
 
 
 @dataclass
@@ -169,7 +196,7 @@ def fit(
     return ToxicityModel(float(bias), dict(zip(kept.tolist(), w.tolist(), strict=True)))
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, most: int = MOST_LABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, most: int = MOST_LABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> ToxicityModel:
     """Fit on labelled rows, at most ``most`` of them; ``usable`` restricts the label rows.
 
     Only the text is a feature. Rows with a null id or label are left out; a null text
@@ -183,11 +210,12 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, most
     known = set(informative_features(rows))
 
     def make():
+        swap = Swaps(terms)
         pack = lambda text: np.array(sorted(known & text_features(text)), np.uint64).tobytes()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in batch.column(0).to_pylist()]
-            swaps = [[x for pair in swapped_sentences(t) for x in map(pack, pair)] for t in texts]
+            swaps = [[x for pair in swap.sentences(t) for x in map(pack, pair)] for t in texts]
             return pa.RecordBatch.from_arrays([pa.array(list(map(pack, texts)), pa.binary()), batch.column(1), pa.array(swaps, pa.list_(pa.binary()))], ["features", "y", "swaps"])
 
         return step
@@ -246,4 +274,4 @@ def keep_clean(df: DataFrame, model: ToxicityModel, threshold: float = 0.3, text
 
         return step
 
-    return arrow_map(df, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))
+    return arrow_map(df, make, df.schema)

@@ -70,3 +70,21 @@ def test_tiles_and_broken_values(spark):
 def test_bad_bytes(data):
     with pytest.raises((ValueError, struct.error)):
         M.decode_media(data)
+
+
+def test_broken_headers_are_reported(spark):
+    bad = [b"P5 99999999999 99999999999 255\n", b"P2 1 1 255 99999999999999999999", b"P2 2 1 44 300 1", b"P2 1 1 255 -3", b"P5 2 2 255\nx", b"BM", b"zz"]
+    rows = M.media_tiles(spark.createDataFrame(list(enumerate(bad)), "media_id int, media binary")).collect()
+    assert len(rows) == len(bad) and all(r.error and r.npy is None for r in rows)
+    assert M.media_tiles(spark.createDataFrame([], "media_id int, media binary")).count() == 0
+    assert M.decode_media(b"P2 2 1 44 44 1").tolist() == [[44, 1]]
+
+
+def test_feature_against_plain_means(spark):
+    text = "".join(chr(33 + i * i % 90) for i in range(64 * 9 * 8))
+    row = M.media_features(M.text_media(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    grid = np.frombuffer(text.encode(), np.uint8).reshape(-1, 64).astype(float)
+    cells = np.array([[grid[y * 9 : y * 9 + 9, :].repeat(9, 1)[:, x * 64 : x * 64 + 64].mean() for x in range(9)] for y in range(8)])
+    assert row.feature == np.packbits(np.round(cells, 6)[:, :-1] < np.round(cells, 6)[:, 1:]).tobytes().hex()
+    stored = M.text_raster(text)
+    assert (row.media_bytes, row.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest()) and row.n_tiles == 1

@@ -1,6 +1,5 @@
 """Line dedup, packing, sharding, classifiers and near duplicates against brute force."""
 
-import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -17,7 +16,7 @@ from sparkmix.llm import near_dup as N
 from sparkmix.llm import packing as K
 from sparkmix.llm import sharding as S
 from sparkmix.llm import toxicity as T
-from sparkmix.llm.common import Scratch, connected_components
+from sparkmix.llm.common import Scratch, connected_components, crc_mod
 
 JSON = P.path("byte_bpe_50k.json")
 
@@ -77,6 +76,13 @@ def test_full_filter_changes_nothing(spark, line_rows):
     assert D.drop_common_lines(df.limit(0), 10).count() == 0
 
 
+def test_columns_that_clash_with_the_join(spark, line_rows):
+    df = spark.createDataFrame([(i, t, f"f{i}", f"m{i}", (i,)) for i, t in line_rows], "doc_id long, text string, found string, _mark string, row struct<`a b`:long>")
+    got = D.drop_common_lines(df, 10, broadcast_bytes=0).collect()
+    assert sorted((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got) == brute_lines(line_rows, 10)
+    assert all((r.found, r._mark, r.row[0]) == (f"f{r.doc_id}", f"m{r.doc_id}", r.doc_id) for r in got)
+
+
 def test_filters_have_no_false_negatives():
     rng = np.random.default_rng(2)
     docs = [{b"%d" % k for k in rng.integers(0, 400, 30)} for _ in range(40)]
@@ -202,6 +208,49 @@ def test_counterfactual_penalty_shrinks_identity_weights():
     assert bound.score("christians badword") > 0.3
 
 
+def test_toxicity_fit_against_dense_logistic():
+    rng = np.random.default_rng(1)
+    x = (rng.random((300, 6)) < 0.4).astype(float)
+    y = (rng.random(300) < 1 / (1 + np.exp(-(2 * x[:, 0] - 2 * x[:, 1] + x[:, 2] - 0.5)))).astype(float)
+    swaps = [(np.array([0], np.uint64), np.array([2], np.uint64))] * 20
+    rows = [np.flatnonzero(r).astype(np.uint64) for r in x]
+    for pairs in ([], swaps):
+        got = T.fit(rows, y, pairs, least_z=0.0, rounds=6000)
+        names = sorted(got.weights)
+        d = x[:, names]
+        diff = np.zeros(len(names))
+        if pairs:
+            diff[names.index(0)], diff[names.index(2)] = 1, -1
+
+        w, b = np.zeros(len(names)), 0.0  # Newton steps on the same loss
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-(d @ w + b)))
+            g = np.append(d.T @ (p - y) + 0.5 * w + len(pairs) * 10 * diff * (diff @ w), (p - y).sum())
+            full = np.c_[d, np.ones(len(y))]
+            h = full.T @ (full * (p * (1 - p))[:, None])
+            h[:-1, :-1] += 0.5 * np.eye(len(w)) + len(pairs) * 10 * np.outer(diff, diff)
+            step = np.linalg.solve(h, g)
+            w, b = w - step[:-1], b - step[-1]
+        assert np.allclose([got.weights[k] for k in names], w, atol=0.02) and abs(got.bias - b) < 0.02
+
+
+def test_every_alternative_is_swapped_in():
+    got = T.Swaps().sentences("Old men sing. Nothing here. The Muslim and the atheist.")
+    assert ("old men sing. ".strip(), "young women sing.") in [(a_.strip(), b_.strip()) for a_, b_ in got]
+    assert len(got) == 1 + 5 and all(a_ != b_ for a_, b_ in got)
+    assert T.Swaps((("zork", "blip"),)).sentences("A zork.") == [("a zork.", "a blip.")] and T.Swaps(()).sentences("a man") == []
+
+
+def test_penalty_changes_a_trained_model(spark):
+    rows = [(i, ("zork badword here" if i < 60 else "blip is here" if i < 80 else "zork is here")) for i in range(100)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i < 60)) for i in range(100)], "doc_id long, toxic int")
+    free, bound = (T.train(docs, marks, terms=t) for t in ((), (("zork", "blip"),)))
+    change = lambda m: abs(m.score("zork") - m.score("blip"))
+    assert change(bound) < change(free)
+    named = spark.createDataFrame([("zork badword here", 1)], "text string, score int")
+    assert T.keep_clean(named, free).columns == ["text", "score"] and T.keep_clean(named, free).count() == 0
+
+
 def test_language(spark):
     rnd = random.Random(9)
     words = {"en": ["the", "house", "with", "thing"], "de": ["der", "haus", "mit", "schön"], "fr": ["le", "maison", "avec", "été"]}
@@ -217,6 +266,47 @@ def test_language(spark):
     assert G.predict_texts(docs, G.train(docs.limit(0))).filter("lang_pred = 'und'").count() == docs.count()
 
 
+def brute_language(train_rows, texts, buckets):
+    """Naive Bayes on plain counters; the bucket of an n-gram is what the operator gives a text that is that n-gram's only one."""
+    def grams(t):
+        c = " " + "".join(x.lower() if x.isalpha() and len(x.lower()) == 1 else x if x.isalpha() else " " for x in t) + " "
+        return [c[i : i + k] for k in (1, 2, 3) for i in range(len(c) - k + 1)] if c.strip() else []
+
+    def bucket(g):
+        c = np.array([ord(x) for x in g], np.uint64)
+        return int(G._grams(c, len(c), buckets)[-1])
+
+    counts, docs = defaultdict(Counter), Counter()
+    for t, lang in train_rows:
+        docs[lang] += 1
+        counts[lang].update(bucket(g) for g in grams(t))
+    out = []
+    for t in texts:
+        own = [bucket(g) for g in grams(t or "")]
+        z = {}
+        for lang in docs:
+            total = sum(counts[lang].values()) + 0.5 * buckets
+            z[lang] = np.log(docs[lang] / sum(docs.values())) + sum(np.log((counts[lang][b] + 0.5) / total) for b in own)
+        best = min(z, key=lambda k: (-z[k], k))
+        out.append((best, 1 / sum(np.exp(v - z[best]) for v in z.values())) if own else ("und", 0.0))
+    return out
+
+
+def test_language_against_plain_counters(spark, monkeypatch):
+    rnd = random.Random(10)
+    pools = {"en": ["the", "cat", "a"], "de": ["die", "katze", "ßä"], "fr": ["le", "chat", "à"]}
+    rows = [(" ".join(rnd.choice(pools[k]) for _ in range(rnd.randint(1, 6))), k) for k in pools for _ in range(12)]
+    texts = [t for t, _ in rows] + ["the katze", "", None, "12 !", "𝒳𝒴 le", "la la à", "x"]
+    monkeypatch.setattr(G, "PIECE", 5)
+    model = G.train(spark.createDataFrame(rows, "text string, lang string"))
+    want = brute_language(rows, texts, G.BUCKETS)
+    for got in (model.predict_batch(texts), [model.predict(t) for t in texts]):
+        assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want])
+    odd = spark.createDataFrame([("the cat", (1,), "x")], "text string, more struct<`a b`:int>, lang_pred string")
+    assert G.keep_known(odd, model).columns == ["text", "more", "lang_pred"] and G.keep_known(odd, model).count() == 1
+    assert G.predict_texts(odd.withColumnRenamed("lang_pred", "doc_id"), model).columns == ["doc_id", "lang_pred", "score"]
+
+
 def test_language_counts_are_exact(spark):
     docs = spark.createDataFrame([("ab ab", "x"), ("ba", "x"), ("ab", "y")], "text string, lang string")
     model = G.train(docs)
@@ -384,7 +474,18 @@ def test_graph_recall_and_round_trip():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     g = E.SmallWorld.build(x)
     assert g.audit(0.98) >= E.AUDIT_RECALL
-    found = E.SmallWorld.from_bytes(g.to_bytes(), x).within(x, 0.98)
+    walked, search = [], E._search
+
+    def counted(vectors, nearby, queries, entry, beam):
+        walked.append(len(queries))
+        return search(vectors, nearby, queries, entry, beam)
+
+    E._search = counted
+    try:
+        found = E.SmallWorld.from_bytes(g.to_bytes(), x).within(x, 0.98)
+    finally:
+        E._search = search
+    assert sum(walked) >= len(x) and g.beam < E.WHOLE_SHARD
     truth = [np.flatnonzero(s >= 0.98) for s in x @ x.T]
     assert sum(len(np.intersect1d(a, b)) for a, b in zip(found, truth, strict=True)) >= 0.99 * sum(map(len, truth))
     assert all((x[f] @ x[i] >= 0.98 - 1e-5).all() for i, f in enumerate(found))
@@ -414,10 +515,15 @@ def test_pipeline_against_its_parts(spark, tmp_path):
             assert seen[-1] == {c for _, c in brute_near(rows, 5, 80).values()}
     assert all(b <= a for a, b in zip(seen, seen[1:], strict=False))
     toxic = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").filter("toxic = 1").collect()}
-    assert not (seen[1] & toxic & {i for i in toxic if zlib.crc32(str(i).encode()) % 4 != 2}) or len(seen[1]) > 100
+    assert not seen[1] & toxic & {i for i in toxic if zlib.crc32(str(i).encode()) % 4 != 2}
+    first, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = T.train(first, labels, crc_mod(F.col("doc_id"), 4) != 2)
+    assert seen[1] == {r.doc_id for r in first.collect() if model.score(r.text) < 0.3} and len(seen[1]) < len(seen[0])
+    second = first.filter(F.col("doc_id").isin(*seen[1]))
+    known = G.train(second, crc_mod(F.col("doc_id"), 5) != 0)
+    assert seen[2] == {r.doc_id for r in second.collect() for lang, score in [known.predict(r.text)] if lang != "und" and score >= 0.5}
     from sparkmix.llm.bpe_files import json_tokenizer
 
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     check_pack(rows, C.run(spark, sf).collect(), json_tokenizer(JSON, P.PATTERN), 2048)
     assert len(C.STAGES) == 5
-    assert hashlib.sha256(b"").hexdigest()
