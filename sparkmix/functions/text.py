@@ -408,5 +408,5 @@ def sensitive_rule(*cols: Column) -> Column:
     """Name of the first rule that a value breaks, or null."""
     out = F
     for name, pattern in L.SENSITIVE.items():
-        out = out.when(reduce(lambda a, b: a | b, [F.coalesce(c, F.lit("")).rlike(pattern) for c in cols]), name)
+        out = out.when(reduce(lambda a, b: a | b, [F.coalesce(c, F.lit("")).rlike("(?U)" + pattern) for c in cols]), name)
     return out.otherwise(None)

@@ -12,6 +12,11 @@ from ..functions import lexicon as L
 from ..functions import text as X
 from .joins import small
 
+#: Turns of speakers that are put in order at once.
+TURNS = 1000
+#: Parts of a speaker's rows that are cut by themselves before the rest meet.
+PARTS = 16
+
 
 def decode_labels(df: DataFrame, maps: dict[str, dict[int, str]] = L.LABEL_MAPS) -> DataFrame:
     """Class codes to names; a code without a name stays as text. Columns that are absent are skipped."""
@@ -90,6 +95,26 @@ def hash_order(seed: int, *cols: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
 
 
+def place_in_order(df: DataFrame, group: list[str], bucket: Column, order: list, name: str, total: str | None = None) -> DataFrame:
+    """Adds ``name``: the row's place, from 1, by (bucket, order) in its group, and ``total``, the group's size.
+
+    Buckets are counted first, and each is sorted by itself, so neither a group nor the table meets in one task.
+    Rows with a null in ``group`` are left out.
+    """
+    keyed = df.withColumn("_bucket", bucket)
+    counts = keyed.groupBy(*group, "_bucket").agg(F.count("*").alias("_k"))
+    whole = W.partitionBy(*group)
+    offsets = counts.select(*group, "_bucket", (F.sum("_k").over(whole.orderBy("_bucket")) - F.col("_k")).alias("_before"), F.sum("_k").over(whole).alias("_total"))
+    place = F.col("_before") + F.row_number().over(W.partitionBy(*group, "_bucket").orderBy(*order))
+    out = keyed.join(offsets, [*group, "_bucket"]).withColumn(name, place)
+    return out.select(*df.columns, name, *([F.col("_total").alias(total)] if total else []))
+
+
+def hex_bucket(mark: str) -> Column:
+    """One of 4096 buckets, in the order of a hash in hex."""
+    return F.conv(F.substring(mark, 1, 3), 16, 10).cast("int")
+
+
 def allocate_quota(cells: DataFrame, n: int, key: str = "cell", size: str = "size") -> DataFrame:
     """Adds ``quota``: largest remainders of size / total * n, at most the cell's size, the deficit going to cells with room.
 
@@ -112,12 +137,14 @@ def allocate_quota(cells: DataFrame, n: int, key: str = "cell", size: str = "siz
 def round_robin_pick(df: DataFrame, quotas: DataFrame, cell: str, speaker: str, id_col: str, seed: int = 42) -> DataFrame:
     """In each cell one row per speaker and round, speakers in order, up to the cell's quota.
 
-    A speaker's rows beyond the quota can never be picked and are cut before the second window.
+    A speaker's rows beyond the quota can never be picked. They are cut in each of 16 parts of the
+    speaker's rows and then over all parts, so a hot speaker does not meet in one task; rounds are
+    counted, so a cell does not either.
     """
-    inner = W.partitionBy(cell, speaker).orderBy(hash_order(seed, id_col))
-    own = df.join(small(quotas.select(cell, "quota")), cell).withColumn("round", F.row_number().over(inner)).filter(F.col("round") <= F.col("quota"))
-    place = F.row_number().over(W.partitionBy(cell).orderBy("round", speaker))
-    return own.withColumn("place", place).filter(F.col("place") <= F.col("quota")).drop("quota", "round", "place")
+    by_hash = lambda *keys: F.row_number().over(W.partitionBy(cell, speaker, *keys).orderBy("mark"))
+    own = df.join(small(quotas.select(cell, "quota")), cell).withColumn("mark", hash_order(seed, id_col)).withColumn("part", F.pmod(F.xxhash64("mark"), F.lit(PARTS)))
+    own = own.withColumn("round", by_hash("part")).filter("round <= quota").withColumn("round", by_hash()).filter("round <= quota")
+    return place_in_order(own, [cell], F.col("round"), [speaker], "place").filter("place <= quota").select(*df.columns)
 
 
 def stratified_sample(df: DataFrame, strata: list[str], n: int, speaker: str, id_col: str, seed: int = 42) -> DataFrame:
@@ -125,7 +152,8 @@ def stratified_sample(df: DataFrame, strata: list[str], n: int, speaker: str, id
     keyed = df.withColumn("stratum_key", X.stratum_key(*strata))
     cells = keyed.groupBy("stratum_key").agg(F.count("*").alias("size"))
     picked = round_robin_pick(keyed, allocate_quota(cells, n, "stratum_key"), "stratum_key", speaker, id_col, seed)
-    return picked.withColumn("selection_rank", F.row_number().over(W.orderBy(hash_order(seed, id_col), id_col)))
+    ranked = place_in_order(picked.withColumn("mark", hash_order(seed, id_col)), [], hex_bucket("mark"), ["mark", id_col], "selection_rank")
+    return ranked.withColumn("selection_rank", F.col("selection_rank").cast("int")).drop("mark")
 
 
 def speaker_profile(df: DataFrame, speaker: str, cols: list[str]) -> DataFrame:
@@ -133,11 +161,15 @@ def speaker_profile(df: DataFrame, speaker: str, cols: list[str]) -> DataFrame:
     return df.groupBy(speaker).agg(*[F.mode(c, True).alias(c) for c in cols])
 
 
+def _interleaved(profile: DataFrame, speaker: str, strata: list[str], seed: int) -> DataFrame:
+    keyed = profile.withColumns({"stratum": X.stratum_key(*strata), "mark": hash_order(seed, speaker)})
+    turns = place_in_order(keyed, ["stratum"], hex_bucket("mark"), ["mark"], "turn")
+    return place_in_order(turns, [], F.floor(F.col("turn") / TURNS), ["turn", "stratum"], "position", "total").drop("mark", "turn")
+
+
 def interleave_speakers(profile: DataFrame, speaker: str, strata: list[str], seed: int = 42) -> DataFrame:
     """Adds ``position``: strata take turns, speakers shuffled inside a stratum. One row per speaker."""
-    keyed = profile.withColumn("stratum", X.stratum_key(*strata))
-    turn = keyed.withColumn("turn", F.row_number().over(W.partitionBy("stratum").orderBy(hash_order(seed, speaker))))
-    return turn.withColumn("position", F.row_number().over(W.orderBy("turn", "stratum"))).drop("turn")
+    return _interleaved(profile, speaker, strata, seed).withColumn("position", F.col("position").cast("int")).drop("total")
 
 
 def _cut(position: Column, total: Column, train: float, val: float) -> Column:
@@ -147,19 +179,14 @@ def _cut(position: Column, total: Column, train: float, val: float) -> Column:
 
 def split_speakers(df: DataFrame, speaker: str, strata: list[str], train: float = 0.8, val: float = 0.1, seed: int = 42) -> DataFrame:
     """(speaker, split): the interleaved list of speakers, cut into consecutive parts."""
-    placed = interleave_speakers(speaker_profile(df, speaker, strata), speaker, strata, seed)
-    total = F.count("*").over(W.partitionBy())
-    return placed.select(speaker, _cut(F.col("position"), total, train, val).alias("split"))
+    placed = _interleaved(speaker_profile(df, speaker, strata), speaker, strata, seed)
+    return placed.select(speaker, _cut(F.col("position"), F.col("total"), train, val).alias("split"))
 
 
 def random_split(df: DataFrame, id_col: str, train: float = 0.8, val: float = 0.1, seed: int = 42) -> DataFrame:
     """Adds ``split`` by the order of a hash; sizes are those of rounding. Ranks come from per-bucket counts, not from one task."""
-    mark = hash_order(seed, id_col)
-    keyed = df.withColumn("mark", mark).withColumn("bucket", F.conv(F.substring("mark", 1, 3), 16, 10).cast("int"))
-    counts = keyed.groupBy("bucket").count()  # 4096 at most
-    offsets = counts.select("bucket", (F.sum("count").over(W.orderBy("bucket")) - F.col("count")).alias("before"), F.sum("count").over(W.partitionBy()).alias("total"))
-    rank = F.col("before") + F.row_number().over(W.partitionBy("bucket").orderBy("mark", id_col))
-    return keyed.join(F.broadcast(offsets), "bucket").withColumn("split", _cut(rank, F.col("total"), train, val)).select(*df.columns, "split")
+    ranked = place_in_order(df.withColumn("_mark", hash_order(seed, id_col)), [], hex_bucket("_mark"), ["_mark", id_col], "_rank", "_total")
+    return ranked.select(*df.columns, _cut(F.col("_rank"), F.col("_total"), train, val).alias("split"))
 
 
 def assign_split(df: DataFrame, splits: DataFrame, speaker: str) -> DataFrame:
@@ -186,11 +213,36 @@ def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(F.inline(pairs)).filter("value is not null").groupBy("column", "value").agg(F.count("*").alias("count"))
 
 
+def running_counts(values: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, value, k, upto, n): each distinct value's rows, the rows up to it in ascending order, and the group's rows.
+
+    Equal values are counted first. Approximate quantiles deal the distinct values of a group to
+    64 buckets, which are counted and then sorted each by itself. The counts are exact.
+    """
+    counts = values.groupBy(group, value).agg(F.count("*").alias("k"))
+    bounds = values.groupBy(group).agg(F.percentile_approx(value, [i / 64 for i in range(1, 64)], 2000).alias("_bounds"))
+    dealt = counts.join(bounds, group).withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b <= F.col(value)))).drop("_bounds")
+    whole = W.partitionBy(group)
+    sums = dealt.groupBy(group, "_bucket").agg(F.sum("k").alias("_k"))
+    sums = sums.select(group, "_bucket", (F.sum("_k").over(whole.orderBy("_bucket")) - F.col("_k")).alias("_before"), F.sum("_k").over(whole).alias("n"))
+    upto = F.col("_before") + F.sum("k").over(W.partitionBy(group, "_bucket").orderBy(value))
+    return dealt.join(sums, [group, "_bucket"]).withColumn("upto", upto).select(group, value, "k", "upto", "n")
+
+
+def at_place(place: Column, value: str) -> Column:
+    """The value at a place, from 0, of the ascending values, as an aggregate over ``running_counts``."""
+    return F.min(F.when(F.col("upto") > place, F.col(value)))
+
+
 def numeric_summary(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, mean, median, std, min, max) to three decimals."""
-    stats = {"mean": F.avg, "median": F.median, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    stats = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     one = df.agg(*[F.round(f(c), 3).alias(f"{c}_{s}") for c in cols for s, f in stats.items()])
-    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{c}_{s}").alias(s) for s in stats]) for c in cols])))
+    rows = one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{c}_{s}").alias(s) for s in stats]) for c in cols])))
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols]))).filter("v is not null")
+    middle = (at_place(F.floor((F.col("n") - 1) / 2), "v") + at_place(F.floor(F.col("n") / 2), "v")) / 2
+    medians = running_counts(long, "column", "v").groupBy("column").agg(F.round(middle, 3).alias("median"))
+    return rows.join(medians, "column", "left").select("column", "mean", "median", "std", "min", "max")
 
 
 def cardinalities(df: DataFrame, *cols: str, approximate: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
+from .corpus import at_place, running_counts
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -15,7 +16,12 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def confusion_matrix(pairs: DataFrame, classes: list[str]) -> DataFrame:
-    """(truth, prediction, n) over the whole grid of classes, zeros included; other labels are left out."""
+    """(truth, prediction, n) over the whole grid of classes, zeros included; other labels are left out.
+
+    Spellings of a dialect count as its class, unless ``classes`` names the spelling itself.
+    """
+    named = lambda c: F.when(F.col(c).isin(*classes), F.col(c)).otherwise(X.canonical_dialect(F.col(c))).alias(c)
+    pairs = pairs.select(named("truth"), named("prediction"))
     spark = pairs.sparkSession
     labels = spark.createDataFrame([(c,) for c in classes], "truth string")
     grid = labels.select("truth", F.explode(F.array(*[F.lit(c) for c in classes])).alias("prediction"))
@@ -115,15 +121,11 @@ def task_success(rows: DataFrame) -> DataFrame:
 def latency_summary(records: DataFrame, components: list[str]) -> DataFrame:
     """(component, mean, p50, p95, max); a percentile is the value at place floor(q * (n - 1)) of the ascending values.
 
-    Equal values are counted first, so the running count that finds the place runs over
-    distinct values, partitioned by component.
+    Places come from ``running_counts``, so no component's values meet in one task.
     """
     long = records.select(F.inline(F.array(*[F.struct(F.lit(c).alias("component"), F.col(c).cast("double").alias("v")) for c in components]))).filter("v is not null")
-    counts = long.groupBy("component", "v").agg(F.count("*").alias("k"))
-    upto = F.sum("k").over(W.partitionBy("component").orderBy("v"))
-    placed = counts.withColumns({"upto": upto, "n": F.sum("k").over(W.partitionBy("component"))})
-    at = lambda q: F.min(F.when(F.col("upto") > F.floor(q * (F.col("n") - 1)), F.col("v")))
-    return placed.groupBy("component").agg(
+    at = lambda q: at_place(F.floor(q * (F.col("n") - 1)), "v")
+    return running_counts(long, "component", "v").groupBy("component").agg(
         F.round(F.sum(F.col("v") * F.col("k")) / F.sum("k"), 2).alias("mean"), F.round(at(0.50), 2).alias("p50"), F.round(at(0.95), 2).alias("p95"), F.round(F.max("v"), 2).alias("max")
     )
 

@@ -11,6 +11,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import metrics as M
+
 
 def score_batches(df: DataFrame, score: Callable[[list], list[str]], id_col: str, input_col: str, batch: int = 32) -> DataFrame:
     """(id, prediction, error, seconds): ``score`` maps a batch of inputs to texts. A batch that fails gives empty texts and its error."""
@@ -58,6 +60,20 @@ def top_k_labels(probabilities: str, k: int = 2):
     return F.slice(F.array_sort(pairs, lambda a, b: F.when(a["probability"] != b["probability"], F.when(a["probability"] > b["probability"], -1).otherwise(1)).otherwise(a["class"] - b["class"])), 1, k)
 
 
+def evaluate_labels(predicted: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """(part, class, prediction, value): accuracy, macro F1 and rows of a table of predictions; precision, recall, F1 and
+    support of each class; and the confusion matrix over the classes that occur. Rows without a label or a prediction are left out."""
+    pairs = predicted.select(F.col(label).cast("string").alias("truth"), F.col(prediction).cast("string").alias("prediction")).dropna()
+    none = F.lit(None).cast("string")
+    row = lambda part, cls, pred, v: F.struct(F.lit(part).alias("part"), cls.alias("class"), pred.alias("prediction"), v.cast("double").alias("value"))
+    prf = M.per_class_prf(pairs)
+    per = prf.select(F.inline(F.array(*[row(c, F.col("class"), none, F.col(c)) for c in ("precision", "recall", "f1", "support")])))
+    totals = M.accuracy(pairs).select(F.inline(F.array(*[row(c, none, none, F.col(c)) for c in ("accuracy", "n")])))
+    totals = totals.unionByName(M.macro_f1(pairs).select(F.inline(F.array(row("macro_f1", none, none, F.col("macro_f1"))))))
+    matrix = pairs.groupBy("truth", "prediction").agg(F.count("*").alias("n")).select(F.inline(F.array(row("confusion", F.col("truth"), F.col("prediction"), F.col("n")))))
+    return totals.unionByName(per).unionByName(matrix)
+
+
 def predict_labels(model, df: DataFrame, id_col: str = "vec_id", k: int = 2) -> DataFrame:
     """(id, label, prediction, probability, top). A row without a vector gets nulls."""
     good = model.transform(with_features(df.filter(F.col("embedding").isNotNull()))).withColumn("p", vector_to_array("probability"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 LIMITS = {"min_s": 0.1, "max_s": 60.0, "warn_min_s": 0.5, "warn_max_s": 30.0, "min_peak": 1e-6, "max_peak": 1.1, "max_channels": 8, "rates": ()}
 GAIN = {"peak_db": -3.0, "rms_db": -20.0, "clip_db": -0.1, "silence_db": -60.0}
@@ -22,8 +23,19 @@ def to_linear(db: float) -> float:
     return 10 ** (db / 20)
 
 
+def mono(clips: DataFrame) -> DataFrame:
+    """``samples`` of one channel: arrays of channels become the mean over channels, plain arrays stay. A channel that ends early counts with the places it has."""
+    if not isinstance(clips.schema["samples"].dataType.elementType, ArrayType):
+        return clips
+    size = F.array_max(F.transform("samples", F.size))
+    at = lambda i: F.filter(F.transform("samples", lambda c: F.get(c, i).cast("double")), lambda x: x.isNotNull())
+    mean = F.transform(F.sequence(F.lit(0), size - 1), lambda i: _sum(at(i)) / F.nullif(F.size(at(i)), F.lit(0)))
+    return clips.withColumn("samples", F.when(size > 0, mean).when(F.col("samples").isNotNull(), F.array().cast("array<double>")))
+
+
 def clip_stats(clips: DataFrame) -> DataFrame:
-    """Adds finite, duration, peak, rms, rms_dbfs and std of the mono ``samples``. An empty or null clip has null measures."""
+    """Adds finite, duration, peak, rms, rms_dbfs and std of ``samples``, channels being averaged. An empty or null clip has null measures."""
+    clips = mono(clips)
     xs = F.col("samples")
     n = F.nullif(F.size(xs), F.lit(0))
     mean = _sum(xs) / n
@@ -91,11 +103,11 @@ def normalize_gain(stats: DataFrame, strategy: str = "peak", cfg: dict = GAIN) -
 
 
 #: Columns of a quality row, in order.
-QC_COLUMNS = "file status error duration orig_sample_rate target_sample_rate channels resampled snr_db peak_in_dbfs peak_out_dbfs rms_in_dbfs gain_db norm_status processing_time_s".split()
+QC_COLUMNS = "file status error duration orig_sample_rate target_sample_rate channels snr_db peak_in_dbfs peak_out_dbfs rms_in_dbfs gain_db norm_status".split()
 
 
 def qc_report(clips: DataFrame, done: DataFrame | None = None, strategy: str = "peak", id_col: str = "clip_id") -> DataFrame:
-    """One quality row for each clip that is not in ``done``. Samples are not resampled here; ``peak_in`` is the linear peak."""
+    """One quality row for each clip that is not in ``done``. Samples keep their rate and rows are not timed one by one; ``peak_in`` is the linear peak."""
     rows = clips.join(done.select(id_col).distinct(), id_col, "left_anti") if done is not None else clips
     q = normalize_gain(estimate_snr(validate_clips(clip_stats(rows))), strategy)
     ok = F.col("status") != "REJECT"
@@ -108,14 +120,12 @@ def qc_report(clips: DataFrame, done: DataFrame | None = None, strategy: str = "
         F.col("sample_rate").alias("orig_sample_rate"),
         F.when(ok, F.col("sample_rate")).otherwise(0).alias("target_sample_rate"),
         "channels",
-        F.lit(False).alias("resampled"),
         F.when(ok, F.col("snr_db")).alias("snr_db"),
         r4(decibels(F.col("peak"))).alias("peak_in_dbfs"),
         F.when(ok, r4(decibels(F.col("peak_out")))).alias("peak_out_dbfs"),
         r4(F.col("rms_dbfs")).alias("rms_in_dbfs"),
         F.when(ok, F.col("gain_db")).alias("gain_db"),
         F.when(ok, F.col("norm_status")).otherwise("").alias("norm_status"),
-        F.lit(0.0).alias("processing_time_s"),
         r4(F.col("peak")).alias("peak_in"),
     )
 

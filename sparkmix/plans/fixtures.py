@@ -57,12 +57,14 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(utt_id, user_id, text): every turn of every conversation behind an example, other than ASCII letters made x."""
-    c = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
+    """(utt_id, user_id, text): every turn of every conversation behind an example."""
+    return as_utterances(spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")))
+
+
+def as_utterances(c: DataFrame) -> DataFrame:
     utt = (F.col("conv_id") * 1000 + F.col("turn")).alias("utt_id")
     first = F.element_at(F.array(*[F.lit(u) for u in UTTERANCES]), (F.pmod(F.col("conv_id") * 1000 + F.col("turn"), F.lit(len(UTTERANCES))) + 1).cast("int"))
-    rest = F.regexp_replace("text", r"[^\x00-\x7F]", "x")
-    return c.select(utt, (F.col("conv_id") % 7).alias("user_id"), F.concat(first, F.lit(" "), rest).alias("text"))
+    return c.select(utt, (F.col("conv_id") % 7).alias("user_id"), F.concat(first, F.lit(" "), F.col("text")).alias("text"))
 
 
 def _list(items) -> str:
@@ -78,7 +80,7 @@ def quoted(x: str) -> str:
 
 
 U_SQL = f"""u AS (SELECT conv_id * 1000 + turn AS utt_id, conv_id % 7 AS user_id,
- {_list(UTTERANCES)}[(conv_id * 1000 + turn) % {len(UTTERANCES)} + 1] || ' ' || regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g') AS text FROM conversations)"""
+ {_list(UTTERANCES)}[(conv_id * 1000 + turn) % {len(UTTERANCES)} + 1] || ' ' || text AS text FROM conversations)"""
 
 _AFFIX = "^[a-z]{2,}(?:" + "|".join(L.TANGLISH_AFFIXES) + ")$"
 _BREAK = "[\\s\\pZ\\x{0964}\\x{0965}.,!?;:\"''()\\[\\]{}<>]+"
@@ -121,13 +123,13 @@ M_SQL = f"""m AS (SELECT user_id AS speaker_id, ['Female', 'Male'][user_id % 2 +
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, reference, prediction) from ``benchmark``: two words changed, one letter doubled."""
-    ref = F.regexp_replace("text", r"[^\x00-\x7F]", "x")
+    ref = F.col("text")
     hyp = F.regexp_replace(F.regexp_replace(ref, r"\bthe\b", "a"), "on", "onn")
     return table(spark, sf_dir, "benchmark").select("item_id", ref.alias("reference"), hyp.alias("prediction"))
 
 
-P_SQL = r"""p AS (SELECT item_id, regexp_replace(text, '[^\x00-\x7F]', 'x', 'g') AS reference,
- regexp_replace(regexp_replace(regexp_replace(text, '[^\x00-\x7F]', 'x', 'g'), '\bthe\b', 'a', 'g'), 'on', 'onn', 'g') AS prediction FROM benchmark)"""
+P_SQL = r"""p AS (SELECT item_id, text AS reference,
+ regexp_replace(regexp_replace(text, '\bthe\b', 'a', 'g'), 'on', 'onn', 'g') AS prediction FROM benchmark)"""
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,7 +158,8 @@ def scl10_detect_code_mix(spark, sf_dir):
 
 
 def _any(words) -> str:
-    return f"regexp_matches(lower(text), '\\b(?:{'|'.join(words)})\\b')"
+    edge = "[^\\pL\\pM\\p{Nd}_]"  # boundaries count letters of every script
+    return f"regexp_matches(lower(text), '(?:^|{edge})(?:{'|'.join(words)})(?:$|{edge})')"
 
 
 _FIRST = "CASE " + " ".join(f"WHEN {_any(ws)} THEN '{d}'" for d, ws in L.FIRST_MARKERS.items()) + " ELSE 'Standard' END"

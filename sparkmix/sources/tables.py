@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +15,32 @@ AUDIO_COLUMNS = ("audio",)
 MEDIA_GLOB = "*.{wav,flac,mp3,m4a,ogg,opus}"
 
 
+def _place(spark: SparkSession, path: str):
+    """A path and its file system, as Spark sees them."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, files = _place(spark, path)
+    return files.exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where, files = _place(spark, path)
+    files.delete(where, True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Path of a new folder under ``spark.checkpoint.dir``; a temporary one only where that is unset and the master is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
+    return f"{root.rstrip('/')}/work-{uuid.uuid4().hex}"
+
+
 def read_shards(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """The named columns of parquet shards; nothing else is read."""
     return spark.read.parquet(path).select(*columns)
@@ -48,12 +78,21 @@ def inspect_schema(spark: SparkSession, path: str, required: list[str] = ()) ->
 
 
 def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.option("header", True).schema(schema).csv(path)
+    """CSV with a header, as ``write_manifest`` leaves it: quotes are doubled, values may hold line breaks, and an empty text comes back as null."""
+    return spark.read.options(header=True, escape='"', multiLine=True).schema(schema).csv(path)
 
 
 def write_manifest(df: DataFrame, path: str, force: bool = False) -> None:
     """CSV with a header; an existing manifest is an error unless forced."""
-    df.write.mode("overwrite" if force else "errorifexists").option("header", True).csv(path)
+    spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite" if force else "errorifexists").options(header=True, escape='"', **spaces).csv(path)
+
+
+def reuse_manifest(spark: SparkSession, path: str, schema: str, build: Callable[[], DataFrame], force: bool = False) -> DataFrame:
+    """The manifest at ``path``; built and written only if there is no whole one yet, or if forced."""
+    if force or not exists(spark, f"{path}/_SUCCESS"):
+        write_manifest(build(), path, force=True)
+    return read_manifest(spark, path, schema)
 
 
 def list_media(spark: SparkSession, path: str, glob: str = MEDIA_GLOB) -> DataFrame:

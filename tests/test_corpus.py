@@ -1,6 +1,9 @@
 """Corpus preparation, joins, metrics, waveforms, personal tables, sources and streams."""
 
+import hashlib
 import math
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,6 +63,48 @@ def test_statistics(spark):
     assert tuple(M.latency_summary(lat, ["ms"]).first()) == ("ms", 2.5, 2.0, 3.0, 4.0)
 
 
+def test_places_match_a_plain_sort(spark):
+    rng = random.Random(3)
+    values = [rng.choice([rng.random(), rng.gauss(0, 1e6), 7.0]) for _ in range(4001)] + [None, 1e300]
+    df = spark.createDataFrame([(v, None if v is None or v < 0 else v) for v in values], "a double, b double")
+    got = {r.column: r for r in C.numeric_summary(df, ["a", "b"]).collect()}
+    for col, kept in (("a", [v for v in values if v is not None]), ("b", [v for v in values if v is not None and v >= 0])):
+        assert got[col].median == round(statistics.median(kept), 3) and got[col].max == max(kept)
+    assert C.numeric_summary(df.limit(0), ["a"]).first().median is None
+    rows = {r.component: r for r in M.latency_summary(df, ["a", "b"]).collect()}
+    for col, kept in (("a", sorted(v for v in values if v is not None)), ("b", sorted(v for v in values if v is not None and v >= 0))):
+        assert rows[col].p50 == round(kept[(len(kept) - 1) // 2], 2) and rows[col].p95 == round(kept[int(0.95 * (len(kept) - 1))], 2)
+
+
+def test_places_of_hot_speakers_and_strata(spark):
+    rows = [(i, "hot" if i % 3 else f"s{i % 40}", ["x", "y", None][i % 3]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, speaker string, cell string").fillna("none", ["cell"])
+    quotas = df.groupBy("cell").agg(F.count("*").alias("quota")).withColumn("quota", F.least("quota", F.lit(70)))
+    got = sorted((r.cell, r.id) for r in C.round_robin_pick(df, quotas, "cell", "speaker", "id").collect())
+    mark = lambda i: hashlib.md5(f"42|{i}".encode()).hexdigest()
+    want = []
+    for cell in {r.cell for r in df.collect()}:
+        queues = {}
+        for r in sorted(df.filter(F.col("cell") == cell).collect(), key=lambda r: mark(r.id)):
+            queues.setdefault(r.speaker, []).append(r.id)
+        order = sorted((k, s, i) for s, ids in queues.items() for k, i in enumerate(ids))
+        want += [(cell, i) for _, _, i in order[:70]]
+    assert got == sorted(want)
+    profile = spark.createDataFrame([(f"p{i:05d}", ["a", "b"][i % 10 == 0], "z") for i in range(2500)], "speaker string, g string, h string")
+    placed = C.interleave_speakers(profile, "speaker", ["g", "h"]).collect()
+    turns, order = {}, []
+    for r in sorted(placed, key=lambda r: mark(r.speaker)):
+        turns[r.stratum] = turns.get(r.stratum, 0) + 1
+        order.append((turns[r.stratum], r.stratum, r.speaker))
+    assert [s for _, _, s in sorted(order)] == [r.speaker for r in sorted(placed, key=lambda r: r.position)]
+
+
+def test_confusion_takes_spellings(spark):
+    pairs = spark.createDataFrame([("Kongu (Coimbatore)", " kongu"), ("Tirunelveli", "Nellai"), ("odd", "Kongu")], "truth string, prediction string")
+    grid = {(r.truth, r.prediction): r.n for r in M.confusion_matrix(pairs, ["Kongu", "Nellai"]).collect()}
+    assert grid == {("Kongu", "Kongu"): 1, ("Nellai", "Nellai"): 1, ("Kongu", "Nellai"): 0, ("Nellai", "Kongu"): 0}
+
+
 def test_decode_and_coerce(spark):
     df = spark.createDataFrame([(0, "1.5"), (7, "x")], "gender int, snr string")
     assert [tuple(r) for r in C.coerce_numeric(C.decode_labels(df), ["snr"]).collect()] == [("Female", 1.5), ("7", None)]
@@ -149,6 +194,9 @@ def test_waveforms(spark):
     rms = V.normalize_gain(V.clip_stats(spark.createDataFrame([("p", 400, 1, [0.001] * 799 + [0.9])], df.schema)), "rms").first()
     assert rms.norm_status == "CLAMPED" and max(rms.normalized) <= 10 ** (-0.1 / 20) + 1e-9
     assert V.qc_report(df, df.filter("clip_id = 'ok'")).count() == 7
+    two = spark.createDataFrame([("a", 400, 2, [[1.0, 0.0, 0.5], [0.0, 0.0, -0.5]]), ("b", 400, 2, [[1.0], [0.0, 3.0]]), ("c", 400, 2, []), ("d", 400, 2, None)], "clip_id string, sample_rate int, channels int, samples array<array<double>>")
+    assert {r.clip_id: r.samples for r in V.mono(two).collect()} == {"a": [0.5, 0.0, 0.0], "b": [0.5, 3.0], "c": [], "d": None}
+    assert {r.clip_id: r.peak for r in V.clip_stats(two).collect()} == {"a": 0.5, "b": 3.0, "c": None, "d": None}
 
 
 def test_sources(spark, tmp_path):
@@ -166,6 +214,11 @@ def test_sources(spark, tmp_path):
     with pytest.raises(Exception, match="exist"):
         S.write_manifest(spark.range(3).toDF("id"), str(tmp_path / "m"))
     S.write_manifest(spark.range(1).toDF("id"), str(tmp_path / "m"), force=True)
+    odd = spark.createDataFrame([(1, 'a "b", c\nd'), (2, " x "), (3, ""), (4, None)], "id long, t string")
+    for build in (lambda: odd, lambda: odd.limit(0)):  # the second time nothing is built
+        kept = S.reuse_manifest(spark, str(tmp_path / "kept"), "id long, t string", build)
+        assert sorted(map(tuple, kept.collect())) == [(1, 'a "b", c\nd'), (2, " x "), (3, None), (4, None)]
+    assert S.reuse_manifest(spark, str(tmp_path / "kept"), "id long, t string", lambda: odd.limit(1), force=True).count() == 1
     media = tmp_path / "media" / "deep"
     media.mkdir(parents=True)
     for n in ("a.wav", "b.flac", "c.txt"):
@@ -193,6 +246,11 @@ def test_streams(spark, tmp_path):
     df.filter("utt_id = 2").write.mode("append").parquet(src)
     jobs.ingest_incremental(spark, src, dst, ck, "utt_id long, text string")
     assert sorted(r.utt_id for r in spark.read.parquet(dst).collect()) == [0, 1, 2]
+    (tmp_path / "ck" / "metadata").write_text("{broken", encoding="utf-8")  # starts afresh, nothing is doubled
+    jobs.ingest_incremental(spark, src, dst, ck, "utt_id long, text string")
+    assert sorted(r.utt_id for r in spark.read.parquet(dst).collect()) == [0, 1, 2]
+    jobs.ingest_incremental(spark, src, dst, ck, "utt_id long, text string", force=True)
+    assert sorted(r.utt_id for r in spark.read.parquet(dst).collect()) == [0, 1, 2]
     stream = lambda: spark.readStream.schema("utt_id long, text string").parquet(src)
     jobs.analyze_stream(stream(), str(tmp_path / "an"), str(tmp_path / "anck"))
     key = lambda r: (r.utt_id, r.language, r.final_text, r.intent, r.entities)
@@ -220,6 +278,11 @@ def test_scorer_and_models(spark):
     pred = ML.predict_labels(model, emb.unionByName(spark.createDataFrame([(999, None, 1)], emb.schema)))
     assert pred.filter("prediction = label").count() >= 110 and pred.filter("vec_id = 999 and prediction is null").count() == 1
     assert len(pred.first().top) == 2
+    report = ML.evaluate_labels(pred).collect()
+    cells = {(r["class"], r.prediction): r.value for r in report if r.part == "confusion"}
+    total = {r.part: r.value for r in report if r["class"] is None}
+    assert total["n"] == sum(cells.values()) == 120 and total["accuracy"] == round(sum(v for (t, p), v in cells.items() if t == p) / 120, 4)
+    assert {r.part for r in report} == {"accuracy", "macro_f1", "n", "precision", "recall", "f1", "support", "confusion"}
 
 
 def test_entry_imports_without_training_operators(tmp_path):
