@@ -12,22 +12,24 @@ from .common import Scratch
 OVERSAMPLE = 16
 #: Fine ranges under each coarse one; a row compares with two short lists instead of all boundaries.
 FAN = 32
+#: Rows of a part of a range, about; a range with more is divided, so parts grow in number and not in size.
+PART_ROWS = 1 << 20
 
 
 def _below(bounds: Column, key: Column) -> Column:
     return F.size(F.filter(bounds, lambda b: b <= key))
 
 
-def order_and_sum(rows: DataFrame, weight: str, scratch: Scratch, ranges: int = 1024, key: str = "sort_key", tie: str = "tie") -> DataFrame:
+def order_and_sum(rows: DataFrame, weight: str, scratch: Scratch, ranges: int = 1024, key: str = "sort_key", tie: str = "tie", part_rows: int = PART_ROWS) -> DataFrame:
     """Adds weight_before, rows_before, weight_total and rows_total in the order of (key, tie).
 
     ``rows`` is a written table with a bigint ``key`` and ``tie``. Keys are sampled with
     probability in proportion to their share, half of it of the weight and half of the
     rows, so that neither heavy rows nor very many light ones fill a range; at most
     ``ranges * 16`` are expected, and their quantiles bound the ranges. A range that
-    still holds over twice the mean is divided by a hash of the tie. Totals of the ranges,
-    a table bounded by ``ranges``, give each range its offset; inside a range a window
-    sums the rows. Equal (key, tie) rows follow each other in any order.
+    still holds over twice the mean, or more than ``part_rows`` rows, is divided by a hash of
+    the tie. Totals of the parts, one row for each part, give each its offset; inside a part a
+    window sums the rows. Equal (key, tie) rows follow each other in any order.
     """
     total, n = rows.agg(F.sum(weight), F.count("*")).first()
     out_names = ["weight_before", "rows_before", "weight_total", "rows_total"]
@@ -47,7 +49,7 @@ def order_and_sum(rows: DataFrame, weight: str, scratch: Scratch, ranges: int =
     placed = rows.withColumn("top", top)
     placed = placed.withColumn("range", F.col("top") * FAN + _below(F.element_at(F.array(*[as_list(x) for x in fine]), F.col("top") + 1), F.col(key))).drop("top")
     sizes = placed.groupBy("range").agg(F.sum(weight).alias("w"), F.count("*").alias("k"))  # whole numbers: the same whenever it is computed
-    parts = sizes.select("range", F.greatest(F.lit(1), F.ceil(share(F.col("w"), F.col("k")) * (len(bounds) + 1) / 2)).alias("parts"))
+    parts = sizes.select("range", F.greatest(F.lit(1), F.ceil(share(F.col("w"), F.col("k")) * (len(bounds) + 1) / 2), F.ceil(F.col("k") / part_rows)).alias("parts"))
     placed = placed.join(F.broadcast(parts), "range").withColumn("part", F.pmod(F.xxhash64(tie, F.lit("part")), "parts")).drop("parts")
     offsets = (
         placed.groupBy("range", "part")

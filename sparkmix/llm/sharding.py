@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, whole_text
+from .common import Scratch, free_name, whole_text
 from .ranges import order_and_sum
 
 #: Bytes that each record takes beside its text.
@@ -62,6 +62,14 @@ def assign_shards(df: DataFrame, shards: int = 40, law: str = "bytes", id_col: s
 
 
 def write_shards(df: DataFrame, path: str, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the records of ``df`` with their shard and slot, one folder for each shard. Ids must be unique."""
-    places = assign_shards(df, shards, "bytes", id_col, text_col).select(id_col, "shard", "slot")
-    df.drop("shard", "slot").join(places, id_col).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write the records of ``df`` with their shard and slot, one folder for each shard, in files of consecutive slots.
+
+    Ids must be unique; a null id is one of them. Columns of the caller named shard or slot stay,
+    and the new ones get underscores behind their names. An empty table writes no folder.
+    """
+    shard = free_name(df.columns, "shard")
+    slot = free_name(df.columns, "slot")
+    key = free_name(df.columns, "key")
+    places = assign_shards(df, shards, "bytes", id_col, text_col).select(F.col(id_col).alias(key), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    placed = df.join(places, F.col(id_col).eqNullSafe(F.col(key))).drop(key)
+    placed.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)

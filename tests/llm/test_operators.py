@@ -17,6 +17,7 @@ from sparkmix.llm import packing as K
 from sparkmix.llm import sharding as S
 from sparkmix.llm import toxicity as T
 from sparkmix.llm.common import Scratch, connected_components, crc_mod
+from sparkmix.llm.ranges import order_and_sum
 
 JSON = P.path("byte_bpe_50k.json")
 
@@ -169,6 +170,34 @@ def test_shards(spark, law):
     assert S.assign_shards(df.limit(0)).count() == 0
 
 
+def test_ranges_divide_by_rows(spark):
+    rows = [(i % 7, (i * 7919) % 100003, 1 + i % 5) for i in range(3000)]
+    scratch = Scratch(spark)
+    table = scratch.save(spark.createDataFrame(rows, "sort_key long, tie long, w long"), "rows")
+    for part_rows in (50, 1 << 20):
+        got = order_and_sum(table, "w", scratch, ranges=8, part_rows=part_rows).orderBy("rows_before").collect()
+        assert [r.rows_before for r in got] == list(range(3000)) and Counter((r.sort_key, r.tie, r.w) for r in got) == Counter(rows)
+        before = 0
+        for r in got:
+            assert (r.weight_before, r.weight_total, r.rows_total) == (before, sum(w for _, _, w in rows), 3000)
+            before += r.w
+        keys = [r.sort_key for r in got]
+        assert part_rows < 3000 or keys == sorted(keys)
+
+
+def test_written_shards(spark, tmp_path):
+    rows = [(i, "t" * (i % 50), "mine", "k") for i in range(200)] + [(None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard string, key string")
+    S.write_shards(df, str(tmp_path / "out"), 4)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert Counter((r.doc_id, r.text, r.shard, r.key) for r in got.collect()) == Counter(rows)
+    want = {(r.doc_id, r.shard, r.slot) for r in S.assign_shards(df, 4).collect()}
+    assert {(r.doc_id, r.shard_, r.slot) for r in got.collect()} == want
+    files = got.groupBy(F.input_file_name().alias("f"), "shard_").agg(F.min("slot").alias("a"), F.max("slot").alias("b"), F.count("*").alias("n")).collect()
+    assert all(r.b - r.a + 1 == r.n for r in files)  # consecutive slots
+    S.write_shards(df.limit(0), str(tmp_path / "none"), 4)
+
+
 # Toxicity and language
 
 
