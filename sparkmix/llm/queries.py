@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_dedup, language_id, line_dedup, media, near_dup, packing, sharding, token_counts, toxicity
+from . import byte_bpe, embedding_dedup, exact_dedup, language_id, line_dedup, media, near_dup, packing, sharding, token_counts, toxicity
 from .common import crc_mod
 
 
@@ -61,9 +61,25 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.98)
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_media, op2_token_counts, op3_byte_bpe, op4_line_dedup, op5_packing, op6_sharding, op7_toxicity, op8_near_dup, op9_language_id, op10_embedding_dedup)
+    for f in (
+        op1_media,
+        op2_token_counts,
+        op3_byte_bpe,
+        op4_line_dedup,
+        op5_packing,
+        op6_sharding,
+        op7_toxicity,
+        op8_near_dup,
+        op9_language_id,
+        op10_embedding_dedup,
+        op13_exact_dedup,
+    )
 }
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -104,4 +120,8 @@ r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM
 n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
 SELECT e.vec_id, coalesce(any_value(n.n_links), 0) AS n_links, min(r.b) AS component_id, e.vec_id = min(r.b) AS kept
 FROM embeddings e JOIN r ON r.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id GROUP BY e.vec_id""",
+    "op13_exact_dedup": r"""
+WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
+g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)""",
 }
