@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_dedup, exact_dedup, language_id, line_dedup, media, near_dup, packing, sharding, token_counts, toxicity
+from . import byte_bpe, collocations, conversations, embedding_dedup, exact_dedup, language_id, line_dedup, media, near_dup, packing, sharding, token_counts, toxicity
 from .common import crc_mod
 
 
@@ -61,6 +61,14 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.98)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(conversations.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")), gone_col="gone")
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
 
@@ -78,6 +86,8 @@ QUERIES = {
         op8_near_dup,
         op9_language_id,
         op10_embedding_dedup,
+        op11_collocations,
+        op12_conversation_repair,
         op13_exact_dedup,
     )
 }
@@ -120,6 +130,70 @@ r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM
 n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
 SELECT e.vec_id, coalesce(any_value(n.n_links), 0) AS n_links, min(r.b) AS component_id, e.vec_id = min(r.b) AS kept
 FROM embeddings e JOIN r ON r.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id GROUP BY e.vec_id""",
+    "op11_collocations": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+k AS (SELECT lang, ws, unnest(range(1, 6)) AS k FROM w WHERE len(ws) > 0),
+o AS (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM k WHERE len(ws) >= k),
+f AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM o GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+s AS (
+  SELECT c.lang, c.k, c.phrase, c.a, x.a AS l, y.a AS r, n.n, cut, ((1000::HUGEINT * c.a * n.n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM c JOIN n ON n.lang = c.lang JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:cut], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[cut + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+m AS (
+  SELECT b.lang, b.phrase FROM b JOIN f q ON q.lang = b.lang AND q.k > b.k AND contains(' ' || q.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * q.a >= 100 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM b ANTI JOIN m USING (lang, phrase) QUALIFY rank <= 2000""",
+    "op12_conversation_repair": r"""
+WITH RECURSIVE c AS (
+  SELECT list_transform(range(256), lambda v: list_reduce([v] || range(8), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS t),
+b AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, row_number() OVER () AS r,
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS bs
+  FROM conversations),
+e AS (SELECT b.*, xor(list_reduce([4294967295] || bs, lambda x, y: xor(x >> 8, t[xor(x, y) % 256 + 1])), 4294967295) % 20 AS code FROM b, c),
+d AS (
+  SELECT conv_id, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    r, unnest(range(CASE code WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM e WHERE code <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, copy) AS i, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS final FROM d),
+f AS (
+  SELECT *, CASE WHEN final = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN final NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+    lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair
+  FROM o),
+z AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
+    count(*) FILTER (WHERE fault = 3) AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM f GROUP BY conv_id),
+g AS (
+  SELECT * FROM (VALUES ('', '', 0, '', '', ''), ('', 'u', 5, 'I', 'user:', ''), ('', 'a', 10, 'II', 'user:', 'assistant:'), ('s', 's', 0, '', '', ''), ('s', 'u', 5, 'I', 'user:', ''),
+    ('s', 'a', 10, 'II', 'user:', 'assistant:'), ('u', 'u', 0, '', '', ''), ('u', 'a', 5, 'I', 'assistant:', ''), ('a', 'a', 0, '', '', ''), ('a', 'u', 5, 'I', 'user:', '')) AS v (s, s2, c, a, t1, t2)),
+k AS (
+  SELECT g.*, w.* FROM g JOIN (VALUES ('', 's', 's'), ('', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'a'), ('a', 'u', 'u')) AS w (w1, initial, w3) ON w1 = s2),
+p AS (
+  SELECT conv_id, 0::BIGINT AS i, '' AS s, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS lines FROM conversations GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, s, (min(x)).cost, (min(x)).audit, arg_min(lines, x) FROM (
+    SELECT p.conv_id, f.i, g.s2 AS s, {'cost': p.cost + g.c + 2, 'audit': p.audit || g.a || 'D'} AS x, p.lines || [g.t1, g.t2] AS lines
+    FROM p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1 JOIN g ON g.s = p.s
+    UNION ALL
+    SELECT p.conv_id, f.i, k.w3, {'cost': p.cost + k.c + m.c + CASE f.fault WHEN 3 THEN 5 ELSE 0 END, 'audit': p.audit || k.a || m.a},
+      p.lines || [k.t1, k.t2, CASE m.a WHEN 'K' THEN f.role WHEN 'R' THEN CASE k.initial WHEN 'u' THEN 'user' ELSE 'assistant' END END || ':' || f.text]
+    FROM p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1 AND f.fault IN (0, 3) JOIN k ON k.s = p.s
+    JOIN (VALUES ('K', 0), ('R', 1)) AS m (a, c) ON (m.a = 'K' AND role[1] = k.initial) OR (m.a = 'R' AND k.initial <> 's')
+  ) GROUP BY conv_id, i, s),
+q AS (
+  SELECT p.conv_id, min({'cost': cost + g.c, 'audit': audit || g.a}) AS x, arg_min(lines || [g.t1, g.t2], {'cost': cost + g.c, 'audit': audit || g.a}) AS lines
+  FROM p LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM p.conv_id JOIN g ON g.s = p.s AND g.s2 IN ('', 'a') WHERE i = coalesce(n, 0) GROUP BY p.conv_id)
+SELECT q.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  x.cost AS cost, x.audit AS audit, sha256(array_to_string(list_filter(lines, lambda l: l <> ''), chr(10))) AS repaired_sha256
+FROM q LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM q.conv_id""",
     "op13_exact_dedup": r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
