@@ -1,8 +1,9 @@
 """Operator 11: phrase collocations by SON partitioning.
 
-A shard is what one task reads, in blocks of bounded size. Every shard is mined completely, at the global
-support lowered in proportion to its words: a phrase that is frequent anywhere is locally frequent somewhere.
-The union of the locally frequent phrases is counted over all texts, exactly, by the phrases' own bytes.
+The corpus is a fixed number of shards, each the work of many tasks, so that a shard's share of the support stays the
+same however large the corpus is. Every shard is mined completely, at the global support lowered in proportion to its
+words: a phrase that is frequent anywhere is locally frequent somewhere. The union of the locally frequent phrases is
+counted over all texts, exactly, by the phrases' own bytes.
 
 Mining runs on arrays of 64-bit hashes. Hashes only choose what is counted, so a clash can add a candidate
 and never change a count. Four scans: words, pairs, phrases of three and more whose pairs can be frequent, counts.
@@ -17,13 +18,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import Scratch, ship_package
 
-#: Words of a block; a task that holds more mines several blocks, each as a shard of its own.
+#: Shards of the corpus. A phrase is frequent in one at a sixteenth of the support or so.
+SHARDS = 16
+#: Words that a task counts at once; bounds its memory.
 BLOCK_WORDS = 3_000_000
 #: Bytes that are hashed at once; a longer word is hashed by itself.
 WINDOW = 1 << 20
@@ -73,13 +77,15 @@ class WordHasher:
                 self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, ODD)]), dtype=np.uint64)
                 self.inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, back)]), dtype=np.uint64)
 
-    def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        data = np.frombuffer(text, np.uint8)
+    def bounds(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         kinds = KINDS[data]
         inside = np.concatenate([[False], kinds == WORD, [False]])
         edges = np.flatnonzero(inside[1:] != inside[:-1])
-        starts, ends = edges[::2], edges[1::2]
-        cuts = np.flatnonzero(kinds == CUT)
+        return edges[::2], edges[1::2], np.flatnonzero(kinds == CUT)
+
+    def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        data = np.frombuffer(text, np.uint8)
+        starts, ends, cuts = self.bounds(data)
         joined = np.zeros(len(starts), bool)
         if len(starts) > 1:
             joined[:-1] = np.searchsorted(cuts, ends[:-1]) == np.searchsorted(cuts, starts[1:])
@@ -163,12 +169,6 @@ def _by_language(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator
             yield from own.items()
 
 
-def _table(lang: str, hashes: np.ndarray, counts: np.ndarray, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(hashes), most):
-        h = hashes[at : at + most]
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(counts[at : at + most])], ["lang", "hash", "k"])
-
-
 class Blocks:
     """The words of a task, for each language as blocks of bounded size."""
 
@@ -194,16 +194,57 @@ class Blocks:
             yield lang, *self.take(lang)
 
 
-def _word_counts(texts: DataFrame, block_words: int) -> DataFrame:
-    """(lang, hash, k): word hashes with their partial counts; hash is null in the rows that count all words."""
+def _flushed(rows: Iterator[tuple[str, int, dict[bytes, int]]], most: int) -> Iterator[pa.RecordBatch]:
+    """(lang, size, phrase, k): counts summed up in bounded memory; what is left to sum is Spark's."""
+    sums: Counter = Counter()
+
+    def out() -> pa.RecordBatch:
+        langs, sizes, phrases = zip(*sums, strict=True)
+        cols = [pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(phrases, pa.binary()), pa.array(sums.values(), pa.int64())]
+        sums.clear()
+        return pa.RecordBatch.from_arrays(cols, ["lang", "size", "phrase", "k"])
+
+    for lang, size, own in rows:
+        for phrase, n in own.items():
+            sums[lang, size, phrase] += n
+        if len(sums) >= most:
+            yield out()
+    if sums:
+        yield out()
+
+
+def _between(text: bytes, starts: np.ndarray, ends: np.ndarray) -> Counter:
+    return Counter(map(text.__getitem__, map(slice, starts.tolist(), ends.tolist())))
+
+
+def _word_counts(texts: DataFrame, held: int = 1 << 18) -> DataFrame:
+    """(lang, size, phrase, k): partial counts of all words, by their bytes; size 0 counts the words of a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, words, _ in Blocks(block_words).walk(batches):
-            found, k = np.unique(words, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([None], pa.int64()), pa.array([len(words)], pa.int64())], ["lang", "hash", "k"])
-            yield from _table(lang, salted(lang, found), k)
+        hasher = WordHasher()
 
-    return texts.mapInArrow(run, "lang string, hash long, k long")
+        def each() -> Iterator[tuple[str, int, dict[bytes, int]]]:
+            for lang, own in _by_language(batches):
+                text = lowered(own)
+                starts, ends = hasher.bounds(np.frombuffer(text, np.uint8))[:2]
+                yield lang, 1, _between(text, starts, ends)
+                yield lang, 0, {b"": len(starts)}
+
+        yield from _flushed(each(), held)
+
+    return texts.mapInArrow(run, "lang string, size int, phrase binary, k long")
+
+
+def _hashed(words: DataFrame) -> DataFrame:
+    """(hash) of the words of a table (lang, phrase)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in batches:
+            hashes = [int(salted(lang, hasher(word)[2])[0].astype(np.int64)) for lang, word in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64())], ["hash"])
+
+    return words.select("lang", "phrase").mapInArrow(run, "hash long")
 
 
 def mine_block(words: np.ndarray, joined: np.ndarray, least: int, sizes: range, known: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -228,75 +269,77 @@ def mine_block(words: np.ndarray, joined: np.ndarray, least: int, sizes: range,
         alive[places] = True
 
 
-def _mined(texts: DataFrame, totals: dict[str, int], support: int, sizes: range, words: Members, pairs: Members | None, block_words: int) -> DataFrame:
-    """(lang, hash, k): what is frequent in a block, k less the most that a block without it can hold; hash is null in rows that sum up that most."""
+def _mined(texts: DataFrame, langs: set[str], sizes: range, words: Members, pairs: Members | None, block_words: int, shards: int) -> DataFrame:
+    """(lang, shard, hash, k): counts of a task's blocks, to be summed up in its shard; hash is null in rows that count words."""
     sets = texts.sparkSession.sparkContext.broadcast((words, pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single, double = sets.value
+        shard = TaskContext.get().partitionId() % shards
         for lang, block, joined in Blocks(block_words).walk(batches):
-            if lang not in totals:
+            if lang not in langs:
                 continue
-            least = -(-support * len(block) // totals[lang])
 
             def known(k: int, x: np.ndarray, lang: str = lang) -> np.ndarray:
                 return single(salted(lang, x)) if k == 1 else double(salted(lang, x)) if k == 2 and double is not None else np.ones(len(x), bool)
 
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([None], pa.int64()), pa.array([max(0, least - 1)], pa.int64())], ["lang", "hash", "k"])
-            for found, counts in mine_block(block, joined, least, sizes, known):
-                yield from _table(lang, salted(lang, found), counts - (least - 1))
+            yield _table(lang, shard, None, np.array([len(block)]))
+            for found, counts in mine_block(block, joined, 1, sizes, known):
+                for at in range(0, len(found), 1 << 16):
+                    yield _table(lang, shard, salted(lang, found[at : at + (1 << 16)]), counts[at : at + (1 << 16)])
+
+    return texts.mapInArrow(run, "lang string, shard int, hash long, k long")
 
-    return texts.mapInArrow(run, "lang string, hash long, k long")
 
+def _table(lang: str, shard: int, hashes: np.ndarray | None, counts: np.ndarray) -> pa.RecordBatch:
+    n = len(counts)
+    keys = pa.nulls(n, pa.int64()) if hashes is None else pa.array(hashes.view(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array([shard] * n, pa.int32()), keys, pa.array(counts.astype(np.int64))], ["lang", "shard", "hash", "k"])
 
-def _frequent(texts: DataFrame, found: DataFrame, support: int, scratch: Scratch, name: str) -> DataFrame:
-    """(hash): the union of what is frequent in some shard, without what can't reach the support even if every other shard holds all it can."""
-    sums = scratch.save(found.groupBy("lang", "hash").agg(F.sum("k").alias("k")), name)
-    slack = sums.filter("hash is null").select("lang", F.col("k").alias("slack"))  # a row for each language
-    return sums.filter("hash is not null").join(F.broadcast(slack), "lang").filter(F.col("k") + F.col("slack") >= support).select("hash")
 
+def _frequent(found: DataFrame, totals: DataFrame, support: int, scratch: Scratch, name: str) -> DataFrame:
+    """(hash): the union of what is frequent in some shard, at its share of the support.
+
+    A shard in which a phrase is not frequent holds fewer than its share; what can't reach the support even if all of these hold as
+    many as they can is left out.
+    """
+    sums = scratch.save(found.groupBy("lang", "shard", "hash").agg(F.sum("k").alias("k")), name)
+    share = F.expr(f"({support} * k + n - 1) div n")
+    shares = sums.filter("hash is null").join(F.broadcast(totals), "lang").select("lang", "shard", share.alias("share"))  # a row for each language and shard
+    slack = shares.groupBy("lang").agg(F.sum(F.col("share") - 1).alias("slack"))
+    local = sums.filter("hash is not null").join(F.broadcast(shares), ["lang", "shard"]).filter("k >= share")
+    union = local.groupBy("lang", "hash").agg(F.sum(F.col("k") - F.col("share") + 1).alias("k"))
+    return scratch.save(union.join(F.broadcast(slack), "lang").filter(F.col("k") + F.col("slack") >= support).select("hash"), name)
 
-def _counts(texts: DataFrame, singles: Members, phrases: Members, longest: int, held: int = 1 << 19) -> DataFrame:
-    """(lang, size, phrase binary, k): partial counts of all candidates, by their bytes."""
+
+def _counts(texts: DataFrame, singles: Members, phrases: Members, longest: int, held: int = 1 << 18) -> DataFrame:
+    """(lang, size, phrase, k): partial counts of all candidates of two words or more, by their bytes."""
     sets = texts.sparkSession.sparkContext.broadcast((singles, phrases))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single, several = sets.value
         hasher = WordHasher()
-        sums: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            keys = list(sums)
-            out = [pa.array([x[0] for x in keys], pa.string()), pa.array([x[1] for x in keys], pa.int32()), pa.array([x[2] for x in keys], pa.binary()), pa.array([sums[x] for x in keys], pa.int64())]
-            sums.clear()
-            return pa.RecordBatch.from_arrays(out, ["lang", "size", "phrase", "k"])
-
-        for lang, texts_ in _by_language(batches):
-            text = lowered(texts_)
-            starts, ends, words, joined = hasher(text)
-            alive, grams = single(salted(lang, words)), words
-            for k in range(1, longest + 1):
-                if k > 1:
+
+        def each() -> Iterator[tuple[str, int, dict[bytes, int]]]:
+            for lang, own in _by_language(batches):
+                text = lowered(own)
+                starts, ends, words, joined = hasher(text)
+                alive, grams = single(salted(lang, words)), words
+                for k in range(2, longest + 1):
                     grams, there = longer(grams, joined, words, k)
                     places = np.flatnonzero(there & alive[: len(there)] & alive[1 : 1 + len(there)])
                     places = places[several(salted(lang, grams[places]))]
                     alive = np.zeros(len(there), bool)
                     alive[places] = True
-                else:
-                    places = np.flatnonzero(alive)
-                own = Counter(map(text.__getitem__, map(slice, starts[places].tolist(), ends[places + k - 1].tolist())))
-                for phrase, n in own.items():
-                    sums[lang, k, phrase] += n
-            if len(sums) >= held:
-                yield flush()
-        if sums:
-            yield flush()
+                    yield lang, k, _between(text, starts[places], ends[places + k - 1])
+
+        yield from _flushed(each(), held)
 
     return texts.mapInArrow(run, "lang string, size int, phrase binary, k long")
 
 
 def frequent_phrases(
-    df: DataFrame, support: int, longest: int = 5, text_col: str = "text", lang_col: str = "lang", block_words: int = BLOCK_WORDS, listed: int = LISTED, bits: int = BITMAP_BITS
+    df: DataFrame, support: int, longest: int = 5, text_col: str = "text", lang_col: str = "lang", block_words: int = BLOCK_WORDS, shards: int = SHARDS, listed: int = LISTED, bits: int = BITMAP_BITS
 ) -> tuple[DataFrame, DataFrame]:
     """(lang, size, phrase, a) of all phrases of 1 to ``longest`` words that occur ``support`` times or more in a language, and (lang, n), its words.
 
@@ -309,16 +352,18 @@ def frequent_phrases(
     scratch = Scratch(spark)
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
     texts = df.select(F.col(text_col).alias("text"), lang.alias("lang"))
-    sums = scratch.save(_word_counts(texts, block_words).groupBy("lang", "hash").agg(F.sum("k").alias("k")), "words")
-    totals = sums.filter("hash is null").filter(F.col("k") >= support).select("lang", F.col("k").alias("n"))
-    per_lang = {r.lang: r.n for r in totals.collect()}  # a row for each language that has enough words
-    words = members(sums.filter((F.col("k") >= support) & F.col("hash").isNotNull()).select("hash"), listed, bits)
-    two = _frequent(texts, _mined(texts, per_lang, support, range(2, 3), words, None, block_words), support, scratch, "pairs")
+    keys = ["lang", "size", "phrase"]
+    sums = scratch.save(_word_counts(texts).groupBy(*keys).agg(F.sum("k").alias("a")).filter(F.col("a") >= support), "words")
+    totals = sums.filter("size = 0").select("lang", F.col("a").alias("n"))
+    single = sums.filter("size = 1")
+    words = members(_hashed(single), listed, bits)
+    langs = {r.lang for r in totals.collect()}  # a row for each language that has enough words
+    two = _frequent(_mined(texts, langs, range(2, 3), words, None, block_words, shards), totals, support, scratch, "pairs")
     pairs = members(two, listed, bits)
-    more = _frequent(texts, _mined(texts, per_lang, support, range(3, longest + 1), words, pairs, block_words), support, scratch, "phrases") if longest > 2 else two.limit(0)
+    more = _frequent(_mined(texts, langs, range(3, longest + 1), words, pairs, block_words, shards), totals, support, scratch, "phrases") if longest > 2 else two.limit(0)
     union = members(two.union(more), listed, bits)
-    counts = _counts(texts, words, union, longest).groupBy("lang", "size", "phrase").agg(F.sum("k").alias("a")).filter(F.col("a") >= support)
-    return scratch.save(counts.withColumn("phrase", F.col("phrase").cast("string")), "counts"), totals
+    counts = scratch.save(_counts(texts, words, union, longest).groupBy(*keys).agg(F.sum("k").alias("a")).filter(F.col("a") >= support), "counts")
+    return single.union(counts).withColumn("phrase", F.col("phrase").cast("string")), totals
 
 
 def _whole(c: Column | str) -> Column:
@@ -366,7 +411,7 @@ def first_ranks(df: DataFrame, group: str, order: list[Column], k: int, name: st
 
 
 def collocations(
-    df: DataFrame, support: int = 100, longest: int = 5, top: int = 2000, percent: int = 100, text_col: str = "text", lang_col: str = "lang", block_words: int = BLOCK_WORDS, listed: int = LISTED, bits: int = BITMAP_BITS, ranked: int = RANKED
+    df: DataFrame, support: int = 100, longest: int = 5, top: int = 2000, percent: int = 100, text_col: str = "text", lang_col: str = "lang", block_words: int = BLOCK_WORDS, shards: int = SHARDS, listed: int = LISTED, bits: int = BITMAP_BITS, ranked: int = RANKED
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases of 2 to ``longest`` words that occur ``support`` times or more.
 
@@ -374,7 +419,7 @@ def collocations(
     a longer one with ``percent`` of their count or more are left out. Order: score and a descending, then the phrase's bytes.
     Nulls, empty, long and repeated texts, and empty tables as in ``frequent_phrases``; equal scores and counts are ordered by phrase.
     """
-    phrases, totals = frequent_phrases(df, support, longest, text_col, lang_col, block_words, listed, bits)
+    phrases, totals = frequent_phrases(df, support, longest, text_col, lang_col, block_words, shards, listed, bits)
     kept = score_cuts(phrases, totals).join(absorbed(phrases, percent), ["lang", "phrase"], "left_anti")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     best = first_ranks(kept, "lang", order, top, "rank", Scratch(df.sparkSession), "phrase", ranked)

@@ -52,14 +52,14 @@ def corpus(seed, docs=240):
 
 
 @pytest.mark.parametrize(
-    ("blocks", "listed", "bits"),
-    [(C.BLOCK_WORDS, C.LISTED, C.BITMAP_BITS), (300, C.LISTED, C.BITMAP_BITS), (300, 0, 1 << 20), (300, 0, 64)],
-    ids=["one block a task", "small shards", "bitmaps", "full bitmaps"],
+    ("blocks", "shards", "listed", "bits"),
+    [(C.BLOCK_WORDS, 1, C.LISTED, C.BITMAP_BITS), (300, C.SHARDS, C.LISTED, C.BITMAP_BITS), (300, 3, 0, 1 << 20), (300, 3, 0, 64)],
+    ids=["one shard", "small blocks", "bitmaps", "full bitmaps"],
 )
-def test_against_brute_force(spark, blocks, listed, bits):
+def test_against_brute_force(spark, blocks, shards, listed, bits):
     rows = corpus(1)
     df = spark.createDataFrame([(t, x, "c", 1) for t, x in rows], "text string, lang string, phrase string, hash int").repartition(5)
-    got = sorted(tuple(r) for r in C.collocations(df, support=12, block_words=blocks, listed=listed, bits=bits).collect())
+    got = sorted(tuple(r) for r in C.collocations(df, support=12, block_words=blocks, shards=shards, listed=listed, bits=bits).collect())
     assert got == brute(rows, 12) and len(got) > 30
 
 
