@@ -9,6 +9,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
+from . import phrases
+
+
+#: Entries of a word table that an expression holds by itself; a larger one is broadcast.
+IN_PLAN = 100
+PUNCTUATION = ".,!?;:"
 
 
 def _in(c: Column, words) -> Column:
@@ -185,6 +191,8 @@ def apply_phrases(text: Column, rules: list[tuple[str, str]] = L.PHRASES) -> Col
 def gloss_tokens(text: Column, glosses: dict[str, str] | None = None, fillers: tuple[str, ...] = ()) -> Column:
     """Each word replaced by its gloss; words with an empty gloss are dropped."""
     table = dict.fromkeys(fillers, "") | L.GLOSSES | (glosses or {})
+    if len(table) > IN_PLAN:
+        return phrases.replace_words(table, PUNCTUATION)(text)
     known = _map(table)
     words = F.transform(split_words(text, r"\s+"), lambda w: F.coalesce(F.try_element_at(known, F.regexp_replace(F.lower(w), r"^[.,!?;:]+|[.,!?;:]+$", "")), w))
     return F.array_join(F.filter(words, lambda w: w != ""), " ")

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from ..functions import lexicon as L
 from ..functions import text as X
 from .joins import small
+from .ranks import values_at
 
 #: Turns of speakers that are put in order at once.
 TURNS = 1000
@@ -213,36 +214,15 @@ def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(F.inline(pairs)).filter("value is not null").groupBy("column", "value").agg(F.count("*").alias("count"))
 
 
-def running_counts(values: DataFrame, group: str, value: str) -> DataFrame:
-    """(group, value, k, upto, n): each distinct value's rows, the rows up to it in ascending order, and the group's rows.
-
-    Equal values are counted first. Approximate quantiles deal the distinct values of a group to
-    64 buckets, which are counted and then sorted each by itself. The counts are exact.
-    """
-    counts = values.groupBy(group, value).agg(F.count("*").alias("k"))
-    bounds = values.groupBy(group).agg(F.percentile_approx(value, [i / 64 for i in range(1, 64)], 2000).alias("_bounds"))
-    dealt = counts.join(bounds, group).withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b <= F.col(value)))).drop("_bounds")
-    whole = W.partitionBy(group)
-    sums = dealt.groupBy(group, "_bucket").agg(F.sum("k").alias("_k"))
-    sums = sums.select(group, "_bucket", (F.sum("_k").over(whole.orderBy("_bucket")) - F.col("_k")).alias("_before"), F.sum("_k").over(whole).alias("n"))
-    upto = F.col("_before") + F.sum("k").over(W.partitionBy(group, "_bucket").orderBy(value))
-    return dealt.join(sums, [group, "_bucket"]).withColumn("upto", upto).select(group, value, "k", "upto", "n")
-
-
-def at_place(place: Column, value: str) -> Column:
-    """The value at a place, from 0, of the ascending values, as an aggregate over ``running_counts``."""
-    return F.min(F.when(F.col("upto") > place, F.col(value)))
-
-
 def numeric_summary(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(column, mean, median, std, min, max) to three decimals."""
-    stats = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    one = df.agg(*[F.round(f(c), 3).alias(f"{c}_{s}") for c in cols for s, f in stats.items()])
-    rows = one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{c}_{s}").alias(s) for s in stats]) for c in cols])))
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols]))).filter("v is not null")
-    middle = (at_place(F.floor((F.col("n") - 1) / 2), "v") + at_place(F.floor(F.col("n") / 2), "v")) / 2
-    medians = running_counts(long, "column", "v").groupBy("column").agg(F.round(middle, 3).alias("median"))
-    return rows.join(medians, "column", "left").select("column", "mean", "median", "std", "min", "max")
+    """(column, mean, median, std, min, max) to three decimals; the median comes from ``values_at``. Null and NaN are left out."""
+    value = {c: F.col(c).cast("double") for c in cols}
+    value = {c: F.when(~F.isnan(v), v) for c, v in value.items()}
+    stats = [f(v).alias(f"{name}_{c}") for c, v in value.items() for name, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))]
+    row, middle = values_at(df, cols, lambda n: [(n - 1) // 2, n // 2], *stats)
+    rows = [(c, row[f"mean_{c}"], sum(middle[c]) / 2 if middle[c] else None, row[f"std_{c}"], row[f"min_{c}"], row[f"max_{c}"]) for c in cols]
+    out = df.sparkSession.createDataFrame(rows, "column string, mean double, median double, std double, min double, max double")
+    return out.select("column", *[F.round(c, 3).alias(c) for c in ("mean", "median", "std", "min", "max")])
 
 
 def cardinalities(df: DataFrame, *cols: str, approximate: bool = False) -> DataFrame:

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import lexicon as L
 from ..functions import text as X
+from ..functions.phrases import PhraseTable
+from ..session import share_package
 
 #: Sides of at most so many rows are broadcast; larger ones are left to the planner.
 SMALL_ROWS = 10_000
+#: Texts of one user that a task gets, about.
+SHARE_ROWS = 100_000
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -74,18 +83,35 @@ def match_expressions(df: DataFrame, expressions: DataFrame, id_col: str = "utt_
 def longest_match(matches: DataFrame, id_col: str = "utt_id") -> DataFrame:
     """Matches left when longer expressions, then alphabetically first ones, then earlier ones win over those they overlap.
 
-    The matches of one text are folded in that order; a kept one blocks all that overlap it.
+    The matches of one text are taken in that order; those that are kept lie in order, so that each looks at its two neighbours only.
     """
     order = F.sort_array(F.collect_list(F.struct((-F.col("token_count")).alias("o1"), F.col("expression").alias("o2"), F.col("start").alias("o3"), "end", "normalized", "category")))
-    kept = F.aggregate(
-        "all",
-        F.slice("all", 1, 0),
-        lambda acc, m: F.when(F.exists(acc, lambda k: (k["o3"] < m["end"]) & (m["o3"] < k["end"])), acc).otherwise(F.array_append(acc, m)),
-    )
-    grouped = matches.groupBy(id_col).agg(order.alias("all")).select(id_col, F.explode(kept).alias("m"))
+    share_package(matches.sparkSession)
+    grouped = matches.groupBy(id_col).agg(order.alias("all"))
+
+    @F.arrow_udf("array<int>")
+    def places(starts: pa.Array, ends: pa.Array) -> pa.Array:
+        return pa.array([free_places(s, e) for s, e in zip(starts.to_pylist(), ends.to_pylist(), strict=True)], pa.list_(pa.int32()))
+
+    kept = F.transform("places", lambda i: F.get("all", i))
+    grouped = grouped.withColumn("places", places(F.col("all.o3"), F.col("all.end"))).select(id_col, F.explode(kept).alias("m"))
     return grouped.select(id_col, F.col("m.o2").alias("expression"), F.col("m.normalized").alias("normalized"), F.col("m.category").alias("category"), F.col("m.o3").alias("start"), F.col("m.end").alias("end"), (-F.col("m.o1")).alias("token_count"))
 
 
+def free_places(starts: list[int], ends: list[int]) -> list[int]:
+    """The places of the intervals [start, end) that overlap none kept before them."""
+    left: list[int] = []
+    right: list[int] = []
+    out = []
+    for place, (start, end) in enumerate(zip(starts, ends, strict=True)):
+        at = bisect_left(left, end)  # the kept ones before it begin before this one ends; the last of them ends last
+        if not at or right[at - 1] <= start:
+            left.insert(at, start)
+            right.insert(at, end)
+            out.append(place)
+    return out
+
+
 def pair_truth(truth: DataFrame, pred: DataFrame, key: str, value: str) -> DataFrame:
     """(key, truth, prediction) of rows in both."""
     return truth.select(key, F.col(value).alias("truth")).join(pred.select(key, F.col(value).alias("prediction")), key)
@@ -110,34 +136,61 @@ def resolve_dialect(utt: DataFrame, profiles: DataFrame) -> DataFrame:
     )
 
 
-def personal_matches(utt: DataFrame, terms: DataFrame, id_col: str = "utt_id") -> DataFrame:
-    """Uses of each user's own terms in the user's texts, overlaps resolved; expressions of several words first."""
-    most = terms.agg(F.max(F.size(F.split("term", r"\s+")))).first()[0] or 1
-    grams = ngrams(utt, most, id_col).join(utt.select(id_col, "user_id"), id_col)
-    side = terms.select("user_id", F.lower("term").alias("gram"), "normalized", F.lit("CUSTOM").alias("category"), F.size(F.split("term", r"\s+")).alias("token_count"))
-    found = grams.join(side, ["user_id", "gram"]).withColumnRenamed("gram", "expression").drop("user_id")
-    return longest_match(found, id_col)
+def _in_personal_order(term: Column) -> list[Column]:
+    """Expressions of several words first, by words descending; then single words by characters descending; then alphabetically."""
+    words = F.size(F.split(F.trim(term), r"\s+"))
+    return [F.when(words > 1, -words).otherwise(0), -F.length(term), term]
 
 
-def apply_user_terms(utt: DataFrame, terms: DataFrame, id_col: str = "utt_id") -> DataFrame:
-    """(id, personal_text): the words with each user's terms replaced, by the matches of ``personal_matches``."""
-    matches = personal_matches(utt, terms, id_col)
-    words = utt.select(id_col, F.posexplode(X.split_words(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}_]+", " "), " ")).alias("pos", "word"))
-    cover = matches.select(id_col, "normalized", "start", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("pos"))
-    marked = words.join(cover, [id_col, "pos"], "left")
-    put = F.when(F.col("start").isNull(), F.col("word")).when(F.col("start") == F.col("pos"), F.col("normalized"))
-    return (
-        marked.select(id_col, "pos", put.alias("w"))
-        .filter("w is not null")
-        .groupBy(id_col)
-        .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), " ").alias("personal_text"))
+def apply_user_terms(utt: DataFrame, terms: DataFrame, id_col: str = "utt_id", user_col: str = "user_id", text_col: str = "text", share_rows: int = SHARE_ROWS) -> DataFrame:
+    """(id, user, personal_text, used), one row for each row of ``utt``: the user's own terms replaced, and the terms that were found.
+
+    Each term, between word boundaries and without regard to case, is replaced over the whole text after those before it; what lies
+    outside the matches stays as it is. A text of a user without terms, of no user, or null, stays too. ``terms`` has (user, term, normalized).
+
+    A user's terms and texts meet in one task, terms first, and the texts stream by them; the texts of a user with more than
+    ``share_rows`` of them are dealt to several tasks, each with all terms of that user.
+    """
+    spark = utt.sparkSession
+    share_package(spark)
+    id_type, user_type = utt.schema[id_col].dataType, utt.schema[user_col].dataType
+    texts = utt.select(F.col(id_col).alias("id"), F.col(user_col).alias("user"), F.col(text_col).alias("a"))
+    shares = texts.filter("user is not null").groupBy("user").agg(F.ceil(F.count("*") / share_rows).cast("int").alias("shares")).filter("shares > 1")
+    term = F.trim("term")
+    order = _in_personal_order(term)
+    own = terms.filter(F.col(user_col).isNotNull() & (F.length(term) > 0)).select(F.col(user_col).cast(user_type).alias("user"), term.alias("a"), F.col("normalized").alias("b"), *[c.alias(f"o{i}") for i, c in enumerate(order[:2])])
+    own = own.join(shares, "user", "left").select(
+        "user", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)).alias("share"), F.lit(0).alias("kind"), "o0", "o1", F.lit(None).cast(id_type).alias("id"), "a", "b"
     )
+    dealt = F.pmod(F.xxhash64("id"), F.coalesce("shares", F.lit(1))).cast("int")
+    said = texts.filter("user is not null").join(shares, "user", "left").select("user", dealt.alias("share"), F.lit(1).alias("kind"), F.lit(0).alias("o0"), F.lit(0).alias("o1"), "id", "a", F.lit(None).cast("string").alias("b"))
+    schema = StructType([StructField(id_col, id_type), StructField(user_col, user_type), StructField("personal_text", StringType()), StructField("used", ArrayType(StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, entries, table = None, [], PhraseTable([])
+        for batch in batches:
+            rows, put, used = [], [], []
+            for at, (user, share, kind, a, b) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 6, 7)), strict=True)):
+                if owner != (user, share):
+                    owner, entries, table = (user, share), [], None
+                if not kind:
+                    entries.append((a, b or "", a))
+                    continue
+                table = PhraseTable(entries) if table is None else table
+                text, found = (None, []) if a is None else table.replace(a)
+                rows.append(at)
+                put.append(text)
+                used.append(list(dict.fromkeys(term for _, _, term in found)))
+            yield pa.RecordBatch.from_arrays([batch.column(5).take(pa.array(rows, pa.int64())), batch.column(0).take(pa.array(rows, pa.int64())), pa.array(put, pa.string()), pa.array(used, pa.list_(pa.string()))], schema.names)
+
+    both = own.unionByName(said).repartition("user", "share").sortWithinPartitions("user", "share", "kind", "o0", "o1", "a")
+    nobody = texts.filter("user is null").select("id", "user", "a", F.array().cast("array<string>").alias("used")).toDF(*schema.names)
+    return both.select("user", "share", "kind", "o0", "o1", "id", "a", "b").mapInArrow(run, schema).union(nobody)
 
 
 def usage_counts(utt: DataFrame, terms: DataFrame, id_col: str = "utt_id") -> DataFrame:
-    """(user_id, term, usage_count): in how many of the user's texts each term is used."""
-    uses = personal_matches(utt, terms, id_col).select(id_col, F.col("expression").alias("term")).distinct()
-    return uses.join(utt.select(id_col, "user_id"), id_col).groupBy("user_id", "term").agg(F.count("*").alias("usage_count"))
+    """(user_id, term, usage_count): in how many of the user's texts each term is replaced."""
+    return apply_user_terms(utt, terms, id_col).select("user_id", F.explode("used").alias("term")).groupBy("user_id", "term").agg(F.count("*").alias("usage_count"))
 
 
 def compare_systems(rows: DataFrame, systems: list[str], metric: str = "metric", value: str = "value") -> DataFrame:

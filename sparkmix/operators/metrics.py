@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
-from .corpus import at_place, running_counts
+from .ranks import values_at
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -119,15 +119,17 @@ def task_success(rows: DataFrame) -> DataFrame:
 
 
 def latency_summary(records: DataFrame, components: list[str]) -> DataFrame:
-    """(component, mean, p50, p95, max); a percentile is the value at place floor(q * (n - 1)) of the ascending values.
+    """(component, mean, p50, p95, max); a percentile is the value at place floor(q * (n - 1)) of the ascending values, by ``values_at``.
 
-    Places come from ``running_counts``, so no component's values meet in one task.
+    Null and NaN are left out, and so is a component without values.
     """
-    long = records.select(F.inline(F.array(*[F.struct(F.lit(c).alias("component"), F.col(c).cast("double").alias("v")) for c in components]))).filter("v is not null")
-    at = lambda q: at_place(F.floor(q * (F.col("n") - 1)), "v")
-    return running_counts(long, "component", "v").groupBy("component").agg(
-        F.round(F.sum(F.col("v") * F.col("k")) / F.sum("k"), 2).alias("mean"), F.round(at(0.50), 2).alias("p50"), F.round(at(0.95), 2).alias("p95"), F.round(F.max("v"), 2).alias("max")
-    )
+    value = {c: F.col(c).cast("double") for c in components}
+    value = {c: F.when(~F.isnan(v), v) for c, v in value.items()}
+    stats = [f(v).alias(f"{name}_{c}") for c, v in value.items() for name, f in (("mean", F.avg), ("max", F.max))]
+    row, at = values_at(records, components, lambda n: [int(0.50 * (n - 1)), int(0.95 * (n - 1))], *stats)
+    rows = [(c, row[f"mean_{c}"], *at[c], row[f"max_{c}"]) for c in components if at[c]]
+    out = records.sparkSession.createDataFrame(rows, "component string, mean double, p50 double, p95 double, max double")
+    return out.select("component", *[F.round(c, 2).alias(c) for c in ("mean", "p50", "p95", "max")])
 
 
 def status_summary(qc: DataFrame, status: str = "status") -> DataFrame:

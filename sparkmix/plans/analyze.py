@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as X
+from ..functions.phrases import Phrases, replace_words
 from ..operators.tokens import detect_code_mix
 
 
@@ -41,8 +42,14 @@ def rule_pack(config: dict) -> RulePack:
     )
 
 
-def map_expressions(text: Column, expressions: tuple[tuple[str, str], ...]) -> Column:
+#: Up to so many expressions are a chain of replacements in the JVM; more are looked up in a broadcast table, with the same outcome.
+CHAINED = 16
+
+
+def map_expressions(text: Column, expressions: tuple[tuple[str, str], ...], chained: int = CHAINED) -> Column:
     """Lower case, then expressions replaced in the given order (longest first)."""
+    if len(expressions) > chained:
+        return F.trim(Phrases((e, n, None) for e, n in expressions)(F.lower(text))["text"])
     rules = [(r"\b" + r"\s+".join(quote(w) for w in e.split()) + r"\b", n) for e, n in expressions]
     return F.trim(X.apply_phrases(text, rules)) if rules else F.trim(F.lower(text))
 
@@ -56,6 +63,8 @@ def apply_dictionary(text: Column, dictionary: dict[str, str], drop_fillers: boo
     words = X.split_words(text, r"\s+")
     if not dictionary:
         return F.array_join(words, " ")
+    if len(dictionary) > X.IN_PLAN:
+        return replace_words(dictionary, X.PUNCTUATION + "\"'()", drop_fillers)(text)
     table = F.create_map(*[F.lit(x) for kv in dictionary.items() for x in kv])
     put = F.transform(words, lambda w: F.coalesce(F.try_element_at(table, F.regexp_replace(F.lower(w), r"""^[.,!?;:"'()]+|[.,!?;:"'()]+$""", "")), w))
     return F.array_join(F.filter(put, lambda w: w != "") if drop_fillers else put, " ")

@@ -453,7 +453,18 @@ def join5_match_expressions(spark, sf_dir):
     return J.match_expressions(utterances(spark, sf_dir), _expressions(spark, sf_dir))
 
 
-@query()
+_BEST = "token_count DESC, expression, start"
+
+
+@query(
+    f"""WITH RECURSIVE {U_SQL}, {_EXPR}, {_GRAMS},
+rest AS (
+  SELECT *, row_number() OVER (PARTITION BY utt_id ORDER BY {_BEST}) AS k FROM (SELECT utt_id, expression, normalized, category, token_count, start, "end" FROM gm JOIN ex ON gram = expression)
+  UNION ALL
+  SELECT utt_id, expression, normalized, category, token_count, start, "end", row_number() OVER (PARTITION BY utt_id ORDER BY {_BEST})
+  FROM (SELECT *, first_value(start) OVER w AS s, first_value("end") OVER w AS e FROM rest WINDOW w AS (PARTITION BY utt_id ORDER BY k)) WHERE k > 1 AND (start >= e OR s >= "end"))
+SELECT utt_id, expression, normalized, category, token_count, start, "end" FROM rest WHERE k = 1"""
+)
 def win8_longest_match(spark, sf_dir):
     return J.longest_match(J.match_expressions(utterances(spark, sf_dir), _expressions(spark, sf_dir)))
 
@@ -490,15 +501,27 @@ def _terms(spark, sf_dir) -> DataFrame:
     return users.select("user_id", F.inline(pairs_)).filter("(user_id + k) % 3 <> 0").drop("k")
 
 
-_TERMS_SQL = f"us AS (SELECT DISTINCT user_id % 7 AS user_id FROM events), tm AS (SELECT user_id, term, normalized FROM us, (SELECT unnest({_list(_TERMS)}) AS term, unnest({_list(_TERMS.values())}) AS normalized, unnest(range({len(_TERMS)})) AS k) WHERE (user_id + k) % 3 <> 0)"
+def _personal_steps() -> str:
+    """CTEs p0 to pN: one term replaced after the other where the user has it. A mark behind each character that is in no word stands for the boundary there."""
+    order = sorted(enumerate(_TERMS), key=lambda kt: (-len(kt[1].split()) if " " in kt[1] else 0, -len(kt[1]), kt[1]))
+    steps = ["p0 AS (SELECT utt_id, user_id, regexp_replace(text, '([^\\pL\\pN_])', '\\1' || chr(1), 'g') AS m FROM u)"]
+    for i, (k, term) in enumerate(order):
+        pattern = "(^|\\x01)" + term.replace(" ", "(?:\\s\\x01)+") + "($|[^\\pL\\pN_])"
+        has = f"(user_id + {k}) % 3 <> 0"
+        put = f"CASE WHEN {has} THEN regexp_replace(m, '{pattern}', '\\1{_TERMS[term]}\\2', 'gi') ELSE m END"
+        steps.append(f"p{i + 1} AS (SELECT * EXCLUDE (m), {put} AS m, {has} AND regexp_matches(m, '{pattern}', 'i') AS u{k} FROM p{i})")
+    return ", ".join(steps)
 
 
-@query()
+_PERSONAL = f"{U_SQL}, {_personal_steps()}"
+
+
+@query(f"WITH {_PERSONAL} SELECT utt_id, replace(m, chr(1), '') AS personal_text FROM p{len(_TERMS)}")
 def join9_apply_user_terms(spark, sf_dir):
-    return J.apply_user_terms(utterances(spark, sf_dir), _terms(spark, sf_dir))
+    return J.apply_user_terms(utterances(spark, sf_dir), _terms(spark, sf_dir)).select("utt_id", "personal_text")
 
 
-@query(f"WITH {U_SQL}, {_TERMS_SQL}, {_GRAMS} SELECT user_id, term, count(DISTINCT utt_id) AS usage_count FROM gm JOIN tm USING (user_id) WHERE gram = term GROUP BY user_id, term")
+@query(f"WITH {_PERSONAL} " + " UNION ALL ".join(f"SELECT user_id, {quoted(t)} AS term, count(*) AS usage_count FROM p{len(_TERMS)} WHERE u{k} GROUP BY user_id" for k, t in enumerate(_TERMS)))
 def agg23_usage_counts(spark, sf_dir):
     return J.usage_counts(utterances(spark, sf_dir), _terms(spark, sf_dir))
 

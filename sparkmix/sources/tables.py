@@ -2,45 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.corpus import decode_labels
+from ..session import exists, remove, shared_folder
 
 AUDIO_COLUMNS = ("audio",)
 MEDIA_GLOB = "*.{wav,flac,mp3,m4a,ogg,opus}"
 
 
-def _place(spark: SparkSession, path: str):
-    """A path and its file system, as Spark sees them."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    where, files = _place(spark, path)
-    return files.exists(where)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    where, files = _place(spark, path)
-    files.delete(where, True)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """Path of a new folder under ``spark.checkpoint.dir``; a temporary one only where that is unset and the master is local."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-    return f"{root.rstrip('/')}/work-{uuid.uuid4().hex}"
-
-
 def read_shards(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """The named columns of parquet shards; nothing else is read."""
     return spark.read.parquet(path).select(*columns)

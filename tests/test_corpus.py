@@ -159,7 +159,7 @@ def test_dialect_joins(spark):
 def test_personal(spark):
     utt = spark.createDataFrame([(1, 7, "Please call the boss now"), (2, 8, "call the boss")], "utt_id long, user_id int, text string")
     terms = spark.createDataFrame([(7, "the boss", "Mr A"), (7, "boss", "B"), (7, "call", "ring")], "user_id int, term string, normalized string")
-    assert {r.utt_id: r.personal_text for r in J.apply_user_terms(utt, terms).collect()} == {1: "please ring Mr A now", 2: "call the boss"}
+    assert {r.utt_id: r.personal_text for r in J.apply_user_terms(utt, terms).collect()} == {1: "Please ring Mr A now", 2: "call the boss"}
     assert {(r.term, r.usage_count) for r in J.usage_counts(utt, terms).collect()} == {("the boss", 1), ("call", 1)}
     base = spark.createDataFrame([(1, "a", "x", "c"), (1, "b", "y", "c")], "user_id int, term string, normalized string, category string")
     changes = spark.createDataFrame([(1, " A ", "z", "d", "put", 1), (1, "b", None, None, "remove", 2), (1, "c", "my password", "d", "put", 3)], "user_id int, term string, normalized string, category string, op string, seq int")
@@ -173,6 +173,28 @@ def test_personal(spark):
     assert new.first().preferred_language == "Tanglish" and left.count() == 0
 
 
+def test_personal_terms_change_nothing_else(spark):
+    rows = [(1, 7, "Hello, World! Kudu  now."), (2, 7, "kudu"), (3, 7, ""), (4, 7, None), (5, None, "kudu"), (6, 9, "Kudu?"), (7, 7, "a  b, A B; ab a-b")]
+    utt = spark.createDataFrame([(str(i), u, t, "x") for i, u, t in rows], "utt_id string, user_id int, text string, share string")
+    terms = spark.createDataFrame([(7, " kudu ", "give"), (7, "give  now", "hand it"), (7, "a b", "c"), (7, "ab", "b"), (7, "b", None), (7, None, "x"), (None, "kudu", "y")], "user_id int, term string, normalized string")
+    want = {"1": "Hello, World! give  now.", "2": "give", "3": "", "4": None, "5": "kudu", "6": "Kudu?", "7": "c, c;  a-"}
+    for share in (100, 1):
+        got = {r.utt_id: (r.personal_text, r.used) for r in J.apply_user_terms(utt, terms, share_rows=share).collect()}
+        assert {i: t for i, (t, _) in got.items()} == want
+        assert got["1"][1] == ["kudu"] and got["7"][1] == ["a b", "ab", "b"] and got["6"][1] == []
+
+
+def test_free_places_against_all_pairs():
+    rnd = random.Random(5)
+    for _ in range(300):
+        spans = [(s, s + rnd.randint(1, 6)) for s in (rnd.randint(0, 40) for _ in range(rnd.randint(0, 30)))]
+        kept = []
+        for i, (s, e) in enumerate(spans):
+            if not any(s < spans[k][1] and spans[k][0] < e for k in kept):
+                kept.append(i)
+        assert J.free_places([s for s, _ in spans], [e for _, e in spans]) == kept
+
+
 def test_task_success(spark):
     rows = spark.createDataFrame([("set_alarm", "set_reminder", {"date": "today"}, "Set for TODAY"), ("call", "OPEN_APP", {}, "ok"), ("call", "call", {}, "okay dei"), ("call", "call", {"a": "x"}, "none")], "pred_intent string, ref_intent string, entities map<string,string>, response string")
     assert [(r.intent_ok, r.entity_ok, r.slang_found) for r in M.task_checks(rows).collect()] == [(True, True, True), (False, True, False), (True, True, True), (True, False, False)]
