@@ -10,13 +10,17 @@ from pyspark.sql import Window as W
 
 from ..functions import lexicon as L
 from ..functions import text as X
-from .joins import small
+from ..session import written
 from .ranks import values_at
 
 #: Turns of speakers that are put in order at once.
 TURNS = 1000
-#: Parts of a speaker's rows that are cut by themselves before the rest meet.
-PARTS = 16
+#: Largest number of rows of a group that Spark cuts in each task (spark.sql.optimizer.windowGroupLimitThreshold), and the parts that are cut by themselves beyond it.
+CUT_BY_SPARK, PARTS = 1000, 64
+#: Rows that are sorted in one task.
+SORTED_ROWS = 100_000
+#: Strata whose sizes an expression holds.
+FEW_STRATA = 100
 
 
 def decode_labels(df: DataFrame, maps: dict[str, dict[int, str]] = L.LABEL_MAPS) -> DataFrame:
@@ -96,19 +100,58 @@ def hash_order(seed: int, *cols: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
 
 
-def place_in_order(df: DataFrame, group: list[str], bucket: Column, order: list, name: str, total: str | None = None) -> DataFrame:
+def place_in_order(df: DataFrame, group: list[Column], bucket: Column, order: list[Column], name: str, total: str | None = None) -> DataFrame:
     """Adds ``name``: the row's place, from 1, by (bucket, order) in its group, and ``total``, the group's size.
 
-    Buckets are counted first, and each is sorted by itself, so neither a group nor the table meets in one task.
-    Rows with a null in ``group`` are left out.
+    The keyed rows are written once; their buckets are counted, and each is sorted by itself, so neither a group nor the table meets
+    in one task. Rows with a null in ``group`` are left out. Columns of the caller with the new names are replaced.
     """
-    keyed = df.withColumn("_bucket", bucket)
-    counts = keyed.groupBy(*group, "_bucket").agg(F.count("*").alias("_k"))
-    whole = W.partitionBy(*group)
-    offsets = counts.select(*group, "_bucket", (F.sum("_k").over(whole.orderBy("_bucket")) - F.col("_k")).alias("_before"), F.sum("_k").over(whole).alias("_total"))
-    place = F.col("_before") + F.row_number().over(W.partitionBy(*group, "_bucket").orderBy(*order))
-    out = keyed.join(offsets, [*group, "_bucket"]).withColumn(name, place)
-    return out.select(*df.columns, name, *([F.col("_total").alias(total)] if total else []))
+    keys, marks = [f"g{i}" for i in range(len(group))], [f"o{i}" for i in range(len(order))]
+    columns = [*zip(group, keys, strict=True), (bucket, "bucket"), *zip(order, marks, strict=True)]
+    keyed = written(df.select(F.struct(*df.columns).alias("row"), *[c.alias(n) for c, n in columns]))
+    counts = keyed.groupBy(*keys, "bucket").agg(F.count("*").alias("k"))
+    whole = W.partitionBy(*keys)
+    offsets = counts.select(*keys, "bucket", (F.sum("k").over(whole.orderBy("bucket")) - F.col("k")).alias("before"), F.sum("k").over(whole).alias("total"))
+    place = F.col("before") + F.row_number().over(W.partitionBy(*keys, "bucket").orderBy(*marks))
+    out = keyed.join(offsets, [*keys, "bucket"]).withColumn("place", place)
+    return out.select(*[F.col("row")[c].alias(c) for c in df.columns if c not in (name, total)], F.col("place").alias(name), *([F.col("total").alias(total)] if total else []))
+
+
+def _first_rows(rows: DataFrame, group: list[str], order: list[str], most: int, name: str, part: str) -> DataFrame:
+    """The first ``most`` rows of each group with their place. Of a number of up to a thousand Spark cuts each task's rows before
+    the shuffle; for a larger one each of many parts of a group, by ``part``, is cut before the rest meet."""
+    at = lambda *keys: F.row_number().over(W.partitionBy(*group, *keys).orderBy(*order))
+    if most > CUT_BY_SPARK:
+        rows = rows.withColumn("part", F.pmod(F.xxhash64(part), F.lit(PARTS))).withColumn(name, at("part")).filter(F.col(name) <= most).drop("part", name)
+    return rows.withColumn(name, at()).filter(F.col(name) <= most)
+
+
+def hash_cuts(df: DataFrame, mark: Column, tie: Column, shares: list[float]) -> list[tuple[str, object] | None]:
+    """For each share of the rows, rounded half to even and summed up, the last (mark, tie) of that many rows in their order; none for no rows.
+
+    Marks are hashes in hex. Rows are counted by their leading digits, and only the group that holds the place is looked at further.
+    """
+    counts = sorted((r.head, r.k) for r in df.groupBy(F.substring(mark, 1, 3).alias("head")).agg(F.count("*").alias("k")).collect())
+    n = sum(k for _, k in counts)
+    cuts, upto = [], 0
+    for share in shares:
+        upto += int(round(n * share))
+        heads, before, digits = counts, 0, 3
+        at = None
+        while upto:
+            for head, k in heads:
+                if before + k >= min(upto, n):
+                    break
+                before += k
+            inside = df.filter(mark.startswith(head))
+            if k <= SORTED_ROWS or digits >= 32:
+                last = inside.select(mark.alias("mark"), tie.alias("tie")).orderBy("mark", "tie").limit(min(upto, n) - before).agg(F.max(F.struct("mark", "tie")).alias("last")).first().last
+                at = (last.mark, last.tie)
+                break
+            digits += 3
+            heads = sorted((r.head, r.k) for r in inside.groupBy(F.substring(mark, 1, digits).alias("head")).agg(F.count("*").alias("k")).collect())
+        cuts.append(at)
+    return cuts
 
 
 def hex_bucket(mark: str) -> Column:
@@ -135,26 +178,36 @@ def allocate_quota(cells: DataFrame, n: int, key: str = "cell", size: str = "siz
     return out.withColumn("quota", (F.col("quota") + more).cast("long")).select(*cells.columns, "quota")
 
 
-def round_robin_pick(df: DataFrame, quotas: DataFrame, cell: str, speaker: str, id_col: str, seed: int = 42) -> DataFrame:
+def _round_robin(keyed: DataFrame, quotas: DataFrame, most: int) -> DataFrame:
+    """Rows (row, cell, who, mark) that are picked: their turn with the speaker, then their place in the cell, are within the quota."""
+    own = _first_rows(keyed, ["cell", "who"], ["mark"], most, "turn", "mark")
+    placed = _first_rows(own, ["cell"], ["turn", "who"], most, "place", "who")
+    return placed.join(quotas, "cell").filter("place <= quota")
+
+
+def round_robin_pick(df: DataFrame, quotas: DataFrame, cell: str, speaker: str, id_col: str, seed: int = 42, most: int | None = None) -> DataFrame:
     """In each cell one row per speaker and round, speakers in order, up to the cell's quota.
 
-    A speaker's rows beyond the quota can never be picked. They are cut in each of 16 parts of the
-    speaker's rows and then over all parts, so a hot speaker does not meet in one task; rounds are
-    counted, so a cell does not either.
+    ``most`` is the largest quota, looked up where it is not given. Neither a hot speaker nor a cell of very many speakers meets in one
+    task: rows beyond ``most`` are cut before they do.
     """
-    by_hash = lambda *keys: F.row_number().over(W.partitionBy(cell, speaker, *keys).orderBy("mark"))
-    own = df.join(small(quotas.select(cell, "quota")), cell).withColumn("mark", hash_order(seed, id_col)).withColumn("part", F.pmod(F.xxhash64("mark"), F.lit(PARTS)))
-    own = own.withColumn("round", by_hash("part")).filter("round <= quota").withColumn("round", by_hash()).filter("round <= quota")
-    return place_in_order(own, [cell], F.col("round"), [speaker], "place").filter("place <= quota").select(*df.columns)
+    most = quotas.agg(F.max("quota")).first()[0] or 0 if most is None else most
+    keyed = df.select(F.struct(*df.columns).alias("row"), F.col(cell).alias("cell"), F.col(speaker).alias("who"), hash_order(seed, id_col).alias("mark"))
+    return _round_robin(keyed, quotas.select(F.col(cell).alias("cell"), "quota"), most).select(*[F.col("row")[c].alias(c) for c in df.columns])
 
 
 def stratified_sample(df: DataFrame, strata: list[str], n: int, speaker: str, id_col: str, seed: int = 42) -> DataFrame:
-    """Quota sample over strata with ``stratum_key`` and a shuffled ``selection_rank``."""
-    keyed = df.withColumn("stratum_key", X.stratum_key(*strata))
-    cells = keyed.groupBy("stratum_key").agg(F.count("*").alias("size"))
-    picked = round_robin_pick(keyed, allocate_quota(cells, n, "stratum_key"), "stratum_key", speaker, id_col, seed)
-    ranked = place_in_order(picked.withColumn("mark", hash_order(seed, id_col)), [], hex_bucket("mark"), ["mark", id_col], "selection_rank")
-    return ranked.withColumn("selection_rank", F.col("selection_rank").cast("int")).drop("mark")
+    """Quota sample over strata with ``stratum_key`` and a shuffled ``selection_rank``; all other columns as they were. Two scans: sizes, and the pick."""
+    cell = X.stratum_key(*strata)
+    cells = df.select(cell.alias("cell")).groupBy("cell").agg(F.count("*").alias("size"))
+    keyed = df.select(F.struct(*df.columns).alias("row"), cell.alias("cell"), F.col(speaker).alias("who"), hash_order(seed, id_col).alias("mark"), F.col(id_col).alias("tie"))
+    picked = _round_robin(keyed, allocate_quota(cells, n).select("cell", "quota"), n).select("row", "cell", "mark", "tie")
+    if n > SORTED_ROWS:
+        ranked = place_in_order(picked, [], hex_bucket("mark"), [F.col("mark"), F.col("tie")], "rank")
+    else:
+        ranked = picked.withColumn("rank", F.row_number().over(W.orderBy("mark", "tie")))  # at most n rows
+    kept = [F.col("row")[c].alias(c) for c in df.columns if c not in ("stratum_key", "selection_rank")]
+    return ranked.select(*kept, F.col("cell").alias("stratum_key"), F.col("rank").cast("int").alias("selection_rank"))
 
 
 def speaker_profile(df: DataFrame, speaker: str, cols: list[str]) -> DataFrame:
@@ -163,14 +216,22 @@ def speaker_profile(df: DataFrame, speaker: str, cols: list[str]) -> DataFrame:
 
 
 def _interleaved(profile: DataFrame, speaker: str, strata: list[str], seed: int) -> DataFrame:
-    keyed = profile.withColumns({"stratum": X.stratum_key(*strata), "mark": hash_order(seed, speaker)})
-    turns = place_in_order(keyed, ["stratum"], hex_bucket("mark"), ["mark"], "turn")
-    return place_in_order(turns, [], F.floor(F.col("turn") / TURNS), ["turn", "stratum"], "position", "total").drop("mark", "turn")
+    """(row, stratum, position, total): of few strata the position follows from the turn and the sizes of all."""
+    keyed = profile.select(F.struct(*profile.columns).alias("row"), X.stratum_key(*strata).alias("stratum"), hash_order(seed, speaker).alias("mark"))
+    turns = place_in_order(keyed, [F.col("stratum")], hex_bucket("mark"), [F.col("mark")], "turn", "size").drop("mark")
+    sizes = turns.groupBy("stratum").agg(F.max("size").alias("size")).limit(FEW_STRATA + 1).collect()
+    if not sizes or len(sizes) > FEW_STRATA:
+        return place_in_order(turns, [], F.floor(F.col("turn") / TURNS), [F.col("turn"), F.col("stratum")], "position", "total")
+    all_sizes = F.array(*[F.struct(F.lit(r.stratum).alias("stratum"), F.lit(r["size"]).alias("size")) for r in sizes])
+    upto = lambda s: F.least(s["size"], F.col("turn") - 1) + ((s["stratum"] <= F.col("stratum")) & (s["size"] >= F.col("turn"))).cast("long")
+    position = F.aggregate(all_sizes, F.lit(0).cast("long"), lambda n, s: n + upto(s))
+    return turns.select("row", "stratum", position.alias("position"), F.lit(sum(r["size"] for r in sizes)).alias("total"))
 
 
 def interleave_speakers(profile: DataFrame, speaker: str, strata: list[str], seed: int = 42) -> DataFrame:
-    """Adds ``position``: strata take turns, speakers shuffled inside a stratum. One row per speaker."""
-    return _interleaved(profile, speaker, strata, seed).withColumn("position", F.col("position").cast("int")).drop("total")
+    """Adds ``stratum`` and ``position``: strata take turns, speakers shuffled inside a stratum. One row per speaker."""
+    kept = [F.col("row")[c].alias(c) for c in profile.columns if c not in ("stratum", "position")]
+    return _interleaved(profile, speaker, strata, seed).select(*kept, "stratum", F.col("position").cast("int").alias("position"))
 
 
 def _cut(position: Column, total: Column, train: float, val: float) -> Column:
@@ -181,13 +242,19 @@ def _cut(position: Column, total: Column, train: float, val: float) -> Column:
 def split_speakers(df: DataFrame, speaker: str, strata: list[str], train: float = 0.8, val: float = 0.1, seed: int = 42) -> DataFrame:
     """(speaker, split): the interleaved list of speakers, cut into consecutive parts."""
     placed = _interleaved(speaker_profile(df, speaker, strata), speaker, strata, seed)
-    return placed.select(speaker, _cut(F.col("position"), F.col("total"), train, val).alias("split"))
+    return placed.select(F.col("row")[speaker].alias(speaker), _cut(F.col("position"), F.col("total"), train, val).alias("split"))
 
 
 def random_split(df: DataFrame, id_col: str, train: float = 0.8, val: float = 0.1, seed: int = 42) -> DataFrame:
-    """Adds ``split`` by the order of a hash; sizes are those of rounding. Ranks come from per-bucket counts, not from one task."""
-    ranked = place_in_order(df.withColumn("_mark", hash_order(seed, id_col)), [], hex_bucket("_mark"), ["_mark", id_col], "_rank", "_total")
-    return ranked.select(*df.columns, _cut(F.col("_rank"), F.col("_total"), train, val).alias("split"))
+    """Adds ``split`` by the order of a hash of the id; sizes are those of rounding, and rows that share an id stay together.
+
+    The rows are counted by their hash first, which gives the hashes at both cuts; then each row compares with these and none moves.
+    """
+    mark, own = hash_order(seed, id_col), F.col(id_col)
+    place = F.struct(mark.alias("mark"), own.alias("tie"))
+    kind = df.schema[id_col].dataType
+    upto = [F.lit(False) if c is None else place <= F.struct(F.lit(c[0]).alias("mark"), F.lit(c[1]).cast(kind).alias("tie")) for c in hash_cuts(df, mark, own, [train, val])]
+    return df.withColumn("split", F.when(upto[0], "train").when(upto[1], "val").otherwise("test"))
 
 
 def assign_split(df: DataFrame, splits: DataFrame, speaker: str) -> DataFrame:

@@ -295,7 +295,7 @@ pk AS (SELECT k2.*, quota FROM k2 JOIN q USING (cell) WHERE r2 <= quota)"""
 @query(f"WITH {M_SQL}, {_DEDUP}, {_CELLS}, {_QUOTA}, {_PICK} SELECT cell, speaker_id, row_within_shard FROM pk")
 def win3_round_robin_pick(spark, sf_dir):
     keyed, cells = _cells(spark, sf_dir)
-    return C.round_robin_pick(keyed, C.allocate_quota(cells, 500), "cell", "speaker_id", "row_within_shard").select("cell", "speaker_id", "row_within_shard")
+    return C.round_robin_pick(keyed, C.allocate_quota(cells, 500), "cell", "speaker_id", "row_within_shard", most=500).select("cell", "speaker_id", "row_within_shard")
 
 
 @query(
