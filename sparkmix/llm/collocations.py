@@ -309,7 +309,9 @@ def _frequent(found: DataFrame, totals: DataFrame, support: int, scratch: Scratc
     slack = shares.groupBy("lang").agg(F.sum(F.col("share") - 1).alias("slack"))
     local = sums.filter("hash is not null").join(F.broadcast(shares), ["lang", "shard"]).filter("k >= share")
     union = local.groupBy("lang", "hash").agg(F.sum(F.col("k") - F.col("share") + 1).alias("k"))
-    return scratch.save(union.join(F.broadcast(slack), "lang").filter(F.col("k") + F.col("slack") >= support).select("hash"), name)
+    out = scratch.save(union.join(F.broadcast(slack), "lang").filter(F.col("k") + F.col("slack") >= support).select("hash"), name)
+    scratch.drop(sums)
+    return out
 
 
 def _counts(texts: DataFrame, singles: Members, phrases: Members, longest: int, held: int = 1 << 18) -> DataFrame:
