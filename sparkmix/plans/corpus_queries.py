@@ -16,7 +16,7 @@ from ..operators import personal as P
 from ..operators import waveform as V
 from ..sources import lexicons as LX
 from ..sources import tables as S
-from ..streaming import jobs
+from ..streaming import jobs, personal_state
 from . import analyze as A
 from .fixtures import as_utterances
 from .fixtures import C_SQL, CLASSES, L_SQL, M_SQL, U_SQL, _list, clips, labelled, manifest, pairs, quoted, sql_map, table, utterances
@@ -732,6 +732,31 @@ def per1_upsert_terms(spark, sf_dir):
     return P.upsert_terms(base, changes)
 
 
+_CHANGE = [
+    "user_id",
+    "event_id AS seq",
+    "CASE WHEN event_id % 101 = 0 THEN 'reset' WHEN event_id % 5 = 0 THEN 'remove' WHEN event_id % 3 = 0 THEN 'use' ELSE 'put' END AS op",
+    "concat(' ', upper(event_type)) AS term",
+    "CASE WHEN event_id % 7 = 0 THEN 'secret' ELSE props END AS normalized",
+    "'new' AS category",
+]
+
+
+@query(
+    f"""WITH c AS (SELECT {', '.join(_CHANGE)} FROM events), r AS (SELECT user_id, max(seq) AS cleared FROM c WHERE op = 'reset' GROUP BY user_id),
+l AS (SELECT c.* EXCLUDE (term), trim(lower(term)) AS term FROM c LEFT JOIN r USING (user_id) WHERE op <> 'reset' AND NOT (op = 'put' AND normalized = 'secret') AND seq > coalesce(cleared, -1)),
+k AS (SELECT * FROM l WHERE op <> 'use' QUALIFY row_number() OVER (PARTITION BY user_id, term ORDER BY seq DESC) = 1)
+SELECT k.user_id, k.term, any_value(k.normalized) AS normalized, 'NEW' AS category, count(u.seq) AS usage_count
+FROM k LEFT JOIN l u ON u.op = 'use' AND u.user_id = k.user_id AND u.term = k.term AND u.seq > k.seq WHERE k.op = 'put' GROUP BY k.user_id, k.term"""
+)
+def per1_3_personal_state(spark, sf_dir):
+    """Puts, removals, resets and uses as a stream into the state of each user, then read from that state."""
+    folder = S.shared_folder(spark)
+    changes = _arriving(spark, sf_dir, "events").selectExpr(*_CHANGE)
+    personal_state.follow_terms(changes, f"{folder}/changes", f"{folder}/checkpoint")
+    return personal_state.current_terms(spark, f"{folder}/checkpoint")
+
+
 _PROF = "SELECT DISTINCT user_id, 'Tamil' AS preferred_language, CASE WHEN user_id % 4 = 0 THEN 'Kongu' END AS preferred_dialect, 'formal' AS response_style FROM events WHERE user_id % 2 = 0"
 
 
