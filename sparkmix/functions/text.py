@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import edits, phrases
 from . import lexicon as L
-from . import phrases
 
 
 #: Entries of a word table that an expression holds by itself; a larger one is broadcast.
@@ -348,15 +348,14 @@ def normalize_transcript(text: Column) -> Column:
     return squash_spaces(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_\s\u0B80-\u0BFF]", " "))
 
 
+def word_errors(ref: Column, hyp: Column) -> Column:
+    """struct(distance, substitutions, deletions, insertions) of two transcripts, by words."""
+    return edits.word_errors()(*(split_words(normalize_transcript(x), " ") for x in (ref, hyp)))
+
+
 def wer_words(ref: Column, hyp: Column) -> Column:
-    """Word edit distance over reference words; each distinct word of the pair becomes one character for ``levenshtein``."""
-    def code(ws: Column, table: Column) -> Column:
-        place = lambda w: F.array_position(table, w) + 0x4DFF
-        letter = lambda n: F.decode(F.unhex(F.lpad(F.hex(n + F.when(n >= 0xD800, 0x800).otherwise(0)), 8, "0")), "UTF-32")  # noqa: E731  past the surrogates
-        return F.array_join(F.transform(ws, lambda w: bind(place(w), letter)), "")
-
-    distance = bind(F.array_distinct(F.concat(ref, hyp)), lambda table: F.levenshtein(code(ref, table), code(hyp, table)))
-    return F.when(F.size(ref) == 0, F.when(F.size(hyp) == 0, 0.0).otherwise(1.0)).otherwise(distance / F.size(ref))
+    """Word edit distance over reference words; without reference words 1 if there are others, else 0."""
+    return F.when(F.size(ref) == 0, F.when(F.size(hyp) == 0, 0.0).otherwise(1.0)).otherwise(edits.word_errors()(ref, hyp)["distance"] / F.size(ref))
 
 
 def wer(ref: Column, hyp: Column) -> Column:

@@ -66,6 +66,14 @@ def error_rates(pairs: DataFrame, ref: str = "reference", hyp: str = "prediction
     return pairs.agg(F.round(F.avg(X.wer(F.col(ref), F.col(hyp))), 4).alias("wer"), F.round(F.avg(X.cer(F.col(ref), F.col(hyp))), 4).alias("cer"), F.count("*").alias("n"))
 
 
+def word_error_counts(pairs: DataFrame, ref: str = "reference", hyp: str = "prediction") -> DataFrame:
+    """(words, errors, substitutions, deletions, insertions, wer) of all rows together; ``wer`` weighs rows by their words."""
+    words = F.size(X.split_words(X.normalize_transcript(F.col(ref)), " "))
+    kinds = ("substitutions", "deletions", "insertions")
+    one = pairs.select(words.alias("words"), X.word_errors(F.col(ref), F.col(hyp)).alias("e")).agg(F.sum("words").alias("words"), F.sum("e.distance").alias("errors"), *[F.sum(f"e.{k}").alias(k) for k in kinds])
+    return one.withColumn("wer", F.round(ratio(F.col("errors"), F.col("words")), 4))
+
+
 def normalisation_quality(pairs: DataFrame, ref: str = "reference", hyp: str = "prediction") -> DataFrame:
     a, b = F.col(ref), F.col(hyp)
     mean = lambda c: F.round(F.avg(c.cast("double")), 4)
