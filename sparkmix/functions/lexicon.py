@@ -84,7 +84,10 @@ PHRASES = [
 ]
 
 GLOSSES = {
-    **dict.fromkeys("dei da la pa ppa machi bruh ayya thala nu anna ku kku vendum yov ille vaada scene ah inga anga nga".split(), ""),
+    **dict.fromkeys([
+    "dei", "da", "la", "pa", "ppa", "machi", "bruh", "ayya", "thala", "nu", "anna", "ku", "kku", "vendum", "yov", "ille", "vaada", "scene", "ah",
+    "inga", "anga", "nga",
+], ""),
     "oru": "a", "onnu": "a", "ondru": "a", "konjam": "a little", "romba": "very", "bayangara": "very",
     "sikkiram": "quickly", "semma": "great", "nalla": "good",
     "naalaikku": "tomorrow", "nalaiku": "tomorrow", "naalaiku": "tomorrow", "inniku": "today", "innaiku": "today",
@@ -145,15 +148,24 @@ SCORE_MARKERS = FIRST_MARKERS | {"Nellai": ["pa", "ppa", "ille", "phone pottu ku
 # Anchors -----------------------------------------------------------------
 
 ANCHOR_BREAK = "[\\s.,!?;:\"'()]+"
-TIME_WORDS = "tomorrow today tonight now morning evening night afternoon midnight naalaikku nalaiku inniku innaiku ipo ippo raathiri kaalaila".split()
+TIME_WORDS = [
+    "tomorrow", "today", "tonight", "now", "morning", "evening", "night", "afternoon", "midnight", "naalaikku", "nalaiku", "inniku", "innaiku", "ipo",
+    "ippo", "raathiri", "kaalaila",
+]
 TIME_ENGLISH = {
     "naalaikku": "tomorrow", "nalaiku": "tomorrow", "naalaiku": "tomorrow", "inniku": "today", "innaiku": "today",
     "ipo": "now", "ippo": "now", "raathiri": "tonight", "kaalaila": "in the morning",
 }
-NEGATIONS = "illai illya illa matteen matten no not never don't dont won't wont cannot can't didn't mateen".split()
-APPS = "whatsapp camera youtube instagram gallery spotify maps gmail telegram netflix".split()
-PLACES = "chennai coimbatore bangalore madurai office home college school hospital airport tirunelveli salem erode".split()
-DEVICES = "volume brightness wifi bluetooth torch flashlight hotspot data".split()
+NEGATIONS = [
+    "illai", "illya", "illa", "matteen", "matten", "no", "not", "never", "don't", "dont", "won't", "wont", "cannot", "can't", "didn't", "mateen",
+]
+APPS = [
+    "whatsapp", "camera", "youtube", "instagram", "gallery", "spotify", "maps", "gmail", "telegram", "netflix",
+]
+PLACES = [
+    "chennai", "coimbatore", "bangalore", "madurai", "office", "home", "college", "school", "hospital", "airport", "tirunelveli", "salem", "erode",
+]
+DEVICES = ["volume", "brightness", "wifi", "bluetooth", "torch", "flashlight", "hotspot", "data"]
 PEOPLE = {
     "amma": "mother", "appa": "father", "thambi": "brother", "akka": "sister", "anna": "brother", "friend": "friend",
     "sister": "sister", "brother": "brother", "wife": "wife", "husband": "husband", "mother": "mother", "father": "father",
@@ -162,7 +174,7 @@ TAMIL_NUMBERS = {
     "onnu": "1", "rendu": "2", "moonu": "3", "naalu": "4", "anju": "5", "aaru": "6", "ezhu": "7", "ettu": "8",
     "ombodu": "9", "pathu": "10", "pathinardu": "14", "irupathu": "20", "muppadu": "30",
 }
-TASKS = "assignment medicine meeting bill electricity".split()
+TASKS = ["assignment", "medicine", "meeting", "bill", "electricity"]
 CLOCK = r"(?i)\b\d{1,2}:\d{2}(?:\s*(?:am|pm))?\b|\b\d{1,2}\s*(?:am|pm)\b"
 
 # Intents -----------------------------------------------------------------
@@ -209,11 +221,14 @@ LABEL_MAPS = {
 }
 
 DISTRICTS = {
-    "Chennai": "Chennai Tiruvallur Kanchipuram Chengalpattu Ranipet Vellore".split(),
-    "Madurai": "Madurai Virudhunagar Sivaganga Theni Dindigul Ramanathapuram".split(),
-    "Kongu": "Coimbatore Erode Tiruppur Salem Namakkal Dharmapuri Krishnagiri".split(),
-    "Nellai": "Tirunelveli Thoothukudi Tenkasi Kanyakumari".split(),
-    "Standard": "Thanjavur Tiruchirappalli Pudukkottai Nagapattinam Tiruvarur Cuddalore Villupuram Kallakurichi Perambalur Ariyalur Karur Tirupattur Nilgiris".split(),
+    "Chennai": ["Chennai", "Tiruvallur", "Kanchipuram", "Chengalpattu", "Ranipet", "Vellore"],
+    "Madurai": ["Madurai", "Virudhunagar", "Sivaganga", "Theni", "Dindigul", "Ramanathapuram"],
+    "Kongu": ["Coimbatore", "Erode", "Tiruppur", "Salem", "Namakkal", "Dharmapuri", "Krishnagiri"],
+    "Nellai": ["Tirunelveli", "Thoothukudi", "Tenkasi", "Kanyakumari"],
+    "Standard": [
+    "Thanjavur", "Tiruchirappalli", "Pudukkottai", "Nagapattinam", "Tiruvarur", "Cuddalore", "Villupuram", "Kallakurichi", "Perambalur", "Ariyalur",
+    "Karur", "Tirupattur", "Nilgiris",
+],
 }
 DISTRICT_LIST = [d for ds in DISTRICTS.values() for d in ds]
 
@@ -275,18 +290,22 @@ STUDIO = {
         "unknown": {"say": "{Title}.", "parts": {"Title": (["all"], "{x}", "")}},
     },
     "words": {
-        **dict.fromkeys("dei da la pa ppa machi bruh ayya thala nu anna ku kku vendum".split(), ""),
+        **dict.fromkeys([
+    "dei", "da", "la", "pa", "ppa", "machi", "bruh", "ayya", "thala", "nu", "anna", "ku", "kku", "vendum",
+], ""),
         "oru": "a", "konjam": "some", "sikkiram": "quickly", "semma": "good", "nalla": "good",
         "nalaiku": "tomorrow", "naalaikku": "tomorrow", "naalaiku": "tomorrow", "inniku": "today", "innaiku": "today",
         "ipo": "now", "ippo": "now", "raathiri": "tonight", "amma": "mother", "appa": "father", "thambi": "my brother", "akka": "my sister",
         "paatu": "song", "padal": "song", "song": "song", "podu": "play", "vanakkam": "hello", "sollu": "tell me", "sollunga": "tell me",
         "evlo": "how much", "enna": "what", "naan": "I", "ava": "AVA", "ondru": "a", "onnu": "a", "please": "please",
     },
-    "local_verbs": "pannu pannunga panna vai kudu anuppu iruku varuma maniku ku kku".split(),
-    "time_words": "tomorrow today tonight now morning evening night".split(),
-    "apps": "whatsapp camera youtube instagram gallery spotify maps gmail".split(),
-    "places": "chennai coimbatore bangalore madurai office home college".split(),
-    "devices": "volume brightness wifi bluetooth torch flashlight".split(),
+    "local_verbs": [
+    "pannu", "pannunga", "panna", "vai", "kudu", "anuppu", "iruku", "varuma", "maniku", "ku", "kku",
+],
+    "time_words": ["tomorrow", "today", "tonight", "now", "morning", "evening", "night"],
+    "apps": ["whatsapp", "camera", "youtube", "instagram", "gallery", "spotify", "maps", "gmail"],
+    "places": ["chennai", "coimbatore", "bangalore", "madurai", "office", "home", "college"],
+    "devices": ["volume", "brightness", "wifi", "bluetooth", "torch", "flashlight"],
     "people": ["mother", "father", "my brother", "my sister", "sister", "friend", "wife", "husband"],
     "tasks": ["assignment", "medicine", "meeting"],
     "artists": ["ilayaraja", "rahman", "anirudh"],
@@ -295,8 +314,10 @@ STUDIO = {
         "volume brightness wifi off on search route traffic meeting assignment submit gym music song songs please medicine bill electricity "
         "pay population sister friend phone camera am pm an a for is how tamil directions show turn"
     ).split(),
-    "slang": "dei da machi bruh semma la pa ayya thala".split(),
-    "polite": "please pannunga sollunga kudunga".split(),
+    "slang": [
+    "dei", "da", "machi", "bruh", "semma", "la", "pa", "ayya", "thala",
+],
+    "polite": ["please", "pannunga", "sollunga", "kudunga"],
     "negation": r"(?i)\b(?:not|never|dont|don't|vendam|vendaam|pannathe|pannadha|pannadhe|pannaathe|koodathu)\b|வேண்டாம்|அழைக்காதே|செய்யாதே",
     "tamil": [
         ("அழைக்காதே", "do not call"), ("அழைக்க வேண்டாம்", "do not call"), ("அழை", "call"), ("அம்மாவுக்கு", "mother"), ("அம்மா", "mother"),

@@ -22,7 +22,7 @@ def _in(c: Column, words) -> Column:
 
 
 def _map(table: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair]).cast("map<string,string>")
 
 
 def replace_in_order(text: Column, rules: list[tuple[str, str]]) -> Column:
@@ -136,12 +136,10 @@ def language_confidence(language: Column, tamil: Column, english: Column, tangli
 # Dialect -----------------------------------------------------------------
 
 
-def detect_dialect_first(text: Column) -> Column:
+def detect_dialect_first(text: Column, markers: dict[str, list[str]] = L.FIRST_MARKERS) -> Column:
     """The first dialect that has a marker word in the text, else Standard."""
-    lower, out = F.lower(text), F
-    for name, words in L.FIRST_MARKERS.items():
-        out = out.when(lower.rlike(word_pattern(words)), name)
-    return out.otherwise("Standard")
+    lower = F.lower(text)
+    return reduce(lambda rest, m: F.when(lower.rlike(word_pattern(m[1])), m[0]).otherwise(rest), reversed([m for m in markers.items() if m[1]]), F.lit("Standard"))
 
 
 def dialect_scores(text: Column) -> dict[str, Column]:
@@ -233,42 +231,47 @@ def anchor_words(text: Column) -> Column:
     return split_words(F.lower(text), L.ANCHOR_BREAK)
 
 
-def extract_anchors(text: Column, strict_negation: bool = False) -> Column:
+#: The lists that anchors are found by; each may be replaced.
+ANCHOR_LISTS = {"negations": L.NEGATIONS, "time_words": L.TIME_WORDS, "apps": L.APPS, "places": L.PLACES, "devices": L.DEVICES, "people": L.PEOPLE}
+
+
+def extract_anchors(text: Column, strict_negation: bool = False, lists: dict | None = None) -> Column:
     """Array of (entity_type, value, raw_form): negation, clock times, time words, numbers, people, apps, places, devices, tasks.
 
     The negation test finds a marker anywhere in the text, also inside words; ``strict_negation`` wants a whole word.
+    ``lists`` replaces some of ``ANCHOR_LISTS``, in lower case; people are a map to their names.
     """
-    return bind(text, lambda t: bind(anchor_words(t), lambda words: _anchors_of(t, words, strict_negation)))
+    return bind(text, lambda t: bind(anchor_words(t), lambda words: _anchors_of(t, words, strict_negation, ANCHOR_LISTS | (lists or {}))))
 
 
-def _anchors_of(text: Column, words: Column, strict_negation: bool) -> Column:
+def _anchors_of(text: Column, words: Column, strict_negation: bool, lists: dict) -> Column:
     lower = F.lower(text)
-    found = F.filter(F.array(*[F.lit(w) for w in sorted(L.NEGATIONS)]), lambda w: F.array_contains(words, w) if strict_negation else lower.contains(w))
+    found = F.filter(F.array(*[F.lit(w) for w in sorted(lists["negations"])]), lambda w: F.array_contains(words, w) if strict_negation else lower.contains(w))
     negation = F.transform(F.slice(found, 1, 1), lambda w: _anchor("negation", F.lit("NEGATION"), w))
     clock = F.transform(F.regexp_extract_all(text, F.lit(L.CLOCK), F.lit(0)), lambda m: _anchor("time", F.trim(m), F.trim(m)))
     english = _map(L.TIME_ENGLISH)
-    times = F.array_distinct(F.filter(words, lambda w: _in(w, L.TIME_WORDS)))
+    times = F.array_distinct(F.filter(words, lambda w: _in(w, lists["time_words"])))
     dates = F.transform(times, lambda w: _anchor("date", F.coalesce(F.try_element_at(english, w), w), w))
     taken = F.transform(F.concat(clock, dates), lambda a: a["value"])
     digits = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b\d+\b"), F.lit(0))), lambda d: ~F.array_contains(taken, d))
     quantities = F.transform(digits, lambda d: _anchor("quantity", d, d))
     numbers = _map(L.TAMIL_NUMBERS)
     counted = F.transform(F.filter(words, lambda w: _in(w, L.TAMIL_NUMBERS)), lambda w: _anchor("quantity", F.element_at(numbers, w), w))
-    kin = _map(L.PEOPLE)
-    people = F.transform(F.filter(words, lambda w: _in(w, L.PEOPLE)), lambda w: _anchor("person", F.element_at(kin, w), w))
+    kin = _map(lists["people"])
+    people = F.transform(F.filter(words, lambda w: _in(w, lists["people"])), lambda w: _anchor("person", F.element_at(kin, w), w))
 
     def listed(kind: str, names: list[str]) -> Column:
         return F.transform(F.filter(words, lambda w: _in(w, names)), lambda w: _anchor(kind, w, w))
 
-    plain = [listed("app", L.APPS), listed("location", L.PLACES), listed("device_setting", L.DEVICES)]
+    plain = [listed("app", lists["apps"]), listed("location", lists["places"]), listed("device_setting", lists["devices"])]
     tasks = F.transform(F.filter(F.array(*[F.lit(w) for w in L.TASKS]), lambda w: lower.contains(w)), lambda w: _anchor("task", w, w))
     return F.concat(negation, clock, dates, quantities, counted, people, *plain, tasks)
 
 
-def verify_anchors(anchors: Column, out: Column) -> Column:
+def verify_anchors(anchors: Column, out: Column, negations: list[str] = L.NEGATIONS) -> Column:
     """The anchors with a flag ``preserved``: whether the value, or for a negation some marker, is in the output."""
     lower = F.lower(out)
-    denied = reduce(lambda a, b: a | b, [lower.contains(w) for w in [*L.NEGATIONS, "without"]])
+    denied = reduce(lambda a, b: a | b, [lower.contains(w) for w in dict.fromkeys([*negations, "not", "no", "never", "without"])])
     return F.transform(anchors, lambda a: F.struct(a["entity_type"].alias("entity_type"), a["value"].alias("value"), a["raw_form"].alias("raw_form"), F.when(a["entity_type"] == "negation", denied).otherwise(lower.contains(F.lower(a["value"]))).alias("preserved")))
 
 

@@ -80,3 +80,21 @@ def predict_labels(model, df: DataFrame, id_col: str = "vec_id", k: int = 2) ->
     out = good.select(id_col, "label", F.col("prediction").cast("int").alias("prediction"), F.round(F.array_max("p"), 6).alias("probability"), top_k_labels("p", k).alias("top"))
     bad = df.filter(F.col("embedding").isNull()).select(id_col, "label")
     return out.unionByName(bad, allowMissingColumns=True)
+
+
+def label_samples(model, df: DataFrame, names: list[str], id_col: str = "vec_id", label: str = "label") -> DataFrame:
+    """(id, true_label, pred_label, correct, confidence, prob_<name> of every class), one row for each row with a vector and a label.
+
+    ``names`` are the classes in the order of their numbers; probabilities have four decimals.
+    """
+    rows = df.filter(F.col("embedding").isNotNull() & F.col(label).isNotNull())
+    named = lambda c: F.get(F.array(*[F.lit(n) for n in names]), c.cast("int"))
+    scored = model.transform(with_features(rows)).withColumn("p", vector_to_array("probability"))
+    return scored.select(
+        id_col,
+        named(F.col(label)).alias("true_label"),
+        named(F.col("prediction")).alias("pred_label"),
+        (F.col(label).cast("double") == F.col("prediction")).alias("correct"),
+        F.round(F.array_max("p"), 4).alias("confidence"),
+        *[F.round(F.get("p", i), 4).alias(f"prob_{n}") for i, n in enumerate(names)],
+    )

@@ -24,12 +24,23 @@ class RulePack:
     dictionary: dict = field(default_factory=dict)
     expressions: tuple[tuple[str, str], ...] = ()
     drop_tamil: bool = False
+    anchors: dict = field(default_factory=dict)
+    dialect_markers: dict = field(default_factory=lambda: dict(L.FIRST_MARKERS))
+
+
+#: The settings that replace a list of anchors.
+ANCHOR_SETTINGS = {"negation_markers": "negations", "time_words": "time_words", "apps": "apps", "places": "places", "device_targets": "devices"}
 
 
 def rule_pack(config: dict) -> RulePack:
-    """The built-in pack with the given settings put over it; keys are lower-cased."""
+    """The built-in pack with the given settings put over it; keys and listed words are lower-cased. A list replaces the built-in one;
+    of negation markers, settings that are no words (such as a bare ``no`` that a reader took for a truth value) are left out."""
     low = lambda d: {k.lower(): v for k, v in d.items()}
+    words = lambda ws: [str(w).lower() for w in ws if w is not None and not isinstance(w, bool)]
     pack = RulePack()
+    anchors = {name: words(config[key]) for key, name in ANCHOR_SETTINGS.items() if key in config}
+    if "people" in config:
+        anchors["people"] = low(config["people"])
     return replace(
         pack,
         thresholds=pack.thresholds | config.get("thresholds", {}),
@@ -39,6 +50,8 @@ def rule_pack(config: dict) -> RulePack:
         dictionary=low(config.get("dictionary", {})),
         expressions=tuple(sorted(low(config.get("expressions", {})).items(), key=lambda e: (-len(e[0].split()), e[0]))),
         drop_tamil=config.get("drop_tamil", False),
+        anchors=anchors,
+        dialect_markers={name: words(ws) for name, ws in config["dialect_markers"].items()} if "dialect_markers" in config else pack.dialect_markers,
     )
 
 
@@ -73,12 +86,12 @@ def apply_dictionary(text: Column, dictionary: dict[str, str], drop_fillers: boo
 def normalize(df: DataFrame, text_col: str = "text", dialect_col: str = "dialect", pack: RulePack = RulePack()) -> DataFrame:
     """Adds anchors, the text after each step, normalized_text, and the verified anchors. A blank text gives "" ."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = df.withColumns({"anchors": X.extract_anchors(text), "adapted": X.adapt_dialect(text, F.col(dialect_col), pack.dialect_fillers)})
+    out = df.withColumns({"anchors": X.extract_anchors(text, lists=pack.anchors), "adapted": X.adapt_dialect(text, F.col(dialect_col), pack.dialect_fillers)})
     out = out.withColumn("phrased", X.apply_phrases(F.col("adapted")))
     out = out.withColumn("glossed", X.gloss_tokens(F.col("phrased"), pack.glosses, pack.fillers))
     blank = F.length(F.trim(text)) == 0
     out = out.withColumn("normalized_text", F.when(blank, "").otherwise(X.reconstruct(F.col("glossed"), pack.drop_tamil)))
-    out = out.withColumn("verified", X.verify_anchors(F.col("anchors"), F.col("normalized_text")))
+    out = out.withColumn("verified", X.verify_anchors(F.col("anchors"), F.col("normalized_text"), pack.anchors.get("negations", L.NEGATIONS)))
     return out.withColumn("all_preserved", F.size(X.missing_anchors(F.col("verified"))) == 0)
 
 
@@ -86,11 +99,11 @@ def analyze(df: DataFrame, text_col: str = "text", pack: RulePack = RulePack())
     """Language, code-mixing, dialect, normalised text, intent, entities and confidences of each row. Narrow throughout."""
     out = detect_code_mix(df, text_col, pack.thresholds)
     given = F.col("dialect") if "dialect" in df.columns else F.lit(None).cast("string")
-    out = out.withColumn("dialect", F.coalesce(given, X.detect_dialect_first(F.col(text_col)), F.lit("Standard")))
+    out = out.withColumn("dialect", F.coalesce(given, X.detect_dialect_first(F.col(text_col), pack.dialect_markers), F.lit("Standard")))
     out = normalize(out, text_col, "dialect", pack)
     final = X.finalize_text(apply_dictionary(map_expressions(F.col("normalized_text"), pack.expressions), pack.dictionary))
     out = out.withColumn("final_text", final).withColumn("result", X.classify_intent(F.col("final_text")))
-    entities = X.restrict_entities(X.extract_entities(X.extract_anchors(F.col("final_text"))), F.col("result.intent"))
+    entities = X.restrict_entities(X.extract_entities(X.extract_anchors(F.col("final_text"), lists=pack.anchors)), F.col("result.intent"))
     confidence = F.create_map(F.lit("asr"), F.lit(1.0), F.lit("language"), F.col("confidence"), F.lit("dialect"), F.lit(0.90), F.lit("intent"), F.col("result.confidence"))
     return out.withColumns({"intent": F.col("result.intent"), "entities": entities, "confidences": confidence}).select(
         *df.columns if "dialect" not in df.columns else [c for c in df.columns if c != "dialect"],

@@ -50,7 +50,7 @@ def src2_limit_shards(spark, sf_dir):
     return S.limit_shards(spark, f"{sf_dir}/documents.parquet", 1).select("doc_id", "lang", "source")
 
 
-@query()
+@query("SELECT doc_id, 0 AS shard_idx, row_number() OVER () - 1 AS row_within_shard FROM documents")
 def src3_with_lineage(spark, sf_dir):
     return S.with_lineage(table(spark, sf_dir, "documents")).select("doc_id", "shard_idx", "row_within_shard")
 
@@ -183,11 +183,6 @@ def top3_rules_ordered(spark, sf_dir):
     return J.numbered(e, [], [F.col("token_count").desc(), "expression"]).withColumnRenamed("n", "place")
 
 
-@query()
-def src12_log_rows(spark, sf_dir):
-    return S.log_rows(V.qc_report(clips(spark, sf_dir)), V.QC_COLUMNS)
-
-
 @query("SELECT o_orderkey AS file FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)")
 def src14_missing_media(spark, sf_dir):
     have = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("path"))
@@ -706,12 +701,33 @@ def aud4_normalize_gain(spark, sf_dir):
     return n.select("clip_id", "norm_status", "gain_db", F.round("peak_out", 6).alias("peak_out"), F.round(F.aggregate("normalized", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
-@query()
+_DB = lambda x: f"CASE WHEN {x} > 0 THEN 20 * log10({x}) ELSE '-inf'::DOUBLE END"
+
+
+def _qc_sql(where: str) -> str:
+    """The parts of the quality row from the SQL of the parts."""
+    ok = lambda x: f"CASE WHEN v.status <> 'REJECT' THEN {x} END"
+    return f"""SELECT s.clip_id::VARCHAR AS file, v.status, v.messages AS error, round(s.duration, 4) AS duration, s.sample_rate AS orig_sample_rate,
+ CASE WHEN v.status <> 'REJECT' THEN s.sample_rate ELSE 0 END AS target_sample_rate, s.channels, {ok('n.snr_db')} AS snr_db, round({_DB('s.peak')}, 4) AS peak_in_dbfs,
+ {ok(f"round({_DB('g.peak_full')}, 4)")} AS peak_out_dbfs, round({_DB('s.rms')}, 4) AS rms_in_dbfs, {ok('g.gain_db')} AS gain_db, coalesce({ok('g.norm_status')}, '') AS norm_status, round(s.peak, 4) AS peak_in
+ FROM (WITH {_STATS} SELECT * FROM st) s JOIN ({ORACLES['aud2_validate_clips']}) v USING (clip_id) LEFT JOIN ({ORACLES['aud3_estimate_snr']}) n USING (clip_id)
+ LEFT JOIN ({ORACLES['aud4_normalize_gain'].replace('SELECT clip_id, CASE WHEN silent', 'SELECT clip_id, least(pow(10, -0.005), CASE WHEN silent THEN peak ELSE peak * gain END) AS peak_full, CASE WHEN silent')}) g USING (clip_id) WHERE {where}"""
+
+
+@query(_qc_sql("s.clip_id % 5 <> 0"))
 def aud5_qc_report(spark, sf_dir):
     c = clips(spark, sf_dir)
     return V.qc_report(c, c.filter("clip_id % 5 = 0"))
 
 
+_AS_TEXT = {c: f"coalesce(CASE WHEN isnan({c}) THEN '' WHEN isinf({c}) THEN CASE WHEN {c} > 0 THEN 'Infinity' ELSE '-Infinity' END ELSE printf('%.4f', {c}) END, '')" for c in V.QC_COLUMNS if c.endswith(("dbfs", "_db")) or c == "duration"}
+
+
+@query(f"WITH q AS ({_qc_sql('true')}) SELECT " + ", ".join(f"{_AS_TEXT.get(c, f'coalesce({c}::VARCHAR, {quoted(str())})')} AS {c}" for c in V.QC_COLUMNS) + " FROM q")
+def src12_log_rows(spark, sf_dir):
+    return S.log_rows(V.qc_report(clips(spark, sf_dir)), V.QC_COLUMNS)
+
+
 # Personal tables ----------------------------------------------------------
 
 
@@ -807,6 +823,15 @@ def udf4_evaluate_labels(spark, sf_dir):
     return ML.evaluate_labels(ML.predict_labels(ML.train_label_model(e.filter(~held)), e.filter(held)))
 
 
+@query()
+def udf4_label_samples(spark, sf_dir):
+    """The held-out fifth row by row, with a probability for each class."""
+    e = table(spark, sf_dir, "embeddings")
+    held = F.pmod(F.xxhash64("vec_id", F.lit("held out")), F.lit(5)) == 0
+    names = [f"class_{i}" for i in range(e.agg(F.max("label")).first()[0] + 1)]
+    return ML.label_samples(ML.train_label_model(e.filter(~held), linear=True), e.filter(held), names)
+
+
 @query("SELECT vec_id, list_max(embedding)::DOUBLE AS probability, (list_position(embedding, list_max(embedding)) - 1)::INTEGER AS class FROM embeddings")
 def top1_top_k_labels(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", ML.top_k_labels("embedding", 1).alias("t"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import studio
 from ..functions import text as X
+from ..operators import metrics as M
 from ..operators import tokens as K
 from . import analyze as A
 from .fixtures import P_SQL, U_SQL, _list, pairs, quoted, spread, sql_map, table, tokens_sql, utterances
@@ -111,9 +112,9 @@ def win10_dominant_spans(spark, sf_dir):
     return K.dominant_spans(_tokens(spark, sf_dir))
 
 
-@query(f"{T_SQL}, x AS (SELECT utt_id, pos, token, lag(lower(token)) OVER (PARTITION BY utt_id ORDER BY pos) AS b FROM t) SELECT utt_id, count(*) AS n FROM x WHERE b IS NULL OR b <> lower(token) GROUP BY utt_id")
+@query(f"{T_SQL}, x AS (SELECT utt_id, pos, token, lag(lower(token)) OVER (PARTITION BY utt_id ORDER BY pos) AS b FROM t) SELECT utt_id, pos::INTEGER AS pos, token FROM x WHERE b IS NULL OR b <> lower(token)")
 def win11_collapse_repeats(spark, sf_dir):
-    return K.collapse_repeats(_tokens(spark, sf_dir)).groupBy("utt_id").agg(F.count("*").alias("n"))
+    return K.collapse_repeats(_tokens(spark, sf_dir)).select("utt_id", "pos", "token")
 
 
 @query(f"{T_SQL} SELECT utt_id, round(avg(CASE WHEN lower(token) IN ({', '.join(map(quoted, L.GLOSSES))}) THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS coverage FROM t GROUP BY utt_id")
@@ -251,13 +252,17 @@ def _kept(words, shown: str = "x") -> str:
     return f"array_to_string(list_transform(list_filter(aw, lambda x: list_contains({_list(words)}, x)), lambda x: {shown}), ',')"
 
 
-_ANCHORS = rf"""WITH {U_SQL}, a AS (SELECT utt_id, text, {_AW} AS aw FROM u),
-a1 AS (SELECT *, array_to_string(list_filter({_list(sorted(L.NEGATIONS))}, lambda x: contains(lower(text), x))[1:1], ',') AS negation,
+def _anchors_sql(negations=L.NEGATIONS, time_words=L.TIME_WORDS) -> str:
+    return rf"""WITH {U_SQL}, a AS (SELECT utt_id, text, {_AW} AS aw FROM u),
+a1 AS (SELECT *, array_to_string(list_filter({_list(sorted(negations))}, lambda x: contains(lower(text), x))[1:1], ',') AS negation,
  list_transform(regexp_extract_all(text, '(?i)\b\d{{1,2}}:\d{{2}}(?:\s*(?:am|pm))?\b|\b\d{{1,2}}\s*(?:am|pm)\b'), lambda x: trim(x)) AS clocks,
- list_reduce(list_prepend([]::VARCHAR[], list_transform(list_filter(aw, lambda x: list_contains({_list(L.TIME_WORDS)}, x)), lambda x: [x])), lambda p, q: CASE WHEN list_contains(p, q[1]) THEN p ELSE list_concat(p, q) END) AS times FROM a),
+ list_reduce(list_prepend([]::VARCHAR[], list_transform(list_filter(aw, lambda x: list_contains({_list(time_words)}, x)), lambda x: [x])), lambda p, q: CASE WHEN list_contains(p, q[1]) THEN p ELSE list_concat(p, q) END) AS times FROM a),
 a2 AS (SELECT *, list_transform(times, lambda x: coalesce({sql_map(L.TIME_ENGLISH)}[x], x)) AS dates FROM a1)"""
 
 
+_ANCHORS = _anchors_sql()
+
+
 def _of(anchors: str, kind: str):
     return F.array_join(F.transform(F.filter(anchors, lambda a: a["entity_type"] == kind), lambda a: a["value"]), ",")
 
@@ -272,6 +277,33 @@ def scl19_extract_anchors(spark, sf_dir):
     return a.select("utt_id", negation, *[_of("a", k).alias(k) for k in ("time", "date", "person", "app", "location", "device_setting", "task")])
 
 
+#: The settings of a rule pack of other anchors.
+_ANCHOR_PACK = {"negation_markers": ["kadu", False, "vendam", "pannu da"], "time_words": ["Later", "the", "six"], "apps": ["zomato", "assignment"], "places": ["Pannu"], "device_targets": [], "people": {"Dei": "friend", "machi": "dear friend"}}
+
+
+@query(
+    f"""{_anchors_sql(["kadu", "vendam", "pannu da"], ["later", "the", "six"])} SELECT utt_id, negation, array_to_string(clocks, ',') AS time, array_to_string(dates, ',') AS date,
+ {_kept(["dei", "machi"], sql_map({"dei": "friend", "machi": "dear friend"}) + '[x]')} AS person, {_kept(["zomato", "assignment"])} AS app, {_kept(["pannu"])} AS location, '' AS device_setting FROM a2"""
+)
+def udf5_anchor_lists(spark, sf_dir):
+    pack = A.rule_pack(_ANCHOR_PACK)
+    a = utterances(spark, sf_dir).select("utt_id", X.extract_anchors(F.col("text"), lists=pack.anchors).alias("a"))
+    negation = F.array_join(F.transform(F.filter("a", lambda x: x["entity_type"] == "negation"), lambda x: x["raw_form"]), ",").alias("negation")
+    return a.select("utt_id", negation, *[_of("a", k).alias(k) for k in ("time", "date", "person", "app", "location", "device_setting")])
+
+
+_VALUES = rf"""{_ANCHORS}, a3 AS (SELECT *, list_distinct(list_filter(regexp_extract_all(text, '\b\d+\b'), lambda x: NOT list_contains(list_concat(clocks, dates), x))) AS digits FROM a2),
+a4 AS (SELECT utt_id, text, {_PHRASED} AS phrased, list_concat(CASE WHEN negation = '' THEN []::VARCHAR[] ELSE ['NEGATION'] END, list_concat(clocks, list_concat(dates, list_concat(digits,
+ list_concat(list_transform(list_filter(aw, lambda x: list_contains({_list(L.TAMIL_NUMBERS)}, x)), lambda x: {sql_map(L.TAMIL_NUMBERS)}[x]), list_concat(list_transform(list_filter(aw, lambda x: list_contains({_list(L.PEOPLE)}, x)), lambda x: {sql_map(L.PEOPLE)}[x]),
+ list_concat(list_filter(aw, lambda x: list_contains({_list([*L.APPS])}, x)), list_concat(list_filter(aw, lambda x: list_contains({_list(L.PLACES)}, x)), list_concat(list_filter(aw, lambda x: list_contains({_list(L.DEVICES)}, x)),
+ list_filter({_list(L.TASKS)}, lambda x: contains(lower(text), x))))))))))) AS vs FROM a3)"""
+
+
+@query(f"{_VALUES}, k AS (SELECT sum(len(vs)) AS n, sum(len(list_filter(vs, lambda v: contains(lower(phrased), lower(v))))) AS ok FROM a4) SELECT round((ok / n)::DOUBLE, 4) AS preservation_rate, n::BIGINT AS total_anchors, ok::BIGINT AS anchors_preserved FROM k")
+def agg17_preservation_of_phrases(spark, sf_dir):
+    return M.preservation_rate(utterances(spark, sf_dir).select(X.extract_anchors(F.col("text")).alias("anchors"), X.apply_phrases(F.col("text")).alias("normalized_text")))
+
+
 @query()
 def scl20_21_normalize(spark, sf_dir):
     n = A.normalize(utterances(spark, sf_dir).withColumn("dialect", X.detect_dialect_first(F.col("text"))))
@@ -305,13 +337,16 @@ def scl23_classify_intent(spark, sf_dir):
 _ALLOWED = "MAP {" + ", ".join(f"{quoted(n)}: {_list(es) if es else '[]::VARCHAR[]'}" for n, (_, es) in L.INTENTS.items()) + "}"
 
 
-@query(
-    f"""{_ANCHORS.replace('WITH ', 'WITH ', 1)}, e AS (SELECT utt_id, list_concat(clocks, dates)[1] AS date, list_concat(clocks, dates)[2] AS time,
+_SLOTS = ("date", "time", "person", "app", "task")
+_ENTITIES = f"""{_ANCHORS}, e AS (SELECT utt_id, list_concat(clocks, dates)[1] AS date, list_concat(clocks, dates)[2] AS time,
  nullif(string_split({_kept(L.PEOPLE, sql_map(L.PEOPLE) + '[x]')}, ',')[1], '') AS person, nullif(string_split({_kept(L.APPS)}, ',')[1], '') AS app,
  list_filter({_list(L.TASKS)}, lambda x: contains(lower(text), x))[1] AS task FROM a2),
-{_INTENTS.replace(f'WITH {U_SQL}, ', '')}, k AS (SELECT utt_id, {_ALLOWED}[hits[1]] AS ok FROM h)
-SELECT utt_id, """
-    + ", ".join(f"CASE WHEN ok IS NULL OR list_contains(ok, '{c}') THEN {c} END AS {c}" for c in ("date", "time", "person", "app", "task"))
+{_INTENTS.replace(f'WITH {U_SQL}, ', '')}, k AS (SELECT utt_id, {_ALLOWED}[hits[1]] AS ok FROM h)"""
+
+
+@query(
+    f"{_ENTITIES} SELECT utt_id, "
+    + ", ".join(f"CASE WHEN ok IS NULL OR list_contains(ok, '{c}') THEN {c} END AS {c}" for c in _SLOTS)
     + " FROM e JOIN k USING (utt_id)"
 )
 def scl24_25_entities(spark, sf_dir):
@@ -467,16 +502,20 @@ def scl45_coverage_confidence(spark, sf_dir):
 _SYSTEM = "You help."
 
 
-# The entities are empty and the other fields constant here, so that SQL can follow the whole payload.
 _HANDOFF = {"language": "tanglish", "dialect": "Standard"}
+_OK = [(c, f"CASE WHEN ok IS NULL OR list_contains(ok, '{c}') THEN {c} END") for c in _SLOTS]
 
 
 @query(
-    f"{_INTENTS} SELECT utt_id, '<|system|>\n{_SYSTEM}\n<|user|>\n' || trim(CASE WHEN len(hits) > 0 THEN '[Understood Context: Intent: ' || hits[1] || ']\n' ELSE '' END || trim(x)) || '\n<|assistant|>\n' AS prompt, "
-    "'{\"normalized_text\":' || to_json(x)::VARCHAR || ',\"intent\":\"' || coalesce(hits[1], 'UNKNOWN_INTENT') || '\",\"entities\":{},\"language\":\"tanglish\",\"dialect\":\"Standard\",\"confidence\":{\"intent\":' "
-    "|| (CASE WHEN len(hits) = 0 THEN '0.0' WHEN len(hits) = 1 THEN '0.95' ELSE '0.6' END) || '},\"raw_transcript\":' || to_json(x)::VARCHAR || '}' AS payload FROM h"
+    f"{_ENTITIES}, j AS (SELECT h.*, list_filter([{', '.join(f'{quoted(c + chr(61) + chr(39))} || {v} || chr(39)' for c, v in _OK)}], lambda y: y IS NOT NULL) AS es, "
+    f"list_filter([{', '.join(f'{quoted(chr(34) + c + chr(34) + chr(58))} || to_json({v})::VARCHAR' for c, v in _OK)}], lambda y: y IS NOT NULL) AS js, "
+    "list_filter([CASE WHEN len(hits) > 0 THEN 'Intent: ' || hits[1] END, CASE WHEN len(es) > 0 THEN 'Entities: [' || array_to_string(es, ', ') || ']' END], lambda y: y IS NOT NULL) AS parts "
+    "FROM h JOIN e USING (utt_id) JOIN k USING (utt_id)) "
+    f"SELECT utt_id, '<|system|>\n{_SYSTEM}\n<|user|>\n' || trim(CASE WHEN len(parts) > 0 THEN '[Understood Context: ' || array_to_string(parts, '; ') || ']\n' ELSE '' END || trim(x)) || '\n<|assistant|>\n' AS prompt, "
+    "'{\"normalized_text\":' || to_json(x)::VARCHAR || ',\"intent\":\"' || coalesce(hits[1], 'UNKNOWN_INTENT') || '\",\"entities\":{' || array_to_string(js, ',') || '},\"language\":\"tanglish\",\"dialect\":\"Standard\",\"confidence\":{\"intent\":' "
+    "|| (CASE WHEN len(hits) = 0 THEN '0.0' WHEN len(hits) = 1 THEN '0.95' ELSE '0.6' END) || '},\"raw_transcript\":' || to_json(x)::VARCHAR || '}' AS payload FROM j"
 )
 def scl46_47_handoff_prompts(spark, sf_dir):
     u = utterances(spark, sf_dir).withColumn("final_text", X.apply_phrases(F.col("text"))).withColumn("r", X.classify_intent(F.col("final_text")))
-    u = u.withColumns({"intent": F.col("r.intent"), "entities": F.create_map().cast("map<string,string>"), "confidences": F.create_map(F.lit("intent"), F.col("r.confidence")), **{k: F.lit(v) for k, v in _HANDOFF.items()}})
+    u = u.withColumns({"intent": F.col("r.intent"), "entities": X.restrict_entities(X.extract_entities(X.extract_anchors(F.col("text"))), F.col("r.intent")), "confidences": F.create_map(F.lit("intent"), F.col("r.confidence")), **{k: F.lit(v) for k, v in _HANDOFF.items()}})
     return A.build_prompts(A.to_handoff(u, "final_text"), _SYSTEM).select("utt_id", "prompt", "payload")

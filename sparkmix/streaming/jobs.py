@@ -48,11 +48,16 @@ def ingest_incremental(
     return query
 
 
-def score_resumable(stream: DataFrame, score: Callable[[DataFrame], DataFrame], dst: str, checkpoint: str, key: str) -> StreamingQuery:
-    """Score arriving rows whose key has no result in ``dst`` yet; each micro-batch is appended."""
+def score_resumable(stream: DataFrame, score: Callable[[DataFrame], DataFrame], dst: str, checkpoint: str, key: str, media: DataFrame | None = None, file_col: str = "file") -> StreamingQuery:
+    """Score arriving rows whose key has no result in ``dst`` yet; each micro-batch is appended.
+
+    With ``media``, a listing with ``path``, rows whose ``file_col`` is not in it are skipped; they are scored when they arrive again.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if media is not None:
+            batch = batch.join(media.select(F.col("path").alias(file_col)).distinct(), file_col, "left_semi")
         done = spark.read.parquet(dst) if exists(spark, dst) else None
         score(resume_pending(batch, done, key) if done is not None else batch).write.mode("append").parquet(dst)
 
