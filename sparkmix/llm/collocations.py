@@ -269,8 +269,8 @@ def mine_block(words: np.ndarray, joined: np.ndarray, least: int, sizes: range,
         alive[places] = True
 
 
-def _mined(texts: DataFrame, langs: set[str], sizes: range, words: Members, pairs: Members | None, block_words: int, shards: int) -> DataFrame:
-    """(lang, shard, hash, k): counts of a task's blocks, to be summed up in its shard; hash is null in rows that count words."""
+def _mined(texts: DataFrame, langs: dict[str, int], sizes: range, words: Members, pairs: Members | None, block_words: int, shards: int) -> DataFrame:
+    """(part, hash, k): counts of a task's blocks, to be summed up in their part, which is a shard of a language; hash is null in rows that count words."""
     sets = texts.sparkSession.sparkContext.broadcast((words, pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,31 +283,34 @@ def _mined(texts: DataFrame, langs: set[str], sizes: range, words: Members, pair
             def known(k: int, x: np.ndarray, lang: str = lang) -> np.ndarray:
                 return single(salted(lang, x)) if k == 1 else double(salted(lang, x)) if k == 2 and double is not None else np.ones(len(x), bool)
 
-            yield _table(lang, shard, None, np.array([len(block)]))
+            part = langs[lang] * shards + shard
+            yield _table(part, None, np.array([len(block)]))
             for found, counts in mine_block(block, joined, 1, sizes, known):
                 for at in range(0, len(found), 1 << 16):
-                    yield _table(lang, shard, salted(lang, found[at : at + (1 << 16)]), counts[at : at + (1 << 16)])
+                    yield _table(part, salted(lang, found[at : at + (1 << 16)]), counts[at : at + (1 << 16)])
 
-    return texts.mapInArrow(run, "lang string, shard int, hash long, k long")
+    return texts.mapInArrow(run, "part int, hash long, k long")
 
 
-def _table(lang: str, shard: int, hashes: np.ndarray | None, counts: np.ndarray) -> pa.RecordBatch:
+def _table(part: int, hashes: np.ndarray | None, counts: np.ndarray) -> pa.RecordBatch:
     n = len(counts)
     keys = pa.nulls(n, pa.int64()) if hashes is None else pa.array(hashes.view(np.int64))
-    return pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array([shard] * n, pa.int32()), keys, pa.array(counts.astype(np.int64))], ["lang", "shard", "hash", "k"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), keys, pa.array(counts.astype(np.int64))], ["part", "hash", "k"])
 
 
-def _frequent(found: DataFrame, totals: DataFrame, support: int, scratch: Scratch, name: str) -> DataFrame:
+def _frequent(found: DataFrame, totals: list[int], shards: int, support: int, scratch: Scratch, name: str) -> DataFrame:
     """(hash): the union of what is frequent in some shard, at its share of the support.
 
     A shard in which a phrase is not frequent holds fewer than its share; what can't reach the support even if all of these hold as
     many as they can is left out.
     """
-    sums = scratch.save(found.groupBy("lang", "shard", "hash").agg(F.sum("k").alias("k")), name)
-    share = F.expr(f"({support} * k + n - 1) div n")
-    shares = sums.filter("hash is null").join(F.broadcast(totals), "lang").select("lang", "shard", share.alias("share"))  # a row for each language and shard
+    sums = scratch.save(found.groupBy("part", "hash").agg(F.sum("k").alias("k")), name)
+    lang = F.expr(f"part div {shards}").cast("int")
+    n = F.element_at(F.array(*[F.lit(n) for n in totals]), lang + 1) if totals else F.lit(1)
+    share = F.call_function("div", F.col("k") * support + n - 1, n)  # the support times the part's share of the words, rounded up
+    shares = sums.filter("hash is null").select("part", lang.alias("lang"), share.alias("share"))  # a row for each language and shard
     slack = shares.groupBy("lang").agg(F.sum(F.col("share") - 1).alias("slack"))
-    local = sums.filter("hash is not null").join(F.broadcast(shares), ["lang", "shard"]).filter("k >= share")
+    local = sums.filter("hash is not null").join(F.broadcast(shares), "part").filter("k >= share")
     union = local.groupBy("lang", "hash").agg(F.sum(F.col("k") - F.col("share") + 1).alias("k"))
     out = scratch.save(union.join(F.broadcast(slack), "lang").filter(F.col("k") + F.col("slack") >= support).select("hash"), name)
     scratch.drop(sums)
@@ -359,10 +362,11 @@ def frequent_phrases(
     totals = sums.filter("size = 0").select("lang", F.col("a").alias("n"))
     single = sums.filter("size = 1")
     words = members(_hashed(single), listed, bits)
-    langs = {r.lang for r in totals.collect()}  # a row for each language that has enough words
-    two = _frequent(_mined(texts, langs, range(2, 3), words, None, block_words, shards), totals, support, scratch, "pairs")
+    known = totals.orderBy("lang").collect()  # a row for each language that has enough words
+    langs, sizes = {r.lang: i for i, r in enumerate(known)}, [r.n for r in known]
+    two = _frequent(_mined(texts, langs, range(2, 3), words, None, block_words, shards), sizes, shards, support, scratch, "pairs")
     pairs = members(two, listed, bits)
-    more = _frequent(_mined(texts, langs, range(3, longest + 1), words, pairs, block_words, shards), totals, support, scratch, "phrases") if longest > 2 else two.limit(0)
+    more = _frequent(_mined(texts, langs, range(3, longest + 1), words, pairs, block_words, shards), sizes, shards, support, scratch, "phrases") if longest > 2 else two.limit(0)
     union = members(two.union(more), listed, bits)
     counts = scratch.save(_counts(texts, words, union, longest).groupBy(*keys).agg(F.sum("k").alias("a")).filter(F.col("a") >= support), "counts")
     return single.union(counts).withColumn("phrase", F.col("phrase").cast("string")), totals
