@@ -15,6 +15,7 @@ from ..operators import models as ML
 from ..operators import personal as P
 from ..operators import waveform as V
 from ..sources import lexicons as LX
+from ..sources import manifests
 from ..sources import tables as S
 from ..streaming import jobs, personal_state
 from . import analyze as A
@@ -122,6 +123,22 @@ def src10_manifest(spark, sf_dir):
     return S.reuse_manifest(spark, path, schema, lambda: rows.limit(0))
 
 
+@query(f"WITH {M_SQL} SELECT speaker_id, gender, area, verbatim, duration, row_within_shard FROM m")
+def src10_12_manifest_source(spark, sf_dir):
+    """Rows of even speakers written over others, those of odd speakers behind them, through the source of manifests."""
+    path = f"{S.shared_folder(spark)}/log"
+    rows = manifest(spark, sf_dir).select("speaker_id", "gender", "area", "verbatim", "duration", "row_within_shard")
+    manifests.append_rows(rows.filter("speaker_id % 3 = 0"), path)
+    manifests.append_rows(rows.filter("speaker_id % 2 = 0"), path, overwrite=True)
+    manifests.append_rows(rows.filter("speaker_id % 2 <> 0"), path)
+    return manifests.read_rows(spark, path, rows.schema)
+
+
+@query()
+def src11_list_files(spark, sf_dir):
+    return manifests.list_files(spark, sf_dir, (".parquet",)).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length")
+
+
 @query()
 def src11_list_media(spark, sf_dir):
     found = S.list_media(spark, sf_dir, "*.parquet")
