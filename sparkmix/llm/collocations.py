@@ -141,8 +141,8 @@ def _salt(lang: str) -> np.uint64:
 
 
 def salted(lang: str, hashes: np.ndarray) -> np.ndarray:
-    """Hashes of one language, told apart from the same phrases of others."""
-    return mix(hashes + _salt(lang))
+    """Hashes of one language, told apart from the same phrases of others; 48 bits, as they choose candidates only and are most of what is shuffled."""
+    return mix(hashes + _salt(lang)) >> np.uint64(16)
 
 
 def members(hashes: DataFrame, listed: int = LISTED, bits: int = BITMAP_BITS) -> Members:
