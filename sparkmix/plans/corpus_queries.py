@@ -13,7 +13,9 @@ from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators import personal as P
+from ..operators import sketches
 from ..operators import waveform as V
+from ..sources import buckets
 from ..sources import lexicons as LX
 from ..sources import manifests
 from ..sources import tables as S
@@ -368,6 +370,15 @@ def join3_assign_split(spark, sf_dir):
     return _assigned(spark, sf_dir).select("speaker_id", "row_within_shard", "split")
 
 
+@query(f"WITH {_ASSIGNED} SELECT m.speaker_id, row_within_shard, mm.split, pf.scenario FROM mm JOIN m USING (row_within_shard) JOIN pf ON pf.speaker_id = m.speaker_id")
+def join3_bucketed_split(spark, sf_dir):
+    """Splits and profiles joined to a manifest that is bucketed by speaker: only the small tables move."""
+    rows = buckets.write_bucketed(manifest(spark, sf_dir), "speaker_id", 8)
+    profile = C.speaker_profile(rows, "speaker_id", ["scenario"])
+    assigned = C.assign_split(rows, buckets.write_bucketed(_splits(spark, sf_dir).filter("speaker_id % 10 < 9"), "speaker_id", 8), "speaker_id")
+    return assigned.drop("scenario").join(profile, "speaker_id").select("speaker_id", "row_within_shard", "split", "scenario")
+
+
 @query(
     "WITH x AS (SELECT user_id AS speaker_id, CASE WHEN event_id % 40 = 0 THEN 'val' ELSE 'train' END AS split FROM events) "
     "SELECT speaker_id, count(DISTINCT split) AS n_splits, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM x GROUP BY speaker_id HAVING count(DISTINCT split) > 1"
@@ -411,6 +422,16 @@ def agg3_cardinalities(spark, sf_dir):
     return C.cardinalities(manifest(spark, sf_dir), "speaker_id", "task_name")
 
 
+@query()
+def agg3_sketched_statistics(spark, sf_dir):
+    """The manifest taken in as two shards after one another, and statistics from the sketches of both."""
+    path = f"{S.shared_folder(spark)}/sketches"
+    rows = manifest(spark, sf_dir).withColumn("shard", F.col("row_within_shard") % 2)
+    for shard in (0, 1):
+        sketches.ingest(rows.filter(F.col("shard") == shard), path, "shard", ["speaker_id", "task_name", "verbatim"], ["duration", "snr"], ["district", "verbatim"])
+    return sketches.statistics(spark, path)
+
+
 @query(f"WITH {M_SQL} SELECT district, count(*) AS count FROM m GROUP BY district ORDER BY count DESC, district LIMIT 20")
 def agg4_top_k_values(spark, sf_dir):
     return C.top_k_values(manifest(spark, sf_dir), "district", 20)
