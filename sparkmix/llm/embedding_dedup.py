@@ -2,7 +2,8 @@
 
 Vectors that are equal are folded first. Those of one label are divided into shards of
 bounded size; a task builds one shard's layered graph and audits its recall against
-brute force, doubling the beam until the audit passes. Blocks of vectors then query
+brute force, with vectors of its own and of other shards, doubling the beam until the
+audit passes. Blocks of vectors then query
 every shard of their label. A query whose beam holds nothing but links is run again
 with a wider beam. Links are verified by cosine in double precision; components are
 the union of the links.
@@ -14,6 +15,7 @@ import io
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -186,21 +188,23 @@ class SmallWorld:
             left, beam = np.concatenate(again) if again else np.zeros(0, np.int64), 2 * beam
         return out
 
-    def audit(self, least: float, rows: int = AUDIT_ROWS, recall: float = AUDIT_RECALL, seed: int = 5) -> float:
-        """Double the beam until a sample of queries finds its links, its own row aside; return the recall measured.
+    def audit(self, least: float, others: np.ndarray | None = None, rows: int = AUDIT_ROWS, recall: float = AUDIT_RECALL, seed: int = 5) -> float:
+        """Double the beam until samples of queries find their links; return the recall measured.
 
-        A graph that fails even with a beam as wide as the shard gives way to comparing whole shards.
+        The queries are vectors of the shard, their own row aside, and ``others``, unit vectors of other shards. A graph that fails even
+        with a beam as wide as the shard gives way to comparing whole shards.
         """
-        n = len(self.vectors)
-        some = np.random.default_rng(seed).permutation(n)[:rows]
-        truth = [np.setdiff1d(np.flatnonzero(self.vectors @ self.vectors[i] >= least), [i]) for i in some]
+        own = np.random.default_rng(seed).permutation(len(self.vectors))[:rows]
+        queries = self.vectors[own] if others is None else np.concatenate((self.vectors[own], others))
+        truth = [np.flatnonzero(self.vectors @ q >= least) for q in queries]
+        truth = [np.setdiff1d(t, own[i : i + 1]) for i, t in enumerate(truth)]
         whole = sum(map(len, truth))
         while True:
-            found = self.within(self.vectors[some], least)
+            found = self.within(queries, least)
             got = sum(len(np.intersect1d(a, b)) for a, b in zip(found, truth, strict=True)) / whole if whole else 1.0
             if got >= recall:
                 return got
-            self.beam = 2 * self.beam if self.beam < n else WHOLE_SHARD
+            self.beam = 2 * self.beam if self.beam < len(self.vectors) else WHOLE_SHARD
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
@@ -279,11 +283,22 @@ def embedding_duplicates(
     )
     near = threshold - MARGIN
 
+    # Each shard also gets a sample of the vectors of the others, about AUDIT_ROWS of a space, to audit its graph with.
+    sampled = F.pmod(F.xxhash64("gid", F.lit("audit")), F.ceil(F.col("shards") * shard_rows / AUDIT_ROWS)) == 0
+    guests = reps.filter((F.col("shards") > 1) & sampled).select("space", "gid", "raw", "copies", F.col("shard").alias("home"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")).filter("shard <> home")
+    members = reps.select("space", "gid", "raw", "copies", F.lit(False).alias("guest"), "shard").union(guests.select("space", "gid", "raw", "copies", F.lit(True), "shard"))
+
+    kinds = pa.schema([("space", pa.string()), ("shard", pa.int32()), ("gids", pa.binary()), ("vectors", pa.binary()), ("copies", pa.binary()), ("graph", pa.binary()), ("recall", pa.float64())])
+
     def build(key, table):
         table = table.sort_by("gid")
+        others = np.frombuffer(b"".join(table.filter(table["guest"])["raw"].to_pylist()), np.float64)
+        table = table.filter(pc.invert(table["guest"]))
+        if not table.num_rows:  # a shard of guests alone
+            return kinds.empty_table()
         raw = np.frombuffer(b"".join(table["raw"].to_pylist()), np.float64).reshape(table.num_rows, -1)
         graph = SmallWorld.build(_unit(raw)[1])
-        recall = graph.audit(near)
+        recall = graph.audit(near, _unit(others.reshape(-1, raw.shape[1]))[1])
         return pa.table(
             {
                 "space": pa.array([key[0].as_py()]),
@@ -297,7 +312,7 @@ def embedding_duplicates(
         )
 
     graphs = scratch.save(
-        reps.groupBy("space", "shard").applyInArrow(build, "space string, shard int, gids binary, vectors binary, copies binary, graph binary, recall double"), "graphs"
+        members.groupBy("space", "shard").applyInArrow(build, "space string, shard int, gids binary, vectors binary, copies binary, graph binary, recall double"), "graphs"
     )
 
     def gather(key, table):
@@ -305,12 +320,13 @@ def embedding_duplicates(
         return pa.table(
             {
                 "space": pa.array([key[0].as_py()]),
+                "block": pa.array([key[1].as_py()], pa.int32()),
                 "qgids": pa.array([table["gid"].to_numpy().tobytes()], pa.binary()),
                 "queries": pa.array([b"".join(table["raw"].to_pylist())], pa.binary()),
             }
         )
 
-    blocks = reps.select("space", "block", "gid", "raw").groupBy("space", "block").applyInArrow(gather, "space string, qgids binary, queries binary")
+    blocks = reps.select("space", "block", "gid", "raw").groupBy("space", "block").applyInArrow(gather, "space string, block int, qgids binary, queries binary")
 
     def query_make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -345,7 +361,14 @@ def embedding_duplicates(
 
         return step
 
-    tasks = blocks.join(graphs.drop("recall"), "space").repartition(F.xxhash64("qgids", "shard")).drop("space", "shard")
+    lowest = graphs.agg(F.min("recall")).first()[0]
+    if lowest is not None and lowest < AUDIT_RECALL:
+        raise ValueError(f"a graph finds {lowest} of its links")
+    # Pairs of ids first, so that no task makes all pairs of a label; then what a pair needs joins by ids.
+    pairs = spaces.select(
+        "space", F.explode(F.sequence(F.lit(0), F.ceil(F.col("rows") / block_rows).cast("int") - 1)).alias("block"), F.sequence(F.lit(0), F.ceil(F.col("rows") / shard_rows).cast("int") - 1).alias("shards")
+    ).select("space", "block", F.explode("shards").alias("shard"))
+    tasks = pairs.join(graphs.drop("recall"), ["space", "shard"]).join(blocks, ["space", "block"]).drop("space", "block", "shard")
     found = scratch.save(arrow_map(tasks, query_make, "gid long, links long, mates array<long>", rows=1), "links")
     parts = connected_components(found.select(F.col("gid").alias("a"), F.explode("mates").alias("b")), scratch)
     counts = found.groupBy("gid").agg(F.sum("links").alias("links"))

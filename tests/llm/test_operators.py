@@ -490,13 +490,38 @@ def test_embeddings(spark):
                 links[j] += 1
                 x, y = root(parent, i), root(parent, j)
                 parent[max(x, y)] = min(x, y)
-    for shard in (20_000, 60):
+    for shard in (20_000, 60, 3):
         got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.embedding_duplicates(df, shard_rows=shard, block_rows=50).collect()}
         assert set(got) == {i for i, *_ in rows}
         assert all(got[i] == (links[i], root(parent, i), root(parent, i) == i) for i, *_ in rows)
     assert E.embedding_duplicates(df.limit(0)).count() == 0
 
 
+def test_thousands_of_vectors_of_one_label_in_several_shards(spark):
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((1500, 24))
+    x = np.concatenate([base, *(base[:700] + s * rng.standard_normal((700, 24)) for s in (0.05, 0.15, 0.2, 0.3))])
+    df = spark.createDataFrame([(i, v.tolist(), 5) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    parent = list(range(len(x)))
+    for i, j in zip(*np.nonzero(near), strict=True):
+        a, b = root(parent, int(i)), root(parent, int(j))
+        parent[max(a, b)] = min(a, b)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.embedding_duplicates(df, shard_rows=900, block_rows=1200).collect()}
+    assert got == {i: (int(near[i].sum()), root(parent, i)) for i in range(len(x))} and near.any()
+
+
+def test_audit_with_vectors_of_other_shards_widens_the_beam():
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((400, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = E.SmallWorld.build(x)
+    g.layers[-1][1][:] = -1  # no way from one row to another
+    assert g.audit(0.5, x[:40] * np.float32(0.999)) == 1.0 and g.beam >= E.WHOLE_SHARD
+
+
 def test_graph_recall_and_round_trip():
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.standard_normal((700, 32)), np.repeat(rng.standard_normal((30, 32)), 10, 0) + 0.03 * rng.standard_normal((300, 32))]).astype(np.float32)
