@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkmix.llm import media as M
 
@@ -88,3 +89,40 @@ def test_feature_against_plain_means(spark):
     assert row.feature == np.packbits(np.round(cells, 6)[:, :-1] < np.round(cells, 6)[:, 1:]).tobytes().hex()
     stored = M.text_raster(text)
     assert (row.media_bytes, row.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest()) and row.n_tiles == 1
+
+
+@pytest.mark.parametrize(
+    "data",
+    [
+        b"P1\n2 1\n0 7",
+        b"P5\n2 1\n100\n" + bytes([5, 101]),
+        b"P5\n1 1\n0\n\0",
+        b"P5\n1 1\n70000\n\0\0",
+        struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 58, 0, 0, 54, 40, -1, 1, 1, 24, 0, 4, 0, 0, 0, 0) + b"\1\2\3\0",
+        struct.pack("<2sIHHIIiiHHIIiiIIIII", b"BM", 70, 0, 0, 66, 40, 1, 1, 1, 32, 3, 4, 0, 0, 0, 0, 0xFFF, 0xFF00, 0xFF0000) + b"\1\2\3\0",
+    ],
+)
+def test_samples_out_of_bounds_and_odd_masks_are_errors(data):
+    with pytest.raises(M.BROKEN):
+        M.decode_media(data)
+
+
+def test_masks_order_the_channels():
+    head = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 70, 0, 0, 66, 40, 1, 1, 1, 32, 3, 4, 0, 0, 0, 0)
+    for masks, want in (((0xFF, 0xFF00, 0xFF0000), [1, 2, 3]), ((0xFF0000, 0xFF00, 0xFF), [3, 2, 1])):
+        assert M.decode_bmp(head + struct.pack("<III", *masks) + b"\1\2\3\0").tolist() == [[want]]
+
+
+def test_features_of_null_and_broken_media(spark):
+    good = M.text_raster("hello")
+    rows = [((1, "a b"), None), ((2, "x"), b""), ((3, "x"), b"P5\n9 9\n255\n\0"), ((4, "x"), good), ((4, "x"), good), ((5, "x"), b"P5\n0 3\n255\n")]
+    df = spark.createDataFrame([(k, 7, m, "z") for k, m in rows], "key struct<`an id`: int, name: string>, n_bytes long, media binary, feature string")
+    out = M.media_features(df, id_col="key")
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.key[0], []).append(r)
+    assert [len(got[i]) for i in (1, 2, 3, 4, 5)] == [1, 1, 1, 2, 1]
+    assert all(r.feature is None and r.payload_sha256 is None and r.error for i in (1, 2, 3, 5) for r in got[i])
+    assert got[4][0] == got[4][1] and got[4][0].payload_bytes == 64 and got[4][0].error is None
+    assert M.media_features(df.limit(0), id_col="key").collect() == []
+    assert M.text_media(df.select("key", F.lit(None).cast("string").alias("text"), "feature"), id_col="key").filter("n_bytes = 0").count() == len(rows)
