@@ -119,3 +119,32 @@ def test_studio_pack(spark):
     odd = studio.analyze_studio(texts(spark, "அம்மாவுக்கு அழைக்காதே", "நாளை அலாரம் வை", "பள்ளி", "", "dont call amma")).orderBy("utt_id").collect()
     assert [r.intent for r in odd] == ["unknown", "set_alarm", "unknown", "unknown", "unknown"]
     assert odd[2].sentence == "பள்ளி" and odd[4].sentence == "dont call amma" and odd[4].confidence == 0
+
+
+def test_expressions_are_bound_once(spark):
+    """Each regular expression of the analysis stands in the plan a bounded number of times."""
+    plan = A.analyze(texts(spark, "dei machi"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 100 and plan.count("RLIKE") <= 40
+
+
+def test_rule_pack_of_anchors(spark):
+    pack = A.rule_pack({"negation_markers": ["kadu", False, None], "people": {"Dei": "friend"}, "apps": [], "dialect_markers": {"Kongu": ["Machi"]}})
+    assert pack.anchors == {"negations": ["kadu"], "apps": [], "people": {"dei": "friend"}}
+    row = A.normalize(texts(spark, "dei open whatsapp kadu").withColumn("dialect", F.lit("Standard")), pack=pack).first()
+    assert [(a.entity_type, a.value) for a in row.anchors] == [("negation", "NEGATION"), ("person", "friend")]
+    out = A.analyze(texts(spark, "machi not now", "amma kadu"), pack=pack).orderBy("utt_id").collect()
+    assert [r.dialect for r in out] == ["Kongu", "Standard"]
+
+
+def test_predictions_row_by_row(spark):
+    from sparkmix.operators import models as ML
+
+    rows = [(i, [float(i % 3 == k) + i / 1000 for k in range(3)], i % 3) for i in range(120)] + [(900, None, 1), (901, [0.0, 1.0, 0.0], None)]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<double>, label int")
+    model = ML.train_label_model(df.filter("vec_id < 100"), linear=True)
+    got = ML.label_samples(model, df, ["a", "b", "c"]).collect()
+    assert {r.vec_id for r in got} == set(range(120))
+    for r in got:
+        probs = {n: r[f"prob_{n}"] for n in "abc"}
+        assert abs(sum(probs.values()) - 1) < 1e-3 and r.confidence == max(probs.values()) == probs[r.pred_label]
+        assert r.true_label == "abc"[r.vec_id % 3] and r.correct == (r.true_label == r.pred_label)
