@@ -251,7 +251,7 @@ STUDIO = {
         (r"\bcall\s+pannu\b", "call"),
         (r"\bmessage\s+anuppu\b", "send message to"),
         (r"\bmessage\s+podu\b", "send message to"),
-        (r"\balarm\s+vai(?:kka|kku)?\b", "set alarm"),
+        (r"\balarm\s+vai(kka|kku)?\b", "set alarm"),
         (r"\balarm\s+set\s+pannu\b", "set alarm"),
         (r"\bvazhi\s+kaatu\b", "directions to"),
         (r"\broute\s+sollu\b", "route to"),
@@ -326,14 +326,14 @@ STUDIO = {
     ],
     "intents": [
         ("set_reminder", r"\bremind\b", 0.95),
-        ("set_alarm", r"\b(?:set )?alarm\b", 0.93),
+        ("set_alarm", r"\b(set )?alarm\b", 0.93),
         ("send_message", r"\bsend message\b|\bmessage\b", 0.88),
         ("make_call", r"\bcall\b", 0.92),
         ("play_music", r"\bplay\b|\bsong\b|\bmusic\b", 0.9),
         ("check_weather", r"\bweather\b|\brain\b", 0.9),
         ("navigate", r"\bdirections\b|\broute\b", 0.9),
         ("open_app", r"\bopen\b", 0.89),
-        ("device_control", r"\b(?:volume|brightness|wifi|bluetooth|torch)\b", 0.91),
+        ("device_control", r"\b(volume|brightness|wifi|bluetooth|torch)\b", 0.91),
         ("search_info", r"\bsearch\b|\bhow much\b|\btell me\b|\btraffic\b", 0.82),
         ("smalltalk", r"\bhello\b|\bhow are you\b|\bwhat are you doing\b", 0.85),
     ],
