@@ -362,6 +362,33 @@ def scl26_validate_payload(spark, sf_dir):
     return A.validate_payload(rows).select("utt_id", "problem")
 
 
+_PAYLOADS = [
+    """'{"intent":"a","entities":{"raw":' || RAW || '},"confidence":0.5}'""",
+    """'{"entities":{},"confidence":1,"intents":' || RAW || '}'""",
+    """'{"intent":' || RAW || ',"entities":[' || RAW || '],"confidence":1}'""",
+    """'{"intent":' || RAW || ',"entities":{},"confidence":' || RAW || '}'""",
+    """'{"intent":' || RAW""",
+    "NULL",
+    """'{"intent":null,"entities":{},"confidence":"0.25"}'""",
+]
+
+
+def _payload(raw: str) -> str:
+    return f"CASE utt_id % {len(_PAYLOADS)} " + " ".join(f"WHEN {i} THEN {p.replace('RAW', raw)}" for i, p in enumerate(_PAYLOADS)) + " END"
+
+
+@query(
+    f"""WITH {U_SQL}, p AS (SELECT utt_id, {_payload('to_json(text)::VARCHAR')} AS payload FROM u)
+SELECT utt_id, CASE WHEN payload IS NULL OR NOT json_valid(payload) THEN 'not JSON' WHEN NOT list_contains(json_keys(payload), 'intent') THEN 'missing intent' WHEN NOT list_contains(json_keys(payload), 'entities') THEN 'missing entities'
+ WHEN NOT list_contains(json_keys(payload), 'confidence') THEN 'missing confidence' WHEN json_type(payload, '$.entities') <> 'OBJECT' THEN 'entities is not an object'
+ WHEN TRY_CAST(json_extract_string(payload, '$.confidence') AS DOUBLE) IS NULL THEN 'confidence is not a number' END AS problem FROM p"""
+)
+def scl26_validate_composed(spark, sf_dir):
+    raw = F.substring(F.to_json(F.struct(F.col("text").alias("t"))), 6, 2_000_000_000)
+    u = utterances(spark, sf_dir).select("utt_id", F.rtrim(raw, F.lit("}")).alias("raw"))
+    return A.validate_payload(u.selectExpr("utt_id", f"{_payload('raw')} AS payload")).select("utt_id", "problem")
+
+
 @query()
 def scl27_analyze(spark, sf_dir):
     a = A.analyze(utterances(spark, sf_dir))
