@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 #: Buckets of equal width in a pass; and bounds of buckets that are equal in the doubles they hold, for values that crowd in one bucket.
-BUCKETS, SPLITS = 4096, 64
+BUCKETS, SPLITS = 1024, 64
 
 
 @dataclass(frozen=True)
