@@ -19,6 +19,11 @@ def decibels(linear: Column) -> Column:
     return F.when(linear > 0, 20 * F.log10(F.when(linear > 0, linear))).otherwise(float("-inf"))
 
 
+def rounded(x: Column, places: int = 4) -> Column:
+    """``round`` that keeps the sign of what becomes zero, as logs show it: -0.00002 is -0.0000."""
+    return F.round(F.abs(x), places) * F.signum(x)
+
+
 def to_linear(db: float) -> float:
     return 10 ** (db / 20)
 
@@ -81,7 +86,7 @@ def estimate_snr(clips: DataFrame, frame_ms: float = 25, hop_ms: float = 10, noi
     cut = F.greatest(F.lit(1), F.floor(F.size("_f") * noise_pct / 100).cast("int"))
     noise = _sum(F.slice("_f", F.lit(1), cut)) / cut + 1e-12
     speech = _sum(F.slice("_f", cut + 1, F.size("_f"))) / (F.size("_f") - cut) + 1e-12
-    return out.withColumn("snr_db", F.when(F.array_max("_f") >= 1e-10, F.round(20 * F.log10(speech / noise), 2))).drop("_f")
+    return out.withColumn("snr_db", F.when(F.array_max("_f") >= 1e-10, rounded(20 * F.log10(speech / noise), 2))).drop("_f")
 
 
 def normalize_gain(stats: DataFrame, strategy: str = "peak", cfg: dict = GAIN) -> DataFrame:
@@ -94,7 +99,7 @@ def normalize_gain(stats: DataFrame, strategy: str = "peak", cfg: dict = GAIN) -
     scaled = F.transform("samples", lambda x: F.when(clamped, F.least(F.greatest(x * gain, F.lit(-guard)), F.lit(guard))).otherwise(x * gain))
     return stats.withColumns(
         {
-            "gain_db": F.round(F.when(silent, 0.0).otherwise(decibels(gain)), 4),
+            "gain_db": rounded(F.when(silent, 0.0).otherwise(decibels(gain))),
             "norm_status": F.when(silent, "SILENT").when(clamped, "CLAMPED").otherwise("OK"),
             "peak_out": F.when(clamped, F.lit(guard)).otherwise(F.col("peak") * gain),
             "normalized": scaled,
@@ -111,22 +116,21 @@ def qc_report(clips: DataFrame, done: DataFrame | None = None, strategy: str = "
     rows = clips.join(done.select(id_col).distinct(), id_col, "left_anti") if done is not None else clips
     q = normalize_gain(estimate_snr(validate_clips(clip_stats(rows))), strategy)
     ok = F.col("status") != "REJECT"
-    r4 = lambda c: F.round(c, 4)
     return q.select(
         F.col(id_col).cast("string").alias("file"),
         "status",
         F.array_join("messages", "; ").alias("error"),
-        r4(F.col("duration")).alias("duration"),
+        rounded(F.col("duration")).alias("duration"),
         F.col("sample_rate").alias("orig_sample_rate"),
         F.when(ok, F.col("sample_rate")).otherwise(0).alias("target_sample_rate"),
         "channels",
         F.when(ok, F.col("snr_db")).alias("snr_db"),
-        r4(decibels(F.col("peak"))).alias("peak_in_dbfs"),
-        F.when(ok, r4(decibels(F.col("peak_out")))).alias("peak_out_dbfs"),
-        r4(F.col("rms_dbfs")).alias("rms_in_dbfs"),
+        rounded(decibels(F.col("peak"))).alias("peak_in_dbfs"),
+        F.when(ok, rounded(decibels(F.col("peak_out")))).alias("peak_out_dbfs"),
+        rounded(F.col("rms_dbfs")).alias("rms_in_dbfs"),
         F.when(ok, F.col("gain_db")).alias("gain_db"),
         F.when(ok, F.col("norm_status")).otherwise("").alias("norm_status"),
-        r4(F.col("peak")).alias("peak_in"),
+        rounded(F.col("peak")).alias("peak_in"),
     )
 
 
