@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..operators.corpus import decode_labels
 from ..session import exists, remove, shared_folder
@@ -29,15 +31,31 @@ def limit_shards(spark: SparkSession, path: str, n: int) -> DataFrame:
     return spark.read.parquet(*shard_paths(spark, path)[:n])
 
 
+#: Files whose row counts are sent to every task; more of them are joined as any other table.
+FEW_FILES = 10_000
+
+
 def with_lineage(df: DataFrame) -> DataFrame:
-    """Adds audio_hf_path, shard_idx and row_within_shard of a table read from files."""
-    path = F.col("_metadata.file_path")
-    return df.select(
+    """Adds audio_hf_path, shard_idx and row_within_shard of a table read from files.
+
+    A shard is a parquet file, or a folder named like one: its files, in order of their names, are one run of rows.
+    """
+    path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    shard = lambda p: F.regexp_extract(p, r"^(.*?\.parquet)(?:/.*)?$", 1)
+    out = df.select(
         "*",
         path.alias("audio_hf_path"),
-        F.coalesce(F.regexp_extract(path, r"(\d+)(?:-of-\d+)?[^/\d]*\.parquet$", 1).try_cast("int"), F.lit(0)).alias("shard_idx"),
-        F.col("_metadata.row_index").alias("row_within_shard"),
+        F.coalesce(F.regexp_extract(shard(path), r"(\d+)(?:-of-\d+)?[^/\d]*\.parquet$", 1).try_cast("int"), F.lit(0)).alias("shard_idx"),
+        row.alias("row_within_shard"),
     )
+    files = df.inputFiles()
+    if not any(".parquet/" in f for f in files):
+        return out
+    sizes = df.sparkSession.read.parquet(*map(unquote, files)).groupBy(path.alias("audio_hf_path")).agg(F.count("*").alias("_n"))
+    before = W.partitionBy(shard(F.col("audio_hf_path"))).orderBy("audio_hf_path").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("audio_hf_path", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    joined = out.join(F.broadcast(starts) if len(files) <= FEW_FILES else starts, "audio_hf_path")
+    return joined.withColumn("row_within_shard", F.col("row_within_shard") + F.col("_start")).select(*out.columns)
 
 
 def sample_head(df: DataFrame, n: int, drop: tuple[str, ...] = AUDIO_COLUMNS) -> DataFrame:
