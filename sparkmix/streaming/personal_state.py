@@ -14,6 +14,7 @@ from ..session import share_package
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+NEVER = -(1 << 62)
 #: What the state holds for a term; ``op`` is put or remove, so that an older change that comes late finds the newer one.
 TERM = "normalized string, category string, op string, seq long, usage_count long"
 
@@ -26,29 +27,51 @@ class PersonalTerms(StatefulProcessor):
         self.cleared = handle.getValueState("cleared", "seq long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        cleared = self.cleared.get()[0] if self.cleared.exists() else -(1 << 62)
+        """Every call on the state is a round trip, so a term is read once and written once, however many changes it takes."""
+        kept = self.cleared.get()
+        cleared = before = NEVER if kept is None else kept[0]
+        unread, stored, known, touched = self.terms.exists(), set(), {}, set()
+        changes = [c for frame in rows for c in zip(*(frame[name].tolist() for name in ("seq", "op", "term", "normalized", "category")))]
+        changes.sort(key=lambda c: c[0])
         done = []
-        for frame in rows:
-            for seq, op, term, normalized, category in frame.sort_values("seq")[["seq", "op", "term", "normalized", "category"]].itertuples(index=False):
-                if seq <= cleared:
-                    continue
-                known = self.terms.getValue((term,)) if term is not None and self.terms.containsKey((term,)) else None
-                if op == "reset":
-                    for (old,) in list(self.terms.keys()):
-                        if self.terms.getValue((old,))[3] < seq:
-                            self.terms.removeKey((old,))
-                    cleared = seq
-                    self.cleared.update((seq,))
-                elif op == "use":
-                    if known is None or known[2] != "put" or known[3] > seq:
+        for seq, op, term, normalized, category in changes:
+            if seq <= cleared:
+                continue
+            if op == "reset":
+                if unread:
+                    for (old,), value in self.terms.iterator():
+                        if old not in stored and old not in touched:
+                            known[old] = tuple(value)
+                        stored.add(old)
+                    unread = False
+                touched.update(known)
+                known = {old: value for old, value in known.items() if value[3] >= seq}
+                cleared = seq
+            else:
+                if unread and term not in known and term not in touched:
+                    value = self.terms.getValue((term,))
+                    if value is not None:
+                        known[term] = tuple(value)
+                        stored.add(term)
+                value = known.get(term)
+                if op == "use":
+                    if value is None or value[2] != "put" or value[3] > seq:
                         continue
-                    self.terms.updateValue((term,), (*known[:4], known[4] + 1))
-                elif known is None or known[3] < seq:
+                    known[term] = (*value[:4], value[4] + 1)
+                elif value is None or value[3] < seq:
                     put = op == "put"
-                    self.terms.updateValue((term,), (normalized if put else None, category if put else None, op, seq, 0))
+                    known[term] = (normalized if put else None, category if put else None, op, seq, 0)
                 else:
                     continue
-                done.append((key[0], seq, op, term))
+                touched.add(term)
+            done.append((key[0], seq, op, term))
+        for term in touched:
+            if term in known:
+                self.terms.updateValue((term,), known[term])
+            elif term in stored:
+                self.terms.removeKey((term,))
+        if cleared != before:
+            self.cleared.update((cleared,))
         yield pd.DataFrame(done, columns=["user_id", "seq", "op", "term"])
 
     def close(self) -> None:
