@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -62,11 +63,11 @@ def tokenize_keep_colon(text: Column) -> Column:
 
 
 def tamil_chars(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(L.TAMIL))
+    return F.length(F.regexp_replace(text, L.TAMIL.replace("[", "[^") + "+", ""))
 
 
 def ascii_letters(text: Column) -> Column:
-    return F.regexp_count(text, F.lit("[A-Za-z]"))
+    return F.length(F.regexp_replace(text, "[^A-Za-z]+", ""))
 
 
 def has_affix(word: Column) -> Column:
@@ -180,10 +181,37 @@ def adapt_dialect(text: Column, dialect: Column, fillers: dict[str, list[str]] |
     return F.trim(F.regexp_replace(out.otherwise(text), r"\s{2,}", " "))
 
 
+def needed_words(pattern: str) -> list[str]:
+    """Pieces of plain lower-case text that every match of a pattern holds; none where that isn't plain to see."""
+    if "|" in re.sub(r"\([^()]*\)", "", pattern):
+        return []
+    body = pattern.removeprefix(r"\b")
+    if not re.search(r"[\[({]", body):
+        plain = [x for x in body.removesuffix(r"\b").split(r"\s+") if re.fullmatch("[a-z ]+", x)]
+        if plain:
+            return plain
+    start = re.match("([a-z ]+)([?*{]?)", body)
+    word = (start[1][:-1] if start[2] else start[1]) if start else ""
+    return [word] if word else []
+
+
+def may_match(text: Column, pattern: str) -> Column | None:
+    """Whether a text holds what a pattern needs, a search of bytes; None if nothing is known to be needed."""
+    held = [text.contains(w) for w in needed_words(pattern)]
+    return reduce(lambda a, b: a & b, held) if held else None
+
+
 def apply_phrases(text: Column, rules: list[tuple[str, str]] = L.PHRASES) -> Column:
-    """Lower case, then ordered phrase replacements; texts without any phrase skip the chain."""
-    lower = F.lower(text)
-    return F.when(lower.rlike("|".join(p for p, _ in rules)), replace_in_order(lower, rules)).otherwise(lower)
+    """Lower case, then ordered phrase replacements; a rule is tried where the text holds its words."""
+
+    def put(c: Column, rule: tuple[str, str]) -> Column:
+        def one(t: Column) -> Column:
+            changed, able = F.regexp_replace(t, *rule), may_match(t, rule[0])
+            return changed if able is None else F.when(able, changed).otherwise(t)
+
+        return bind(c, one)
+
+    return reduce(put, rules, F.lower(text))
 
 
 def gloss_tokens(text: Column, glosses: dict[str, str] | None = None, fillers: tuple[str, ...] = ()) -> Column:
@@ -283,7 +311,14 @@ def classify_intent(text: Column, intents: dict = L.INTENTS) -> Column:
     """struct(intent, confidence, ambiguous, possible_intents); the first in order wins, none is UNKNOWN_INTENT."""
 
     def matching(t: Column) -> Column:
-        return F.filter(F.array(*[F.when(t.rlike("(?i)" + "|".join(patterns)), name) for name, (patterns, _) in intents.items()]), lambda x: x.isNotNull())
+        def one(lower: Column) -> Column:
+            def hit(patterns: list[str]) -> Column:
+                found, able = t.rlike("(?i)" + "|".join(patterns)), [may_match(lower, p) for p in patterns]
+                return found if not able or any(a is None for a in able) else reduce(lambda a, b: a | b, able) & found
+
+            return F.array(*[F.when(hit(patterns), name) for name, (patterns, _) in intents.items()])
+
+        return F.filter(bind(F.lower(t), one), lambda x: x.isNotNull())
 
     def result(hits: Column) -> Column:
         n = F.size(hits)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import lexicon as L
+from ..functions import tags
 from ..functions import text as X
 
 
@@ -87,14 +88,12 @@ def lexicon_coverage(tokens: DataFrame, known: Column, id_col: str = "utt_id") -
 def detect_language(df: DataFrame, text_col: str = "text", cfg: dict = L.LANGUAGE_THRESHOLDS) -> DataFrame:
     """Adds tokens, tags, evidence counts, ratios, language, code_mixed and confidence. No shuffle."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    tagged = lambda t: X.bind(X.tag_token(t), lambda tag: F.struct(tag.alias("tag"), F.when(tag == "tanglish", X.tanglish_score(F.lower(t), cfg)).otherwise(0.0).alias("score")))
-    out = df.withColumn("tokens", X.tokenize(text)).withColumn("_tagged", F.transform("tokens", tagged)).withColumn("tags", F.transform("_tagged", lambda x: x["tag"]))
-    out = out.withColumns({f"n_{t}": X.count_of(F.col("tags"), t) for t in ("ta", "en", "tanglish", "mixed")}).withColumns(
+    out = df.withColumn("tokens", X.tokenize(text)).withColumn("_tagged", tags.tag_words(cfg)(F.col("tokens")))
+    out = out.withColumns({c: F.col(f"_tagged.{c}") for c in ("tags", "n_ta", "n_en", "n_tanglish", "n_mixed", "score_sum")}).withColumns(
         {
             "n_tokens": F.size("tokens"),
             "tamil_chars": X.tamil_chars(text),
             "ascii_chars": X.ascii_letters(text),
-            "score_sum": F.aggregate("_tagged", F.lit(0.0), lambda a, x: a + x["score"]),
         }
     ).drop("_tagged")
     out = out.withColumn("n_classified", F.col("n_ta") + F.col("n_en") + F.col("n_tanglish") + F.col("n_mixed"))
