@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from contextlib import closing
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import descent as D
 from . import metrics as M
 
 
@@ -37,20 +42,41 @@ def with_features(df: DataFrame, vector_col: str = "embedding") -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(vector_col).cast("array<double>")))
 
 
+def _network_at(spark: SparkSession, layers: list[int], seed: int, weights: np.ndarray | None = None):
+    """Spark's model with these weights, or with those that a fit with this seed starts from; no iterations, so the one row decides nothing."""
+    est = MultilayerPerceptronClassifier(layers=layers, maxIter=0, seed=seed, **({} if weights is None else {"initialWeights": Vectors.dense(weights)}))
+    return est.fit(spark.createDataFrame([(Vectors.dense([0.0] * layers[0]), 0.0)], ["features", "label"]))
+
+
+def _networks(train: DataFrame, layers: list[int], iterations: list[int], seed: int) -> Iterator:
+    """The network after each of these numbers of iterations, of one descent; a number is reached only when the model before it was taken."""
+    blocks = D.packed(train, layers[0], layers[-1])
+    try:
+        weights = _network_at(train.sparkSession, layers, seed).weights.toArray()
+        path, done = D.descend(D.objective(blocks, layers), weights), 0
+        for n in iterations:
+            for weights in islice(path, n - done):
+                pass
+            done = n
+            yield _network_at(train.sparkSession, layers, seed, weights)
+    finally:
+        blocks.unpersist()
+
+
 def train_label_model(df: DataFrame, hidden: tuple[int, ...] = (256, 128), iterations: tuple[int, ...] = (25, 50, 100), seed: int = 42, id_col: str = "vec_id", linear: bool = False):
     """The model with the best accuracy on the tenth of rows held out by a hash, over a grid of iterations."""
     data = with_features(df).withColumn("label", F.col("label").cast("double"))
     part = F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(10))
     train, val = data.filter(part > 0), data.filter(part == 0)
     size, classes = len(data.select("embedding").first()[0]), int(data.agg(F.max("label")).first()[0]) + 1
-    best, score = None, -1.0
-    for n in iterations:
-        est = LogisticRegression(maxIter=n) if linear else MultilayerPerceptronClassifier(layers=[size, *hidden, classes], maxIter=n, seed=seed)
-        model = est.fit(train)
-        got = model.transform(val).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] or 0.0
-        if got <= score:
-            break  # more iterations no longer help
-        best, score = model, got
+    grid, best, score = sorted(iterations), None, -1.0
+    models = (LogisticRegression(maxIter=n).fit(train) for n in grid) if linear else _networks(train, [size, *hidden, classes], grid, seed)
+    with closing(models):
+        for model in models:
+            got = model.transform(val).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] or 0.0
+            if got <= score:
+                break  # more iterations no longer help
+            best, score = model, got
     return best
 
 
