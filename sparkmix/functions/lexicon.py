@@ -8,7 +8,8 @@ from __future__ import annotations
 # Language identification -------------------------------------------------
 
 TAMIL = "[\\u0B80-\\u0BFF]"
-TOKEN_BREAK = "[\\s\\p{Z}\\u0964\\u0965.,!?;:\"'()\\[\\]{}<>]+"
+#: White space as the SQL of the queries has it, without the vertical tab.
+TOKEN_BREAK = "[\\t\\n\\f\\r\\p{Z}\\u0964\\u0965.,!?;:\"'()\\[\\]{}<>]+"
 
 TANGLISH_WORDS = (
     "naan nee avan aval nanga unga inga avanga avangaluku enakku unakku avanukkku avanukku "

@@ -28,7 +28,7 @@ def tag_word(token: str, vocab_weight: float, affix_weight: float) -> tuple[str,
     tamil, latin = TAMIL.search(token) is not None, LATIN.search(token) is not None
     if tamil or not latin:
         return ("mixed" if latin else "ta") if tamil else "other", 0.0
-    word = token.lower()
+    word = token.replace("\u0130", "i").lower()
     known, ending = word in WORDS, has_affix(word)
     return ("tanglish", (vocab_weight if known else 0.0) + (affix_weight if ending else 0.0)) if known or ending else ("en", 0.0)
 

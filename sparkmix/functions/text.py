@@ -70,6 +70,11 @@ def ascii_letters(text: Column) -> Column:
     return F.length(F.regexp_replace(text, "[^A-Za-z]+", ""))
 
 
+def lower_token(token: Column) -> Column:
+    """Lower case by letters, as SQL has it: the capital I with a dot is an i, not two letters."""
+    return F.lower(F.replace(token, F.lit("\u0130"), F.lit("i")))
+
+
 def has_affix(word: Column) -> Column:
     """Two letters or more before a known ending, all of a to z."""
     ends = [(F.length(word) >= k + 2) & _in(F.right(word, F.lit(k)), [x for x in L.TANGLISH_AFFIXES if len(x) == k]) for k in sorted({len(x) for x in L.TANGLISH_AFFIXES})]
@@ -84,11 +89,16 @@ def tanglish_score(word: Column, cfg: dict = L.LANGUAGE_THRESHOLDS) -> Column:
 def tag_token(token: Column) -> Column:
     """ta, tanglish, en, mixed or other."""
     tamil, latin = token.rlike(L.TAMIL), token.rlike("[A-Za-z]")
-    local = bind(F.lower(token), lambda word: _in(word, L.TANGLISH_WORDS) | has_affix(word))
+    local = bind(lower_token(token), lambda word: _in(word, L.TANGLISH_WORDS) | has_affix(word))
     roman = F.when(local, "tanglish").otherwise("en")
     return F.when(token.rlike("^[A-Za-z]+$"), roman).when(tamil & latin, "mixed").when(tamil, "ta").when(latin, roman).otherwise("other")
 
 
+def rounded(value: Column, digits: int = 4) -> Column:
+    """A positive number rounded as SQL rounds a double: half up after the point is moved, where Spark looks at the shortest decimal."""
+    return F.round(value * 10**digits) / 10**digits
+
+
 def count_of(tags: Column, tag: str) -> Column:
     return F.size(F.filter(tags, lambda x: x == tag))
 

@@ -17,7 +17,7 @@ def tokens_table(df: DataFrame, id_col: str = "utt_id", text_col: str = "text")
         {
             "tamil_chars": X.tamil_chars(F.col("token")),
             "ascii_alpha": X.ascii_letters(F.col("token")),
-            "tng_score": F.when(F.col("tag") == "tanglish", X.tanglish_score(F.lower("token"))).otherwise(0.0),
+            "tng_score": F.when(F.col("tag") == "tanglish", X.tanglish_score(X.lower_token(F.col("token")))).otherwise(0.0),
         }
     )
 
@@ -42,7 +42,7 @@ def code_mix_index(tokens: DataFrame, id_col: str = "utt_id") -> DataFrame:
     n = lambda tag: F.count_if(F.col("tag") == tag)
     half = F.lit(0.5) * n("mixed")
     largest = F.greatest(n("ta") + half, n("en") + half, n("tanglish").cast("double"))
-    return tokens.filter("tag <> 'other'").groupBy(id_col).agg(F.round(F.greatest(F.lit(0.0), 1 - largest / F.count("*")), 4).alias("cmi"))
+    return tokens.filter("tag <> 'other'").groupBy(id_col).agg(X.rounded(F.greatest(F.lit(0.0), 1 - largest / F.count("*"))).alias("cmi"))
 
 
 def m_index(tokens: DataFrame, id_col: str = "utt_id") -> DataFrame:
@@ -127,7 +127,7 @@ def detect_code_mix(df: DataFrame, text_col: str = "text", cfg: dict = L.LANGUAG
     return (
         out.withColumns(
             {
-                "cmi": F.when(n == 0, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), 1 - largest / n), 4)),
+                "cmi": F.when(n == 0, 0.0).otherwise(X.rounded(F.greatest(F.lit(0.0), 1 - largest / n))),
                 "switch_points": F.size(F.filter(F.zip_with(used, F.slice(used, 2, F.greatest(F.size(used), F.lit(1))), lambda a, b: b.isNotNull() & (a != b)), lambda x: x)),
                 "m_index": F.when(kinds <= 1, 0.0).otherwise(F.round(entropy / F.log2(kinds), 4)),
                 "starts": F.when(F.size("tags") > 0, starts).otherwise(F.array().cast("array<int>")),
